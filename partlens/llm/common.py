@@ -116,12 +116,11 @@ IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 _STEP = [mix(np.uint64([i + 77]))[0] | np.uint64(1) for i in range(64)]
 
 
-def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words (A-Z lowered, runs of non-space bytes) and the first word's index of each row."""
-    d = LOWER[data]
+def word_spans(d: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where words (runs of non-space bytes) begin and end, and the first word's index of each row."""
     n = len(d)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(offs), np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
     ink = ~IS_SPACE[d]
     edge = np.zeros(n + 1, bool)
     edge[offs] = True
@@ -132,9 +131,20 @@ def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
     end[-1] = ink[-1]
     end[:-1] = ink[:-1] & (~ink[1:] | edge[1:n])
     s, e = np.flatnonzero(begin), np.flatnonzero(end) + 1
-    h = prefix_hash(d)
-    _, inv = powers(n)
-    return mix((h[e] - h[s]) * inv[s] ^ (e - s).astype(np.uint64)), np.searchsorted(s, offs)
+    return s, e, np.searchsorted(s, offs)
+
+
+def span_hashes(h: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the spans s..e, h being the prefix hash."""
+    _, inv = powers(len(h))
+    return mix((h[e] - h[s]) * inv[s] ^ (e - s).astype(np.uint64))
+
+
+def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words, A-Z lowered, and the first word's index of each row."""
+    d = LOWER[data]
+    s, e, first = word_spans(d, offs)
+    return span_hashes(prefix_hash(d), s, e), first
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int = 5) -> Iterator[np.ndarray]:

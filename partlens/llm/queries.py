@@ -9,11 +9,23 @@ from pyspark.sql import DataFrame, SparkSession
 from partlens.llm.common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from partlens.llm.toxicity import severity
+
+    return severity(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from partlens.llm.language_id import identify
+
+    return identify(spark, table(spark, sf_dir, "documents"))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from partlens.llm.jaccard_join import jaccard_components
 
     return jaccard_components(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_ngram_jaccard_join,)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op3_language_id, op4_ngram_jaccard_join)}
 ORACLE_SQL: dict[str, str] = {}
