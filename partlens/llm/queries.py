@@ -57,7 +57,19 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(spark, table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op3_language_id, op4_ngram_jaccard_join, op9_benchmark_decontamination, op2_suffix_array_dedup, op10_embedding_near_dedup, op5_warc, op6_html_extraction)}
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from partlens.llm.packing import pack
+
+    return pack(spark, table(spark, sf_dir, "documents"))
+
+
+def op8_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from partlens.llm.token_file import round_trip
+
+    return round_trip(spark, table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op3_language_id, op4_ngram_jaccard_join, op9_benchmark_decontamination, op2_suffix_array_dedup, op10_embedding_near_dedup, op5_warc, op6_html_extraction, op7_packing, op8_token_file)}
 ORACLE_SQL: dict[str, str] = {
     "op5_warc": """
         WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
