@@ -103,4 +103,4 @@ def blocks_equal(a: str, b: str) -> str:
 
 def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the contaminated ones."""
-    return docs.join(contaminated(spark, docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti")
+    return docs.join(contaminated(spark, docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)

@@ -183,3 +183,9 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
     named = member.join(groups, member["rep"] == groups["node"], "left").select("sig", "rep", F.coalesce("component", "rep").alias("component"))
     out = sketch.drop("mh").join(named, "sig", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("rep", "doc_id").alias("set_id"))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """docs with one document of each component, that of the smallest doc_id."""
+    first = jaccard_components(spark, docs).where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(first, "doc_id", "left_semi").select(*docs.columns)

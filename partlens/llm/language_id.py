@@ -113,7 +113,7 @@ def predict(docs: DataFrame, labels: list[str], prototypes: np.ndarray, id_cols:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = gram_vectors()
         for batch in batches:
-            texts = filled(batch.column(batch.num_columns - 1))
+            texts = filled(batch.column(text_col))
             lang, score = [], []
             for lo, hi in row_slices(texts):
                 codes, first = gram_codes(texts.slice(lo, hi - lo).to_pylist())
@@ -130,10 +130,10 @@ def predict(docs: DataFrame, labels: list[str], prototypes: np.ndarray, id_cols:
                     best = int(np.argmax(cos))
                     lang.append(labels[best])
                     score.append(min(1.0, max(0.0, float(cos[best]))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names[:-1], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in id_cols), pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*id_cols, "lang_pred", "score"])
 
-    src = docs.select(*id_cols, F.col(text_col).cast("string").alias("__text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1])
+    src = docs.select(*dict.fromkeys([*id_cols, text_col]))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields if f.name in id_cols)
     return src.mapInArrow(run, f"{kinds}, lang_pred string, score double")
 
 
@@ -142,6 +142,14 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def recognised(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """docs without the rows of which no language can be told (null texts and texts without letters)."""
+    labels, prototypes = train(docs)
+    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    told = predict(docs.select(*names), labels, prototypes, names, "text")
+    return told.where(F.col("lang_pred") != UNKNOWN).select(*names)
+
+
 def identify(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for every row of docs (doc_id, text, lang)."""
     labels, prototypes = train(docs.where(~held_out()))

@@ -322,4 +322,6 @@ def without_repeats(spark: SparkSession, docs: DataFrame, text_col: str = "text"
     """docs with the repeated bytes cut from the text; documents of which nothing is left leave."""
     kept = _kept(spark, docs).where("n_removed > 0").select(F.col("row_id").alias("doc_id"), F.col("kept").alias("__kept"), F.expr("n_removed = n_bytes").alias("__gone"))
     both = docs.join(kept, "doc_id", "left").where("NOT coalesce(__gone, false)")
+    if "n_chars" in docs.columns:
+        both = both.withColumn("n_chars", F.coalesce(F.char_length("__kept").cast(docs.schema["n_chars"].dataType), "n_chars"))
     return both.withColumn(text_col, F.coalesce("__kept", text_col)).select(*docs.columns)
