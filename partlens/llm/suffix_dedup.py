@@ -129,70 +129,53 @@ class Level:
     def merged(self, other: Level) -> Level:
         return Level(sorted(self.rows + other.rows))  # two sorted runs: the sort merges them
 
-    def around(self, gram: bytes) -> list[tuple[bytes, bytes, int]]:
-        """The rows that begin with a gram."""
-        import bisect
-
-        lo = bisect.bisect_left(self.rows, (gram,))
-        hi = bisect.bisect_right(self.rows, (gram + b"\xff" * (LENGTH - GRAM + 1),))
-        return self.rows[lo:hi]
-
-
-def _common(a: bytes, b: bytes) -> int:
-    """Length of the common prefix."""
-    n = min(len(a), len(b))
-    if a[:n] == b[:n]:
-        return n
-    lo, hi = 0, n
-    while hi - lo > 1:
-        mid = (lo + hi) // 2
-        if a[lo:mid] == b[lo:mid]:
-            lo = mid
-        else:
-            hi = mid
-    return lo
-
-
 def _mark(starts: dict[int, np.ndarray], i: int, size: int, lo: int, hi: int) -> None:
     """Strings that begin lo..hi bytes before anchor i repeat."""
     if lo <= hi:
         starts.setdefault(i, np.zeros(REACH + 1, bool))[lo : hi + 1] = True
 
 
-#: From so many suffixes on, a gram's strings are compared by fingerprints, all at once, instead of in pairs.
-MANY = 24
-
-
-def _scan(group: list[tuple[bytes, bytes, int]], starts: dict[int, np.ndarray]) -> None:
-    """Mark the repeated strings among suffixes of one gram."""
-    if len(group) < MANY:
-        for x in range(len(group)):
-            for y in range(x):
-                right, left = _common(group[x][0], group[y][0]), _common(group[x][1], group[y][1])
-                if right + left >= LENGTH:
-                    for i in (group[x][2], group[y][2]):
-                        _mark(starts, i, 0, max(0, LENGTH - right), min(left, REACH))
-        return
-    for lo in range(0, REACH + 1, 16):
-        keys, who, back = [], [], []
-        for after, before, i in group:
-            most = min(len(before), REACH, lo + 15)
-            least = max(lo, LENGTH - len(after))
-            if least > most:
-                continue
-            text = np.frombuffer(before[:most][::-1] + after, np.uint8)
-            p = prefix_hash(text)
-            l = np.arange(least, most + 1)
-            at = most - l
-            keys.append(mix((p[at + LENGTH] - p[at]) * powers(len(p))[1][at] + l.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-            who.append(np.full(len(l), i))
-            back.append(l)
-        if not keys:
-            continue
-        key, who, back = np.concatenate(keys), np.concatenate(who), np.concatenate(back)
-        _, where, n = np.unique(key, return_inverse=True, return_counts=True)
-        for i, l in zip(who[n[where] > 1].tolist(), back[n[where] > 1].tolist(), strict=True):
-            starts.setdefault(i, np.zeros(REACH + 1, bool))[l] = True
+#: Contexts whose strings are fingerprinted in one go.
+CHUNK = 4096
+
+
+def _fingerprints(rows: list[tuple[bytes, bytes, int]], lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all strings that begin lo..hi bytes before the rows' anchors: fingerprint, row's number, bytes before."""
+    data = np.frombuffer(b"".join([b[:REACH][::-1] + a for a, b, _ in rows]), np.uint8)
+    before = np.array([min(len(b), REACH) for _, b, _ in rows])
+    after = np.array([len(a) for a, _, _ in rows])
+    begin = np.cumsum(before + after) - before - after
+    least, most = np.maximum(lo, LENGTH - after), np.minimum(hi, before)
+    n = np.maximum(most - least + 1, 0)
+    who = np.repeat(np.arange(len(rows)), n)
+    back = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + least[who]
+    at = (begin + before)[who] - back
+    p = prefix_hash(data)
+    key = (p[at + LENGTH] - p[at]) * powers(len(p))[1][at]
+    return mix(key + back.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), np.array([i for _, _, i in rows])[who], back
+
+
+def _scan(rows: list[tuple[bytes, bytes, int]], starts: dict[int, np.ndarray]) -> None:
+    """Mark the repeated strings among suffixes that share grams: the match to the right of the anchor, which the order
+    gives, counts with the one to the left, so strings are compared whole, by fingerprints."""
+    width = max(1, (REACH + 1) * 2 * CHUNK // max(len(rows), 2 * CHUNK))
+    for lo in range(0, REACH + 1, width):
+        parts = [_fingerprints(rows[i : i + CHUNK], lo, min(lo + width - 1, REACH)) for i in range(0, len(rows), CHUNK)]
+        key, who, back = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(key)
+        key = key[order]
+        twin = np.zeros(len(key), bool)
+        same = key[1:] == key[:-1]
+        twin[1:] |= same
+        twin[:-1] |= same
+        hit = order[twin]
+        who, back = who[hit], back[hit]
+        order = np.argsort(who, kind="stable")
+        who, back = who[order], back[order]
+        cut = np.flatnonzero(np.diff(who)) + 1
+        for a, b in zip(np.concatenate([[0], cut]).tolist(), np.concatenate([cut, [len(who)]]).tolist(), strict=True):
+            if b > a:
+                starts.setdefault(int(who[a]), np.zeros(REACH + 1, bool))[back[a:b]] = True
 
 
 def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -223,13 +206,15 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for more in levels[1:]:
             whole = whole.merged(more)
         levels.clear()
-        lo = 0
+        lo, shared = 0, []
         rows = whole.rows
         for at in range(1, len(rows) + 1):  # runs of suffixes with a common gram
             if at == len(rows) or rows[at][0][:GRAM] != rows[lo][0][:GRAM]:
                 if at - lo > 1:
-                    _scan(rows[lo:at], starts)
+                    shared += rows[lo:at]
                 lo = at
+        if shared:
+            _scan(shared, starts)
         out = ([], [], [])
         for i, (ctx_id, n, before, after) in enumerate(meta):
             if n > 1:
