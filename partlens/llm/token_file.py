@@ -28,7 +28,7 @@ from partlens.llm.common import filled, fresh_path
 from partlens.llm.tokens import TOKENIZER, ids
 
 BLOCK, FRAME, END_ID = 2048, 2 << 20, 2
-SLOTS = 4096
+SLOTS = 1024
 _START = np.array([24, 8, 8, 24], np.int64)
 _FRAME = "part int, frame int, doc_ids array<bigint>, doc_lengths array<bigint>, block_lengths array<int>, block_words array<int>, block_crcs array<bigint>, payload binary"
 
@@ -45,7 +45,7 @@ class _Model:
         self.p2 = np.zeros(lanes, np.int64)
         self.c0 = np.zeros(lanes, np.int64)
         self.n0 = np.zeros(lanes, np.int64)
-        self.share = np.tile(_START, (lanes * 4, 1))
+        self.share = np.repeat(_START[:, None], lanes * 4, axis=1)
         self.last = np.full(lanes, 3)
 
     def predict(self, k: int):
@@ -53,13 +53,15 @@ class _Model:
         self.i1 = self.base[:k] + (p1 * 40503 >> 4 & SLOTS - 1)
         self.i2 = self.base[:k] + ((p1 * 40503 ^ self.p2[:k] * 30011) >> 3 & SLOTS - 1)
         self.at = self.rows[:k] * 4 + self.last[:k]
-        return self.t2[self.i2], self.t1[self.i1], self.c0[:k], self.share[self.at]
+        sums = self.share[:, self.at]
+        np.cumsum(sums, axis=0, out=sums)  # sums[e] is the share of the events up to e
+        return self.t2[self.i2], self.t1[self.i1], self.c0[:k], sums
 
-    def learn(self, k: int, x: np.ndarray, event: np.ndarray) -> None:
-        self.share[self.at, event] += 24
-        over = np.flatnonzero(self.share[self.at].sum(axis=1) > 2048)
+    def learn(self, k: int, x: np.ndarray, event: np.ndarray, total: np.ndarray) -> None:
+        self.share[event, self.at] += 24
+        over = np.flatnonzero(total > 2048)
         if len(over):
-            self.share[self.at[over]] = (self.share[self.at[over]] + 1) >> 1
+            self.share[:, self.at[over]] = (self.share[:, self.at[over]] + 1) >> 1
         self.t2[self.i2] = x
         self.t1[self.i1] = x
         same = self.c0[:k] == x
@@ -98,15 +100,14 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     for step in range(longest):
         k = int(np.searchsorted(-sizes, -step, side="left")) if sizes[-1] <= step else lanes
         x = grid[step, :k]
-        c2, c1, c0, f = model.predict(k)
+        c2, c1, c0, sums = model.predict(k)
         event = np.where(c2 == x, 0, np.where(c1 == x, 1, np.where(c0 == x, 2, 3)))
-        sums = np.cumsum(f, axis=1)
-        own = f[np.arange(k), event]
-        put(model.rows[:k], sums[np.arange(k), event] - own, own, sums[:, 3])
+        own = model.share[event, model.at]
+        put(model.rows[:k], sums[event, model.rows[:k]] - own, own, sums[3])
         none = np.flatnonzero(event == 3)
         if len(none):
             put(none, x[none], 1, 0x10000)
-        model.learn(k, x, event)
+        model.learn(k, x, event, sums[3])
     out = []
     for i in range(lanes):
         w = np.concatenate([words[i, : used[i]], [low[i] >> 16, low[i] & 0xFFFF]])
@@ -144,20 +145,19 @@ def decode_blocks(coded: list[bytes], sizes: list[int]) -> list[np.ndarray]:
     for step in range(longest):
         k = int(np.searchsorted(-size, -step, side="left")) if size[-1] <= step else lanes
         rows = model.rows[:k]
-        c2, c1, c0, f = model.predict(k)
-        sums = np.cumsum(f, axis=1)
-        r = wide[:k] // sums[:, 3]
-        v = np.minimum(code[:k] // r, sums[:, 3] - 1)
-        event = (v[:, None] >= sums[:, :3]).sum(axis=1)
-        own = f[np.arange(k), event]
-        take(rows, r, sums[np.arange(k), event] - own, own)
+        c2, c1, c0, sums = model.predict(k)
+        r = wide[:k] // sums[3]
+        v = np.minimum(code[:k] // r, sums[3] - 1)
+        event = (v >= sums[0]).astype(np.int64) + (v >= sums[1]) + (v >= sums[2])
+        own = model.share[event, model.at]
+        take(rows, r, sums[event, rows] - own, own)
         x = np.where(event == 0, c2, np.where(event == 1, c1, c0)).astype(np.int64)
         none = np.flatnonzero(event == 3)
         if len(none):
             r = wide[none] // 0x10000
             x[none] = np.minimum(code[none] // r, 0xFFFF)
             take(none, r, x[none], 1)
-        model.learn(k, x, event)
+        model.learn(k, x, event, sums[3])
         grid[step, :k] = x
     return [grid[:s, i] for i, s in enumerate(sizes)]
 
