@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,10 +17,6 @@ def collapse(x: Column) -> Column:
 
 def normalize_title(x: Column) -> Column:
     """``collapse`` after NFKC; Python sees only values that hold more than ASCII."""
-    import unicodedata
-
-    import pandas as pd
-
     @F.pandas_udf("string")
     def nfkc(s: pd.Series) -> pd.Series:
         return s.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))

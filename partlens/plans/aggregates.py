@@ -117,7 +117,7 @@ def bucket_rollup(spark, d):
 
 
 def confusion_matrix(spark, d):
-    x = _t(spark, d, "labels").groupBy("quality").pivot("toxic", [0, 1]).agg(F.count("*"))
+    x = _t(spark, d, "labels").groupBy("quality").pivot("toxic", [0, 1]).agg(F.count("toxic"))
     return x.select("quality", F.coalesce("0", F.lit(0)).alias("clean"), F.coalesce("1", F.lit(0)).alias("toxic"))
 
 
