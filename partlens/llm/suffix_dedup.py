@@ -10,11 +10,11 @@ In a task they come in batches: a batch becomes a suffix array of its contexts,
 scanned against each level of the index for long matches; then levels of equal size merge, so n suffixes are
 merged log n times. A match to the right of the anchor and one to the left together mark the strings that repeat.
 
-Equal contexts are aggregated before the shuffle of contexts, with their number: they repeat as a whole, and
-a group of any number of copies is one suffix.
+Anchors move as hashes; equal contexts are aggregated to one with their number before any bytes move: they repeat as
+a whole, and a group of any number of copies is one suffix. A gram with a single context needs no comparison.
 
 Defined cases: null or empty text: nothing removed, the digest of no bytes; texts under LENGTH bytes keep all;
-repeated rows are rows like any other (a repeated doc_id gives one row each); an empty table gives an empty result;
+copies under different ids are rows like any other; a doc_id names one row (of rows that repeat one, each loses what any of them repeats); an empty table gives an empty result;
 extra columns are ignored by ``remove_repeats`` and kept by ``without_repeats``.
 """
 
@@ -25,7 +25,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,30 +95,63 @@ def _gram_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
+_OCCURRENCE = "row_id long, pos long, key long, ctx_id long, after int"
+
+
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row_id, text) -> (row_id, pos, key, left, ctx): each anchor with its context; left: bytes before it."""
-    size, cols = 0, ([], [], [], [], [])
+    """(row_id, text) -> each anchor with a hash of its context and the number of bytes from it to the context's end."""
+    held: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
 
     def out():
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(np.array(cols[2], np.uint64).view(np.int64)), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.binary())], ["row_id", "pos", "key", "left", "ctx"])
+        rows = np.repeat(np.array([x[0] for x in held], np.int64), [len(x[1]) for x in held])
+        cols = [np.concatenate([x[i] for x in held]) for i in range(1, 5)]
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(rows), pa.array(cols[0]), pa.array(cols[1].view(np.int64)), pa.array(cols[2].view(np.int64)), pa.array(cols[3].astype(np.int32))], [x.split()[0] for x in _OCCURRENCE.split(", ")])
 
+    total = 0
     for batch, i, data in _texts(batches, 1):
         if len(data) < LENGTH:
             continue
-        row, h = batch.column(0)[i].as_py(), _grams(data)
-        whole = data.tobytes()
-        for p in anchors(h).tolist():
-            lo = max(0, p - REACH)
-            for c, x in zip(cols, (row, p, h[p], p - lo, whole[lo : p + LENGTH]), strict=True):
-                c.append(x)
-            size += 900
-            if size > 8 << 20:
-                yield out()
-                size, cols = 0, ([], [], [], [], [])
-    if cols[0]:
+        h = _grams(data)
+        at = anchors(h)
+        p = prefix_hash(data)
+        lo, hi = np.maximum(0, at - REACH), np.minimum(len(data), at + LENGTH)
+        whole = (p[hi] - p[lo]) * powers(len(p))[1][lo]
+        ctx = mix(mix(whole) + ((at - lo) * 1024 + (hi - at)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        held.append((batch.column(0)[i].as_py(), at, h[at], ctx, hi - at))
+        total += len(at)
+        if total > 200_000:
+            yield out()
+            total = 0
+    if held:
         yield out()
 
 
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, wanted: pos, key, ctx_id, n) -> (key, left, ctx, ctx_id, n)."""
+    for batch in batches:
+        wanted = batch.column("wanted")
+        cols: tuple[list, ...] = ([], [], [], [], [])
+        size = 0
+        for _, i, data in _texts(iter([batch]), 0):
+            whole, w = data.tobytes(), wanted[i].values
+            for pos, key, ctx_id, n in zip(*(w.field(f).to_pylist() for f in ("pos", "key", "ctx_id", "n")), strict=True):
+                lo = max(0, pos - REACH)
+                for c, x in zip(cols, (key, pos - lo, whole[lo : pos + LENGTH], ctx_id, n), strict=True):
+                    c.append(x)
+                size += 900
+            if size > 8 << 20:
+                yield _context_batch(cols)
+                cols, size = ([], [], [], [], []), 0
+        if cols[0]:
+            yield _context_batch(cols)
+
+
+def _context_batch(cols: tuple[list, ...]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["key", "left", "ctx", "ctx_id", "n"])
+
+
 class Level:
     """A suffix array: contexts in the order of what follows their anchors."""
 
@@ -184,11 +216,11 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, left, ctx, ctx_id, n), all of a key in one task and in order: (ctx_id, lo, hi), the ranges of bytes before
+    """(key, left, ctx, ctx_id, n), all of a key in one task and in order: (key, ctx_id, lo, hi), the ranges of bytes before
     the anchor at which repeated strings begin. Grams come in order, so a finished gram's suffixes leave the index."""
     levels: list[Level] = []
     fresh: list[tuple[bytes, bytes, int]] = []
-    meta: list[tuple[bytes, int, int, int]] = []  # ctx_id, n, before, after
+    meta: list[tuple[tuple[int, int], int, int, int]] = []  # (key, ctx_id), n, before, after
     starts: dict[int, np.ndarray] = {}
 
     def absorb():
@@ -215,17 +247,17 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 lo = at
         if shared:
             _scan(shared, starts)
-        out = ([], [], [])
-        for i, (ctx_id, n, before, after) in enumerate(meta):
+        out: tuple[list, ...] = ([], [], [], [])
+        for i, ((key, ctx_id), n, before, after) in enumerate(meta):
             if n > 1:
                 _mark(starts, i, 0, max(0, LENGTH - after), min(before, REACH))
             if i in starts:
                 for a, b in _runs(starts[i]):
-                    for c, x in zip(out, (ctx_id, a, b - 1), strict=True):
+                    for c, x in zip(out, (key, ctx_id, a, b - 1), strict=True):
                         c.append(x)
         meta.clear()
         starts.clear()
-        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32())], ["ctx_id", "lo", "hi"])
+        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32())], ["key", "ctx_id", "lo", "hi"])
 
     last = None
     for batch in batches:
@@ -234,19 +266,13 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield flush()
             last = key
             fresh.append((ctx[left:], ctx[:left][::-1], len(meta)))
-            meta.append((ctx_id, n, left, len(ctx) - left))
+            meta.append(((key, ctx_id), n, left, len(ctx) - left))
             if len(fresh) >= BATCH:
                 absorb()
     if meta:
         yield flush()
 
 
-def _context_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids = [xxhash.xxh3_128_digest(c + b"%d" % left) for left, c in zip(batch.column("left").to_pylist(), batch.column("ctx").to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], [*batch.schema.names, "ctx_id"])
-
-
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(row_id, text, spans) -> what is left of each text; spans: repeated ranges, in any order."""
     for batch in batches:
@@ -273,28 +299,27 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _spans(spark: SparkSession, rows: DataFrame) -> DataFrame:
     """(row_id, spans) of the rows (row_id, text) that hold repeats."""
-    # whole copies first: of equal texts one is indexed, and a copied text of LENGTH bytes or more repeats as a whole
-    sized = rows.where(F.octet_length("text") >= LENGTH)
-    classes = sized.groupBy(F.sha2("text", 256).alias("digest")).agg(F.min("row_id").alias("row_id"), F.count("*").alias("copies"), F.max(F.octet_length("text")).alias("bytes"))
-    ids = materialize(spark, sized.select("row_id", F.sha2("text", 256).alias("digest")).join(classes.select("digest", F.col("row_id").alias("rep"), "copies", "bytes"), "digest").select("row_id", "rep", "copies", "bytes"), "suffix-classes")
-    reps = materialize(spark, rows.join(ids.where("row_id = rep").select("row_id"), "row_id", "left_semi"), "suffix-texts")
-    keys = reps.select("text").mapInArrow(_gram_keys, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
-    found = reps.select("row_id", "text").mapInArrow(_occurrences, "row_id long, pos long, key long, left int, ctx binary")
-    found = found.join(keys, "key", "left_semi").mapInArrow(_context_ids, "key long, row_id long, pos long, left int, ctx binary, ctx_id binary")
-    found = materialize(spark, found, "suffix-contexts")
-    contexts = found.groupBy("ctx_id").agg(F.first("key").alias("key"), F.first("left").alias("left"), F.first("ctx").alias("ctx"), F.count("*").alias("n"))
-    dealt = contexts.select("key", "left", "ctx", "ctx_id", "n").repartition("key").sortWithinPartitions("key")
-    hits = dealt.mapInArrow(_index, "ctx_id binary, lo int, hi int")
-    spans = found.select("row_id", "pos", "ctx_id").join(hits, "ctx_id").selectExpr("row_id", f"struct(pos - hi AS a, pos - lo + {LENGTH} AS b) AS span")
-    whole = ids.where("copies > 1 AND row_id = rep").selectExpr("row_id", "struct(0L AS a, cast(bytes AS bigint) AS b) AS span")
-    mine = spans.join(ids.where("copies > 1 AND row_id = rep").select("row_id"), "row_id", "left_anti").unionByName(whole).groupBy("row_id").agg(F.collect_list("span").alias("spans"))
-    copies = ids.where("copies > 1 AND row_id <> rep").selectExpr("row_id", "array(struct(0L AS a, cast(bytes AS bigint) AS b)) AS spans")
-    return mine.unionByName(copies)
+    keys = rows.select("text").mapInArrow(_gram_keys, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
+    found = rows.select("row_id", "text").mapInArrow(_occurrences, _OCCURRENCE).join(keys, "key", "left_semi")
+    found = materialize(spark, found, "suffix-anchors")
+    # equal contexts are one; a gram with one context only repeats with it as a whole, and nothing is to be compared
+    one = found.groupBy("key", "ctx_id").agg(F.count("*").alias("n"), F.min(F.struct("row_id", "pos")).alias("at"), F.first("after").alias("after"))
+    one = materialize(spark, one, "suffix-contexts")
+    several = one.groupBy("key").agg(F.count("*").alias("d"))
+    told = one.join(several, "key")
+    left = F.least("at.pos", F.lit(REACH)).cast("int")
+    alone = told.where("d = 1").select("key", "ctx_id", F.greatest(F.lit(0), LENGTH - F.col("after")).alias("lo"), left.alias("hi")).where("lo <= hi")
+    asked = told.where("d > 1").groupBy(F.col("at.row_id").alias("row_id")).agg(F.collect_list(F.struct(F.col("at.pos").alias("pos"), "key", "ctx_id", "n")).alias("wanted"))
+    contexts = rows.join(asked, "row_id").select("text", "wanted").mapInArrow(_contexts, "key long, left int, ctx binary, ctx_id long, n long")
+    hits = contexts.repartition("key").sortWithinPartitions("key").mapInArrow(_index, "key long, ctx_id long, lo int, hi int")
+    hits = materialize(spark, hits.unionByName(alone), "suffix-hits")
+    spans = found.select("row_id", "pos", "key", "ctx_id").join(hits, ["key", "ctx_id"]).selectExpr("row_id", f"struct(pos - hi AS a, pos - lo + {LENGTH} AS b) AS span")
+    return spans.groupBy("row_id").agg(F.collect_list("span").alias("spans"))
 
 
 def _kept(spark: SparkSession, docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").alias("row_id"), F.col("text").cast("string").alias("text"))
-    spans = _spans(spark, rows)
+    spans = _spans(spark, rows.where(F.octet_length("text") >= LENGTH))
     return rows.join(spans, "row_id", "left").select("row_id", "text", "spans").mapInArrow(_cut, "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string, row_id long")
 
 
