@@ -8,7 +8,8 @@ so any two of neighbouring cells meet once. In a cell the block's squared distan
 passes is compared exactly, in double precision; a pair counts only in the first block that passes it.
 
 Equal vectors are one class with a weight, so a group of copies costs one vector. Cells of more than PART members are
-dealt out as pairs of parts. A cell returns sums of links for each vector and a spanning forest of its links, never the
+dealt out as pairs of parts; the table of cell sizes is broadcast, and holds at most BLOCKS * (2 / radius + 3)**2 rows,
+as unit vectors have no cells beyond. A cell returns sums of links for each vector and a spanning forest of its links, never the
 pairs, and components come from the forests.
 
 Defined cases: vectors that are null, empty, zero, or hold nulls or non-finite values, and those of another
@@ -27,9 +28,11 @@ from pyspark.sql import functions as F
 
 from partlens.llm.common import components, materialize
 
-COSINE, BLOCKS, PART = 0.9, 8, 1024
+COSINE, BLOCKS, PART = 0.9, 8, 16384
 #: Slack for rounding in bounds; what passes them is compared exactly.
-SLACK = 1e-9
+SLACK = 1e-5
+#: Vectors travel in single precision; cosines this near to the limit are computed again in double precision.
+CLOSE = 4e-6
 
 
 def rotation(dim: int) -> np.ndarray:
@@ -69,7 +72,7 @@ def _cells(dim: int, budget: float):
                     visits.append(np.full(n, (da, db) != (0, 0)))
             times = len(cells)
             at = np.tile(np.arange(n), times)
-            rows = pa.array([v.tobytes() for v in z], pa.binary())
+            rows = pa.array([v.tobytes() for v in z.astype(np.float32)], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(blocks).astype(np.int32)), pa.array(np.concatenate(cells)), pa.array(np.concatenate(visits)), batch.column("rep").take(pa.array(at)), batch.column("weight").take(pa.array(at)), rows.take(pa.array(at))], ["block", "cell", "visitor", "rep", "weight", "z"])
 
     return run
@@ -92,7 +95,7 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 
 
 def _join(dim: int, cosine: float):
-    """A row for each pair of parts of a cell -> sums of links (a, n) and forest links (a, b)."""
+    """A row for each pair of parts of a cell -> kind 0: sums of links (a, n); 1: forest links (a, b); 2: close pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         budget, bounds = 2 - 2 * cosine, _bounds(dim)
@@ -103,39 +106,65 @@ def _join(dim: int, cosine: float):
                 rep, weight = v.field("rep").to_numpy(zero_copy_only=False), v.field("weight").to_numpy(zero_copy_only=False)
                 visitor = v.field("visitor").to_numpy(zero_copy_only=False)
                 part = v.field("part").to_numpy(zero_copy_only=False)
-                z = np.frombuffer(b"".join(v.field("z").to_pylist()), np.float64).reshape(len(rep), dim)
+                z = np.frombuffer(b"".join(v.field("z").to_pylist()), np.float32).reshape(len(rep), dim).astype(np.float64)
                 lo, hi = bounds[block]
                 home = np.flatnonzero(~visitor & (part == p))
                 # members meet members of parts p <= q, and a visitor all members of p, once each
                 other = np.flatnonzero((~visitor & (part == q)) | (visitor & (part == q)))
                 sums: dict[int, int] = {}
-                links_a, links_b = [], []
+                links_a, links_b, close_a, close_b = [], [], [], []
+                # one product of widened vectors gives minus half the squared distance of the block
+                half = (z[:, lo:hi] ** 2).sum(axis=1, keepdims=True) / 2
+                ones = np.ones_like(half)
+                mine = np.concatenate([z[:, lo:hi], -half, ones], axis=1)[home].astype(np.float32)
+                yours = np.concatenate([z[:, lo:hi], ones, -half], axis=1).astype(np.float32)
                 for s in range(0, len(other), 512):
                     o = other[s : s + 512]
-                    d = (z[home, lo:hi] ** 2).sum(1)[:, None] + (z[o, lo:hi] ** 2).sum(1)[None, :] - 2 * (z[home, lo:hi] @ z[o, lo:hi].T)
-                    i, j = np.nonzero((d <= share + 1e-7) & ~((p == q) & ~visitor[o][None, :] & (home[:, None] >= o[None, :])))
-                    if p > q:
+                    at = np.flatnonzero((mine @ yours[o].T).ravel() >= np.float32(-share / 2 - 2e-6))
+                    i, j = np.divmod(at, len(o))
+                    if p == q:
+                        keep = visitor[o[j]] | (home[i] < o[j])
+                        i, j = i[keep], j[keep]
+                    elif p > q:
                         keep = visitor[o[j]]
                         i, j = i[keep], j[keep]
                     for t in range(0, len(i), 1 << 16):
                         a, b = home[i[t : t + (1 << 16)]], o[j[t : t + (1 << 16)]]
-                        ok = (z[a] * z[b]).sum(axis=1) >= cosine
-                        a, b = a[ok], b[ok]
+                        cos = (z[a] * z[b]).sum(axis=1)
+                        ok = cos >= cosine - CLOSE
+                        a, b, cos = a[ok], b[ok], cos[ok]
                         if not len(a):
                             continue
                         sq = np.stack([((z[a, l:h] - z[b, l:h]) ** 2).sum(axis=1) for l, h in bounds], axis=1)
                         first = np.argmax(sq <= share, axis=1) == block
-                        a, b = a[first], b[first]
-                        links_a.append(a)
-                        links_b.append(b)
+                        sure = first & (cos >= cosine + CLOSE)
+                        links_a.append(a[sure])
+                        links_b.append(b[sure])
+                        close_a.append(rep[a[first & ~sure]])
+                        close_b.append(rep[b[first & ~sure]])
                 if not links_a:
                     continue
                 a, b = np.concatenate(links_a), np.concatenate(links_b)
+                near_a, near_b = np.concatenate(close_a), np.concatenate(close_b)
                 n = np.bincount(a, weights=weight[b], minlength=len(rep)) + np.bincount(b, weights=weight[a], minlength=len(rep))
                 f = _forest(a, b, len(rep))
                 got = np.flatnonzero(n)
-                ends = np.concatenate([rep[got], rep[a[f]]])
-                yield pa.RecordBatch.from_arrays([pa.array(ends), pa.array(np.concatenate([np.zeros(len(got), bool), np.ones(len(f), bool)])), pa.array(np.concatenate([n[got].astype(np.int64), rep[b[f]]]))], ["a", "link", "x"])
+                kind = np.repeat(np.arange(3, dtype=np.int32), [len(got), len(f), len(near_a)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([rep[got], rep[a[f]], near_a])), pa.array(kind), pa.array(np.concatenate([n[got].astype(np.int64), rep[b[f]], near_b]))], ["a", "kind", "x"])
+
+    return run
+
+
+def _exact(dim: int, cosine: float):
+    """Close pairs with both vectors -> those that link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, b = (_unit(np.frombuffer(b"".join(batch.column(c).to_pylist()), np.float64).reshape(-1, dim)) for c in ("va", "vb"))
+            on = pa.array((a * b).sum(axis=1) >= cosine)
+            yield batch.select(["a", "x", "wa", "wb"]).filter(on)
 
     return run
 
@@ -158,15 +187,21 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, cosine: float = COSINE
     classes = materialize(spark, rows.groupBy("vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")), "emb-classes")
     placed = classes.mapInArrow(_cells(dim, 2 - 2 * cosine), "block int, cell long, visitor boolean, rep long, weight long, z binary")
     sizes = classes.select("rep", "weight", "vec").mapInArrow(_cells(dim, 2 - 2 * cosine), "block int, cell long, visitor boolean, rep long, weight long, z binary").groupBy("block", "cell").agg(F.count("*").alias("n"), F.count_if(~F.col("visitor")).alias("members")).where("members > 0 AND n > 1").selectExpr("block", "cell", f"cast(ceil(n / {PART}) AS int) AS parts")
-    dealt = placed.join(sizes, ["block", "cell"]).withColumn("part", F.expr("cast(pmod(xxhash64(rep), parts) AS int)"))
+    dealt = placed.join(F.broadcast(sizes), ["block", "cell"]).withColumn("part", F.expr("cast(pmod(xxhash64(rep), parts) AS int)"))
     # members of part p meet those of part q >= p; visitors of any part q meet the members of every p
     pair = F.expr("explode(CASE WHEN visitor THEN transform(sequence(0, parts - 1), p -> struct(p AS p, part AS q)) ELSE transform(sequence(0, parts - 1), x -> struct(least(part, x) AS p, greatest(part, x) AS q)) END)")
     back = F.expr("explode(CASE WHEN visitor THEN array(struct(pq.p AS p, pq.q AS q)) WHEN pq.p = pq.q THEN array(struct(pq.p AS p, pq.q AS q)) ELSE array(struct(pq.p AS p, pq.q AS q), struct(pq.q AS p, pq.p AS q)) END)")
     met = dealt.withColumn("pq", pair).withColumn("pq", back).select("block", "cell", "pq.p", "pq.q", "visitor", "rep", "weight", "z", "part")
-    joined = met.groupBy("block", "cell", "p", "q").agg(F.collect_list(F.struct("rep", "weight", "visitor", "part", "z")).alias("rows")).mapInArrow(_join(dim, cosine), "a long, link boolean, x long")
+    joined = met.groupBy("block", "cell", "p", "q").agg(F.collect_list(F.struct("rep", "weight", "visitor", "part", "z")).alias("rows")).mapInArrow(_join(dim, cosine), "a long, kind int, x long")
     found = materialize(spark, joined, "emb-links")
-    sums = found.where("NOT link").groupBy(F.col("a").alias("rep")).agg(F.sum("x").alias("n"))
-    groups = components(spark, found.where("link").selectExpr("a", "x AS b"), "emb-cc")
+    one = classes.select(F.col("rep").alias("a"), F.col("vec").alias("va"), F.col("weight").alias("wa"))
+    two = classes.select(F.col("rep").alias("x"), F.col("vec").alias("vb"), F.col("weight").alias("wb"))
+    close = found.where("kind = 2").select("a", "x").join(one, "a").join(two, "x").select("a", "x", "va", "vb", "wa", "wb")
+    exact = materialize(spark, close.mapInArrow(_exact(dim, cosine), "a long, x long, wa long, wb long"), "emb-exact")
+    counts = found.where("kind = 0").select("a", "x").unionByName(exact.selectExpr("a", "wb AS x")).unionByName(exact.selectExpr("x AS a", "wa AS x"))
+    sums = counts.groupBy(F.col("a").alias("rep")).agg(F.sum("x").alias("n"))
+    links = found.where("kind = 1").selectExpr("a", "x AS b").unionByName(exact.selectExpr("a", "x AS b"))
+    groups = components(spark, links, "emb-cc")
     by_class = classes.join(sums, "rep", "left").join(groups, classes["rep"] == groups["node"], "left").select("vec", F.expr("weight - 1 + coalesce(n, 0)").alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     linked = rows.join(by_class, "vec").groupBy("vec_id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
     out = src.select("vec_id").join(linked, "vec_id", "left")
