@@ -61,16 +61,62 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(mh, pa.binary())], ["doc_id", "n_shingles", "sig", "mh"])
 
 
+def _tokens(m: np.ndarray) -> np.ndarray:
+    """The super-tokens of sketches, one for each band."""
+    h = np.broadcast_to(mix(np.arange(1, BANDS + 1, dtype=np.uint64)), (len(m), BANDS))
+    for j in range(WIDTH):
+        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + m[:, _TAKE[:, j]].astype(np.uint64))
+    return h
+
+
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo, hi in row_slices(batch.column("text")):
+            sets = list(shingle_sets(*byte_view(batch.column("text").slice(lo, hi - lo))))
+            reps = np.repeat(batch.column("rep").slice(lo, hi - lo).to_numpy(zero_copy_only=False), [len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(reps)], ["shingle", "rep"])
+
+
+def _shared_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(shingle, rep) in order of shingles -> how many of a set's shingles other sets hold, by task."""
+    counts: dict[int, int] = {}
+    last, one = None, None  # the shingle at hand, and its holder as long as that is the only one
+
+    def out():
+        batch = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], ["rep", "k"])
+        counts.clear()
+        return batch
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        s, r = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+        twin = np.zeros(len(s), bool)
+        same = s[1:] == s[:-1]
+        twin[1:] |= same
+        twin[:-1] |= same
+        if last is not None and s[0] == last:
+            if one is not None:
+                counts[one] = counts.get(one, 0) + 1
+            twin[0] = True
+        ids, k = np.unique(r[twin], return_counts=True)
+        for a, b in zip(ids.tolist(), k.tolist(), strict=True):
+            counts[a] = counts.get(a, 0) + b
+        alone = not twin[-1]
+        one = int(r[-1]) if alone else None
+        last = s[-1]
+        if len(counts) > 200_000:
+            yield out()
+    if counts:
+        yield out()
+
+
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    salt = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
     for batch in batches:
         if not batch.num_rows:
             continue
         ids = batch.column(0).to_numpy(zero_copy_only=False)
-        m = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(len(ids), PERMS).astype(np.uint64)
-        h = np.broadcast_to(salt, (len(ids), BANDS))
-        for j in range(WIDTH):
-            h = mix(h * np.uint64(0x9E3779B97F4A7C15) + m[:, _TAKE[:, j]])
+        h = _tokens(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(len(ids), PERMS))
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(h).view(np.int64).ravel()), pa.array(np.repeat(ids, BANDS))], ["token", "rep"])
 
 
@@ -112,6 +158,10 @@ def _open(keep: int | None):
                 rep = rows.field("rep").to_numpy(zero_copy_only=False)
                 grp = rows.field("grp").to_numpy(zero_copy_only=False)
                 m = np.frombuffer(b"".join(rows.field("mh").to_pylist()), np.uint32).reshape(len(rep), PERMS)
+                n = rows.field("n").to_numpy(zero_copy_only=False)
+                most = rows.field("most").to_numpy(zero_copy_only=False)
+                # the token's band, from any holder
+                band = int(np.flatnonzero(_tokens(m[:1])[0] == np.uint64(token % (1 << 64)))[0])
                 sizes = dict(zip(*np.unique(grp, return_counts=True), strict=True))
                 largest = max(sizes, key=lambda g: (sizes[g], -g))
                 ask = np.flatnonzero(grp != largest)
@@ -120,7 +170,9 @@ def _open(keep: int | None):
                     other = np.flatnonzero((grp == largest) | ((grp != grp[i]) & (rep > rep[i])))
                     same = m[other] == m[i]
                     s = same.sum(axis=1)
-                    ok = s >= LEAST_EQUAL
+                    # two sets at 0.75 have 3/7 of their sizes' sum in common, and ``most`` bounds what a set has
+                    ok = (s >= LEAST_EQUAL) & (7 * np.minimum(most[i], most[other]) >= 3 * (n[i] + n[other]))
+                    ok &= same[:, _TAKE].all(axis=2).argmax(axis=1) == band
                     if not ok.any():
                         continue
                     other, s = other[ok], s[ok]
@@ -139,17 +191,29 @@ def _open(keep: int | None):
 PART = 1024
 
 
-def _across(held: DataFrame, groups: DataFrame, mh: DataFrame, keep: int | None) -> DataFrame:
-    """Candidate pairs between different groups that share a token."""
+def _across(spark: SparkSession, held: DataFrame, groups: DataFrame, mh: DataFrame, texts: DataFrame, keep: int | None) -> DataFrame:
+    """Candidate pairs between different groups that share a token.
+
+    The last round first counts, for each document left, its shingles that any other such document holds: the
+    union of all groups' tokens bounds what it can have in common with a member of any.
+    """
     now = held.join(groups, held["rep"] == groups["node"], "left").select("token", "rep", F.coalesce("component", "rep").alias("grp"))
     span = now.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
     parts = F.ceil(F.col("n") / PART).cast("int")
-    rows = now.join(span.select("token", parts.alias("p")), "token").join(mh, "rep")
+    rows = now.join(span.select("token", parts.alias("p")), "token")
+    sizes = mh.withColumn("most", F.col("n"))
+    if keep is None:
+        rows = materialize(spark, rows, "jaccard-open")
+        left = texts.join(rows.select("rep").distinct(), "rep", "left_semi")
+        dealt = left.select("rep", "text").mapInArrow(_shingle_rows, "shingle long, rep long").repartition("shingle").sortWithinPartitions("shingle")
+        shared = dealt.mapInArrow(_shared_counts, "rep long, k long").groupBy("rep").agg(F.sum("k").alias("most"))
+        sizes = mh.join(shared, "rep").where("4 * most >= 3 * n")
+    rows = rows.join(sizes, "rep")
     own = F.pmod(F.xxhash64("rep"), F.col("p")).cast("int")
     # parts x and y of a token meet in the place (x, y), x <= y
     rows = rows.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("p") - 1)))
     rows = rows.withColumn("place", F.least("own", "with") * F.col("p") + F.greatest("own", "with"))
-    met = rows.groupBy("token", "place").agg(F.collect_list(F.struct("rep", "grp", "mh")).alias("holders"), F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi")
+    met = rows.groupBy("token", "place").agg(F.collect_list(F.struct("rep", "grp", "mh", "n", "most")).alias("holders"), F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi")
     found = met.select("token", "holders").mapInArrow(_open(keep), "a long, b long, s long")
     return found.groupBy("a", "b").agg(F.max("s").alias("s"))
 
@@ -159,12 +223,12 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketch = materialize(spark, src.mapInArrow(_sketch, "doc_id long, n_shingles long, sig binary, mh binary"), "jaccard-sketch")
     some = sketch.where("n_shingles > 0")
-    reps = some.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("mh").alias("mh"))
+    reps = some.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("mh").alias("mh"), F.first("n_shingles").alias("n"))
     reps = materialize(spark, reps, "jaccard-reps")
     bands = reps.select("rep", "mh").mapInArrow(_bands, "token long, rep long")
     often = bands.groupBy("token").agg(F.count("*").alias("n"), F.min("rep").alias("h1"), F.min_by("rep", F.xxhash64("rep")).alias("h2")).where("n > 1")
     held = materialize(spark, bands.join(often.drop("n"), "token"), "jaccard-held")
-    mh = reps.join(held.select("rep").distinct(), "rep", "left_semi").select("rep", "mh")
+    mh = reps.join(held.select("rep").distinct(), "rep", "left_semi").select("rep", "mh", "n")
     texts = src.join(mh.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.first("text").alias("text"))
     texts = materialize(spark, texts.select(F.col("doc_id").alias("rep"), "text"), "jaccard-texts")
 
@@ -175,7 +239,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
     groups = components(spark, links, "jaccard-cc")
     held = held.select("token", "rep")
     for keep in (1, 4, None):
-        pairs = _across(held, groups, mh, keep).select("a", "b")
+        pairs = _across(spark, held, groups, mh, texts, keep).select("a", "b")
         more = materialize(spark, _verified(pairs, texts), "jaccard-links")
         links = links.unionByName(more)
         groups = components(spark, links, "jaccard-cc")
