@@ -83,9 +83,13 @@ def _shared_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     last, one = None, None  # the shingle at hand, and its holder as long as that is the only one
 
     def out():
-        batch = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], ["rep", "k"])
+        reps, k = np.array(list(counts), np.int64), np.array(list(counts.values()), np.int64)
         counts.clear()
-        return batch
+        order = np.argsort(reps)
+        reps, k = reps[order], k[order]
+        cut = np.flatnonzero(np.diff(reps >> 8)) + 1
+        rows = [r.tolist() for r in np.split(reps, cut)]
+        return pa.RecordBatch.from_arrays([pa.array([r[0] >> 8 for r in rows], pa.int64()), pa.array(rows, pa.list_(pa.int64())), pa.array([x.tolist() for x in np.split(k, cut)], pa.list_(pa.int64()))], ["bucket", "reps", "ks"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -111,6 +115,17 @@ def _shared_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield out()
 
 
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The parts of a bucket of ids, counted by task -> (rep, k)."""
+    for batch in batches:
+        out: dict[int, int] = {}
+        for parts in batch.column(0).to_pylist():
+            for part in parts:
+                for a, b in zip(part["reps"], part["ks"], strict=True):
+                    out[a] = out.get(a, 0) + b
+        yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.int64())], ["rep", "k"])
+
+
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
@@ -206,7 +221,8 @@ def _across(spark: SparkSession, held: DataFrame, groups: DataFrame, mh: DataFra
         rows = materialize(spark, rows, "jaccard-open")
         left = texts.join(rows.select("rep").distinct(), "rep", "left_semi")
         dealt = left.select("rep", "text").mapInArrow(_shingle_rows, "shingle long, rep long").repartition("shingle").sortWithinPartitions("shingle")
-        shared = dealt.mapInArrow(_shared_counts, "rep long, k long").groupBy("rep").agg(F.sum("k").alias("most"))
+        parts = dealt.mapInArrow(_shared_counts, "bucket long, reps array<bigint>, ks array<bigint>").groupBy("bucket").agg(F.collect_list(F.struct("reps", "ks")).alias("parts"))
+        shared = parts.select("parts").mapInArrow(_summed, "rep long, k long").withColumnRenamed("k", "most")
         sizes = mh.join(shared, "rep").where("4 * most >= 3 * n")
     rows = rows.join(sizes, "rep")
     own = F.pmod(F.xxhash64("rep"), F.col("p")).cast("int")
