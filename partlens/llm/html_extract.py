@@ -37,6 +37,7 @@ SELF_ENDING = {"p", "li", "dt", "dd", "tr", "td", "th", "option"}
 BAD = set("ad ads advert advertisement advertising adbox adsense banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar footer header masthead topbar toolbar cookie cookies consent notice notification gdpr popup modal overlay newsletter subscribe signup login share sharing social related recommended comment comments disqus reply replies widget pagination pager search form skip copyright legal disclaimer".split())
 BAD_ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
 KEEP_HEADER_IN_ARTICLE = {"header"}
+RANGE_ROWS = 200
 SPACE = re.compile(r"\s+")
 WORD = re.compile(r"[a-z]+")
 
@@ -217,6 +218,7 @@ def main_text(spark: SparkSession, pages: DataFrame) -> DataFrame:
     host = F.regexp_extract(F.lower(F.coalesce("url", F.lit(""))), r"^[a-z][a-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)", 1)
     path = F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
     src = pages.select("page_id", "url", host.alias("host"), path.alias("path"), F.col("html").cast("string").alias("html"))
-    n = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # ranges of RANGE_ROWS pages at least: few pages lie at an edge, and all have a neighbour
+    n = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), pages.count() // RANGE_ROWS))
     dealt = src.repartitionByRange(n, "host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
     return dealt.select("page_id", "url", "host", "html").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
