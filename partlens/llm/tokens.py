@@ -14,9 +14,10 @@ from array import array
 import numpy as np
 
 #: Pieces that a generation of the cache holds; two generations are kept.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 600_000
 TOKENIZER = "byte_bpe_50k.json"
-_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:_|[^\s\w])+|\s+(?!\S)|\s+")
+#: The library's splitter below U+0240, words first: nothing else begins like a word.
+_PIECE = re.compile(r" ?[A-Za-zªµºÀ-ÖØ-öø-ȿ]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]+| ?(?:_|[^\s\w])+|\s+(?!\S)|\s+")
 #: Bytes of UTF-8 that send a text to the library whole: U+0240 and above, and controls 1c to 1f.
 _ODD = np.zeros(256, bool)
 _ODD[0x1C:0x20] = True
@@ -42,49 +43,45 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+class _Pieces(dict):
+    """Ids of pieces; a piece that is not there comes from the older generation or the library."""
+
+    def __init__(self, library):
+        super().__init__()
+        self.encode, self.older = library.encode, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        got = self.older.get(piece) or array("H", self.encode(piece, add_special_tokens=False).ids).tobytes()
+        if len(self) >= CACHE_ENTRIES:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = got
+        return got
+
+
 class Ids:
     """Ids of texts as little-endian unsigned 16-bit bytes."""
 
     def __init__(self, name: str = TOKENIZER):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(tokenizer_path(name))
         self.library.encode_special_tokens = True
-        self.cache: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        # for single pieces the same tokenizer without its splitter
+        single = Tokenizer.from_file(tokenizer_path(name))
+        single.encode_special_tokens = True
+        single.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.cache = _Pieces(single)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint16).tobytes()
 
-    def _learn(self, new: set[str]) -> None:
-        """Bring pieces into the cache, from its older generation or the library."""
-        if len(self.cache) + len(new) > CACHE_ENTRIES:
-            self.older, self.cache = self.cache, {}
-        older = self.older
-        unknown = []
-        for p in new:
-            if p in older:
-                self.cache[p] = older[p]
-            else:
-                unknown.append(p)
-        if unknown:
-            for p, e in zip(unknown, self.library.encode_batch_fast(unknown, add_special_tokens=False), strict=True):
-                self.cache[p] = array("H", e.ids).tobytes()
-
     def __call__(self, text: str) -> bytes:
         if not _plain(text):
             return self.whole(text)
-        pieces = _PIECE.findall(text)
-        words = set(pieces)
-        new = words.difference(self.cache)
-        if new:
-            before = self.cache
-            self._learn(new)
-            if self.cache is not before:
-                self._learn(words.difference(self.cache))
-        return b"".join(map(self.cache.__getitem__, pieces))
+        return b"".join(map(self.cache.__getitem__, _PIECE.findall(text)))
 
 
 _shared: dict[str, Ids] = {}
