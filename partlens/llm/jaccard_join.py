@@ -10,7 +10,8 @@ are the components of links verified so far, at first the single documents. Each
 groups of which the matrix holds its tokens, and verifies candidates on whole sets:
 1. each token's hub (two hash orders) against its holders, the two hubs with the largest overlap;
 2. for tokens that still lie in several groups: the nearest members of the other groups by sketch;
-3. all members of other groups whose sketch lies above the bound; after that no link between groups is left.
+3. all members of other groups whose sketch, then five times as long, lies above the bound; after that no link
+   between groups is left.
 A pair at 0.75 shares no super-token with a probability of about 1e-8; the sketch bound lies over five standard
 deviations below 0.75. Verification is exact on 64-bit shingle hashes.
 
@@ -37,17 +38,32 @@ _MUL = _rng.integers(0, 1 << 31, PERMS, dtype=np.uint32) * np.uint32(2) + np.uin
 _TAKE = np.stack([_rng.choice(PERMS, WIDTH, replace=False) for _ in range(BANDS)])
 #: Least equal min-hashes of a candidate: 0.75 * PERMS less 5 standard deviations.
 LEAST_EQUAL = int(0.75 * PERMS - 5 * (PERMS * 0.75 * 0.25) ** 0.5)
+#: One byte each of further min-hashes, made in the last round for the documents left, and the least equal of all then;
+#: bytes that are equal by chance only add candidates.
+EXTRA = 416
+_XOR_EXTRA = _rng.integers(0, 1 << 32, EXTRA, dtype=np.uint32)
+_MUL_EXTRA = _rng.integers(0, 1 << 31, EXTRA, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+LEAST_EQUAL_ALL = int(0.75 * (PERMS + EXTRA) - 5 * ((PERMS + EXTRA) * 0.75 * 0.25) ** 0.5)
 
 
-def _min_hashes(x: np.ndarray) -> np.ndarray:
+def _min_hashes(x: np.ndarray, xor: np.ndarray = _XOR, mul: np.ndarray = _MUL) -> np.ndarray:
     low = (x >> np.uint64(32)).astype(np.uint32)
-    out = np.full(PERMS, 0xFFFFFFFF, np.uint32)
+    out = np.full(len(xor), 0xFFFFFFFF, np.uint32)
     for i in range(0, len(low), 4096):
         part = low[i : i + 4096]
-        np.minimum(out, ((part[None, :] ^ _XOR[:, None]) * _MUL[:, None]).min(axis=1), out=out)
+        np.minimum(out, ((part[None, :] ^ xor[:, None]) * mul[:, None]).min(axis=1), out=out)
     return out
 
 
+def _further(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rep, text) -> (rep, further): a byte of each of EXTRA min-hashes."""
+    for batch in batches:
+        for lo, hi in row_slices(batch.column("text")):
+            sets = shingle_sets(*byte_view(batch.column("text").slice(lo, hi - lo)))
+            further = [(_min_hashes(x, _XOR_EXTRA, _MUL_EXTRA) * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8).tobytes() for x in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("rep").slice(lo, hi - lo), pa.array(further, pa.binary())], ["rep", "further"])
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1)
@@ -175,6 +191,7 @@ def _open(keep: int | None):
                 m = np.frombuffer(b"".join(rows.field("mh").to_pylist()), np.uint32).reshape(len(rep), PERMS)
                 n = rows.field("n").to_numpy(zero_copy_only=False)
                 most = rows.field("most").to_numpy(zero_copy_only=False)
+                further = None if keep is not None else np.frombuffer(b"".join(rows.field("further").to_pylist()), np.uint8).reshape(len(rep), EXTRA)
                 # the token's band, from any holder
                 band = int(np.flatnonzero(_tokens(m[:1])[0] == np.uint64(token % (1 << 64)))[0])
                 sizes = dict(zip(*np.unique(grp, return_counts=True), strict=True))
@@ -191,6 +208,9 @@ def _open(keep: int | None):
                     if not ok.any():
                         continue
                     other, s = other[ok], s[ok]
+                    if further is not None:
+                        ok = s + (further[other] == further[i]).sum(axis=1) >= LEAST_EQUAL_ALL
+                        other, s = other[ok], s[ok]
                     if keep is not None and len(other) > keep:
                         top = np.lexsort((rep[other], -s))[:keep]
                         other, s = other[top], s[top]
@@ -216,7 +236,7 @@ def _across(spark: SparkSession, held: DataFrame, groups: DataFrame, mh: DataFra
     span = now.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
     parts = F.ceil(F.col("n") / PART).cast("int")
     rows = now.join(span.select("token", parts.alias("p")), "token")
-    sizes = mh.withColumn("most", F.col("n"))
+    sizes = mh.withColumn("most", F.col("n")).withColumn("further", F.lit(None).cast("binary"))
     if keep is None:
         rows = materialize(spark, rows, "jaccard-open")
         left = texts.join(rows.select("rep").distinct(), "rep", "left_semi")
@@ -224,12 +244,14 @@ def _across(spark: SparkSession, held: DataFrame, groups: DataFrame, mh: DataFra
         parts = dealt.mapInArrow(_shared_counts, "bucket long, reps array<bigint>, ks array<bigint>").groupBy("bucket").agg(F.collect_list(F.struct("reps", "ks")).alias("parts"))
         shared = parts.select("parts").mapInArrow(_summed, "rep long, k long").withColumnRenamed("k", "most")
         sizes = mh.join(shared, "rep").where("4 * most >= 3 * n")
+        further = left.join(sizes.select("rep"), "rep", "left_semi").select("rep", "text").mapInArrow(_further, "rep long, further binary")
+        sizes = materialize(spark, sizes.join(further, "rep"), "jaccard-further")
     rows = rows.join(sizes, "rep")
     own = F.pmod(F.xxhash64("rep"), F.col("p")).cast("int")
     # parts x and y of a token meet in the place (x, y), x <= y
     rows = rows.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("p") - 1)))
     rows = rows.withColumn("place", F.least("own", "with") * F.col("p") + F.greatest("own", "with"))
-    met = rows.groupBy("token", "place").agg(F.collect_list(F.struct("rep", "grp", "mh", "n", "most")).alias("holders"), F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi")
+    met = rows.groupBy("token", "place").agg(F.collect_list(F.struct("rep", "grp", "mh", "n", "most", "further")).alias("holders"), F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi")
     found = met.select("token", "holders").mapInArrow(_open(keep), "a long, b long, s long")
     return found.groupBy("a", "b").agg(F.max("s").alias("s"))
 
