@@ -14,7 +14,7 @@ from array import array
 import numpy as np
 
 #: Pieces that a generation of the cache holds; two generations are kept.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 300_000
 TOKENIZER = "byte_bpe_50k.json"
 #: The library's splitter below U+0240, words first: nothing else begins like a word.
 _PIECE = re.compile(r" ?[A-Za-zªµºÀ-ÖØ-öø-ȿ]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]+| ?(?:_|[^\s\w])+|\s+(?!\S)|\s+")
