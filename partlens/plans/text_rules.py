@@ -44,7 +44,7 @@ def stable_uid_hash(spark, d):
 
 
 def token_candidates_7rules(spark, d):
-    items = _t(spark, d, "part").select(F.col("p_partkey").alias("item"), F.lit("Rolex").alias("brand"), F.when(F.col("p_size") % 2 == 0, F.lit("3135")).otherwise("2130").alias("caliber"), F.when(F.col("p_size") % 3 == 0, F.lit("24680")).otherwise("9-24680-1").alias("part")).where("item <= 300")
+    items = _t(spark, d, "part").select(F.col("p_partkey").alias("item"), F.lit("Rolex").alias("brand"), F.when(F.col("p_size") % 2 == 0, F.lit("3135")).otherwise("2130").alias("caliber"), F.when(F.col("p_size") % 3 == 0, F.lit("24680")).otherwise("9-24680-1").alias("part"))
     return M.candidates(items, _titles(spark))
 
 
