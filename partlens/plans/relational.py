@@ -21,9 +21,10 @@ _RATES = "rates AS (SELECT o_orderpriority AS ccy, CAST(o_orderdate AS DATE) AS
 
 
 def _facts(spark: SparkSession, d: str) -> DataFrame:
+    """(l_orderkey, l_linenumber, ccy, day): one row for each line item; repeated keys stay rows."""
     o = _t(spark, d, "orders").select("o_orderkey", F.col("o_orderpriority").alias("ccy"))
-    li = _t(spark, d, "lineitem").where("l_linenumber = 1").groupBy("l_orderkey").agg(F.min(F.to_date("l_shipdate")).alias("day"))
-    return li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "ccy", F.date_sub("day", 200).alias("day"))
+    li = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.to_date("l_shipdate").alias("day"))
+    return li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "ccy", F.date_sub("day", 200).alias("day"))
 
 
 _FACTS = "facts AS (SELECT l_orderkey, o_orderpriority AS ccy, CAST(min(CAST(l_shipdate AS DATE)) - INTERVAL 200 DAY AS DATE) AS day FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 1 GROUP BY 1, 2)"
@@ -39,14 +40,14 @@ def fx_asof_single(spark, d):
     last = Window.orderBy("valid")
     steps = one.groupBy("valid").agg(F.max("rate").alias("rate")).withColumn("next", F.coalesce(F.lead("valid").over(last), F.lit("2100-01-01").cast("date")))
     days = steps.select(F.explode(F.sequence("valid", F.date_sub("next", 1), F.expr("interval 1 day"))).alias("day"), "rate")
-    return _facts(spark, d).join(days, "day", "left").select("l_orderkey", "day", "rate")
+    return _facts(spark, d).join(days, "day", "left").select("l_orderkey", "l_linenumber", "day", "rate")
 
 
 def fx_asof_fallback(spark, d):
     f = R.asof_join(_facts(spark, d), _rates(spark, d), "day", "valid", "rate", ["ccy"])
     ends = _rates(spark, d).groupBy("ccy").agg(F.min_by("rate", "valid").alias("earliest"), F.max_by("rate", "valid").alias("latest"))
     x = f.join(F.broadcast(ends), "ccy", "left")
-    return x.select("l_orderkey", F.coalesce("rate", "earliest").alias("rate_e"), F.coalesce("rate", "latest").alias("rate_l"), F.col("rate").isNull().alias("is_fallback"))
+    return x.select("l_orderkey", "l_linenumber", F.coalesce("rate", "earliest").alias("rate_e"), F.coalesce("rate", "latest").alias("rate_l"), F.col("rate").isNull().alias("is_fallback"))
 
 
 def rate_lookup_as_of(spark, d):
