@@ -71,6 +71,24 @@ def bucket_units(rate: Column, stock: Column, cfg: Config = CONFIG) -> list[tupl
     return out
 
 
+def binomial_quantiles(n: Column, p: Column, shares: tuple[float, ...] = (0.05, 0.95)) -> Column:
+    """The least k of each share for which more than that share of Binomial(n, p) is at most k: where sorted trials have it by index.
+
+    Probabilities are exact, by logarithms from one k to the next; p of 0 and 1 stand a hair off the ends.
+    """
+    tiny = F.lit(1e-300)
+    yes, no = F.ln(F.greatest(p, tiny)), F.ln(F.greatest(1 - p, tiny))
+    start = F.struct(F.lit(0.0).alias("cdf"), F.lit(0.0).alias("ways"), *[F.lit(None).cast("int").alias(f"q{i}") for i in range(len(shares))])
+
+    def step(s: Column, k: Column) -> Column:
+        cdf = s["cdf"] + F.exp(s["ways"] + k * yes + (n - k) * no)
+        ways = s["ways"] + F.ln(F.greatest((n - k) / (k + 1), tiny))
+        return F.struct(cdf.alias("cdf"), ways.alias("ways"), *[F.coalesce(s[f"q{i}"], F.when(cdf > x, k)).alias(f"q{i}") for i, x in enumerate(shares)])
+
+    done = F.aggregate(F.sequence(F.lit(0), n), start, step)
+    return F.struct(*[F.coalesce(done[f"q{i}"], n).alias(f"q{i}") for i in range(len(shares))])
+
+
 def robust_stats(df: DataFrame, key: str, value: str, cfg: Config = CONFIG) -> DataFrame:
     """Median, quartiles, MAD and number of outliers of each key; a median and one join back, no collected lists."""
     first = df.groupBy(key).agg(F.count(value).alias("n"), F.median(value).alias("med"), F.percentile(value, 0.25).alias("q1"), F.percentile(value, 0.75).alias("q3"))

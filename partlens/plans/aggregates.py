@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from partlens.functions import stats as S
 from partlens.operators import relational as R
+from partlens.plans.valuation import rates
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -214,11 +215,15 @@ def json_extract(spark, d):
 
 
 def monte_carlo_units(spark, d):
-    """The mean of binomial sell-through, which the simulation approaches; rows only, by a seeded draw."""
-    p = _t(spark, d, "part").select("p_partkey", F.col("p_size").alias("units"))
-    t = p.withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(20))))
-    draw = (F.pmod(F.xxhash64("p_partkey", "trial"), F.lit(1000)) / 1000.0) * F.col("units")
-    return t.groupBy("p_partkey").agg(F.round(F.avg(draw), 3).alias("mean"), F.percentile(draw, 0.05).alias("p5"), F.percentile(draw, 0.95).alias("p95"))
+    """Units sold within 30 and 90 days: mean, p5 and p95 of a binomial draw over the stock, exact in place of the reference's 2,000 random trials."""
+    rate = rates(spark, d).select(F.col("item").alias("p_partkey"), "rate")
+    stock = F.greatest(F.coalesce("p_size", F.lit(0)), F.lit(0)).cast("int")
+    x = _t(spark, d, "part").select("p_partkey", stock.alias("n")).join(rate, "p_partkey", "left")
+    for days in (30, 90):
+        p = F.coalesce(S.sold_by(F.col("rate"), days), F.lit(0.0))  # never sold: never sells
+        x = x.withColumn(f"mean{days}", F.round(F.col("n") * p, 4)).withColumn("q", S.binomial_quantiles(F.col("n"), p))
+        x = x.select("*", F.col("q.q0").alias(f"p5_{days}"), F.col("q.q1").alias(f"p95_{days}")).drop("q")
+    return x.drop("rate").withColumnRenamed("n", "units")
 
 
 _ROB = "WITH s AS (SELECT l_partkey, {v} AS price FROM lineitem), m AS (SELECT l_partkey, count(price) AS n, median(price) AS med, quantile_cont(price, 0.25) AS q1, quantile_cont(price, 0.75) AS q3 FROM s GROUP BY 1), a AS (SELECT l_partkey, median(abs(price - med)) AS mad FROM s JOIN m USING (l_partkey) GROUP BY 1)"
