@@ -3,9 +3,9 @@
 A page is cut into blocks, the lines. Elements that by name, role, class or id are no article (menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles, comments) are skipped. Where the page marks its article (article,
 else main or role=main) only blocks in it count. Then pages are paired with their nearest neighbours by URL path
-within a host; the lines of both are aligned by longest common subsequence, and shared lines are deleted. Lines of
-a marked article are the page's own by its markup and stay, and so do lines of pages that share most of
-their text: those are copies, not a template.
+within a host; the lines of both are aligned by longest common subsequence, and shared lines are deleted, in a marked
+article too. Near-equal pages are copies and no neighbours: a run of copies (of its first page) looks past itself, to the
+page before and the page after it. A page without a neighbour that is no copy keeps all lines.
 
 Neighbours come from a range-partitioned sort by host, path and page_id, so a host of any size is spread over tasks;
 a page at the edge of a range has its neighbour on one side.
@@ -164,29 +164,48 @@ def shared(a: list[str], b: list[str]) -> set[int]:
     return found
 
 
-def own_lines(mine: list[tuple[str, bool]], others: list[list[tuple[str, bool]]]) -> list[str]:
+def _pairs(lines: list[str]) -> set[tuple[str, str]]:
+    words = " ".join(lines).lower().split()
+    return set(zip(["", *words], [*words, ""], strict=True)) if words else set()
+
+
+def copies(a: list[str], b: list[str]) -> bool:
+    """Near-equal pages: shared lines are most of both, and the rest is little and of one only, or has most word pairs in common."""
+    if a == b:
+        return True
+    size = max(sum(map(len, a)), sum(map(len, b)))
+    common = shared(a, b)
+    if 2 * sum(len(a[i]) for i in common) <= size:
+        return False
+    rest_a = [t for i, t in enumerate(a) if i not in common]
+    common = shared(b, a)
+    rest_b = [t for i, t in enumerate(b) if i not in common]
+    if not rest_a or not rest_b:
+        return 10 * sum(map(len, rest_a + rest_b)) <= size
+    p, q = _pairs(rest_a), _pairs(rest_b)
+    return 2 * len(p & q) >= len(p | q)
+
+
+def own_lines(lines: list[str], others: list[list[str]]) -> list[str]:
     """A page's lines without those that it shares with its neighbours."""
-    lines = [t for t, _ in mine]
     gone: set[int] = set()
-    if not all(m for _, m in mine):
-        size = sum(map(len, lines))
-        for other in others:
-            common = shared(lines, [t for t, _ in other])
-            weight = sum(len(lines[i]) for i in common)
-            if 2 * weight <= min(size, sum(len(t) for t, _ in other)):
-                gone |= common
-    return [t for i, (t, m) in enumerate(mine) if m or i not in gone]
+    for other in others:
+        gone |= shared(lines, other)
+    return [t for i, t in enumerate(lines) if i not in gone]
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages in order of host, path, page_id; each waits for the one after it."""
-    held: list[tuple] = []  # the last two pages
+    """Pages in order of host, path, page_id; a run of copies waits for the page after it."""
+    run: list[tuple] = []  # copies of its first page: (page_id, url, host, lines)
+    before: list[list[str]] = []  # the last and the first page of the run before, if of the same host
     cols = ([], [], [], [])
 
-    def emit(page: tuple, others: list[tuple]):
-        text = "\n".join(own_lines(page[3], [o[3] for o in others if o[2] == page[2]]))
-        for c, x in zip(cols, (page[0], page[1], text, len(text)), strict=True):
-            c.append(x)
+    def emit(after: list[list[str]]):
+        for page_id, url, _, lines in run:
+            near = [next((o for o in side if not copies(lines, o)), None) for side in (before, after)]
+            text = "\n".join(own_lines(lines, [o for o in near if o is not None]))
+            for c, x in zip(cols, (page_id, url, text, len(text)), strict=True):
+                c.append(x)
 
     def out():
         batch = pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.int64())], ["page_id", "url", "text", "n_chars"])
@@ -198,18 +217,19 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
             page_id, url, host, page = (batch.column(c)[i].as_py() for c in ("page_id", "url", "host", "html"))
-            held.append((page_id, url, host, blocks(page or "")))
+            lines = [t for t, _ in blocks(page or "")]
             size += len(page or "")
-            if len(held) == 2:
-                emit(held[0], [held[1]])
-            elif len(held) == 3:
-                emit(held[1], [held[0], held[2]])
-                held.pop(0)
+            same_host = bool(run) and run[0][2] == host
+            if same_host and copies(run[0][3], lines):
+                run.append((page_id, url, host, run[0][3] if lines == run[0][3] else lines))
+            else:
+                emit([lines] if same_host else [])
+                before = [run[-1][3], run[0][3]] if same_host else []
+                run = [(page_id, url, host, lines)]
             if size > 16 << 20:
                 yield out()
                 size = 0
-    if held:
-        emit(held[-1], held[:-1][-1:])
+    emit([])
     yield out()
 
 
@@ -218,7 +238,7 @@ def main_text(spark: SparkSession, pages: DataFrame) -> DataFrame:
     host = F.regexp_extract(F.lower(F.coalesce("url", F.lit(""))), r"^[a-z][a-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)", 1)
     path = F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
     src = pages.select("page_id", "url", host.alias("host"), path.alias("path"), F.col("html").cast("string").alias("html"))
-    # ranges of RANGE_ROWS pages at least: few pages lie at an edge, and all have a neighbour
+    # ranges of RANGE_ROWS pages at least: few pages lie at an edge
     n = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), pages.count() // RANGE_ROWS))
     dealt = src.repartitionByRange(n, "host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
     return dealt.select("page_id", "url", "host", "html").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
