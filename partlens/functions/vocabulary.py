@@ -45,3 +45,5 @@ REFERENCE_LIST = r"\d{4,6}(?:\s*[/,]\s*\d{4,6}){2,}"
 CALIBRE_LIST = r"\b(?:cal\.?|calibre|caliber|kaliber|calib)\s*:?\s*(\d{2,4}(?:\s*[,/]\s*\d{2,4}){1,})"
 CALIBRE_LABEL = r"\b(?:cal\.?|calibre|caliber|kaliber)\s*:?\s*(\d{2,4})\b"
 WHOLE_WATCH = r"\b(?:complete\s+watch|full\s+watch|wristwatch|komplette\s+uhr|ganze\s+uhr)\b"
+#: Names of watch models, of which a number may follow ("explorer 2").
+MODEL_WORDS = ["explorer", "submariner", "gmt", "master", "daytona", "datejust", "milgauss", "yacht-master", "yachtmaster", "sea-dweller", "seadweller", "day-date", "daydate", "oysterdate", "cosmograph", "turnograph"]
