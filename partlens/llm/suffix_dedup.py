@@ -7,8 +7,9 @@ Suffixes are indexed where any string of LENGTH bytes must have one: at its anch
 its GRAM-byte grams (ties: all of them), so equal strings have equal anchors. Anchors of a gram found only once
 can't repeat and leave. The rest are dealt by gram, each with its context (what may lie in a string around it).
 In a task they come in batches: a batch becomes a suffix array of its contexts, sorted from the anchor on; it is
-scanned against each level of the index for long matches; then levels of equal size merge, so n suffixes are
-merged log n times. A match to the right of the anchor and one to the left together mark the strings that repeat.
+merged into levels of equal size, so n suffixes are merged log n times. Batches aren't scanned against the levels: at
+a gram's end all levels are joined, and strings of LENGTH bytes around anchors of a common gram are compared by sorted
+64-bit fingerprints, complete up to hash collisions; the order of suffixes only brings those of a gram together.
 
 Anchors move as hashes; equal contexts are aggregated to one with their number before any bytes move: they repeat as
 a whole, and a group of any number of copies is one suffix. A gram with a single context needs no comparison.
