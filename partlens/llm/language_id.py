@@ -145,6 +145,8 @@ def held_out(id_col: str = "doc_id") -> Column:
 def recognised(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """docs without the rows of which no language can be told (null texts and texts without letters)."""
     labels, prototypes = train(docs)
+    if not labels:  # nothing to compare with: any text with letters stays
+        labels, prototypes = ["any"], np.zeros((1, DIM))
     names = [c for c in docs.columns if c not in ("lang_pred", "score")]
     told = predict(docs.select(*names), labels, prototypes, names, "text")
     return told.where(F.col("lang_pred") != UNKNOWN).select(*names)
