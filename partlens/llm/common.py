@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +50,26 @@ def small_enough(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, after which the worker, which Spark keeps for later tasks, gives unused memory back."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
+def give_back() -> None:
+    _pow.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc := ctypes.CDLL(None), "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
 # ---------------------------------------------------------------- byte arrays
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -73,7 +95,7 @@ def byte_view(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offs[0] : offs[-1]], offs - offs[0]
 
 
-def row_slices(col: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def row_slices(col: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of rows of at most ``most`` bytes together; a longer row is a range of its own."""
     _, offs = byte_view(col)
     lo, n = 0, len(col)

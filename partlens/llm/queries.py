@@ -36,7 +36,7 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from partlens.llm.suffix_dedup import remove_repeats
 
-    return remove_repeats(spark, table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return remove_repeats(spark, table(spark, sf_dir, "documents"))
 
 
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,17 +6,19 @@ overlaps count, and all strings are judged on the input. Matches never cross doc
 Suffixes are indexed where any string of LENGTH bytes must have one: at its anchors, the places of least hash over
 its GRAM-byte grams (ties: all of them), so equal strings have equal anchors. Anchors of a gram found only once
 can't repeat and leave. The rest are dealt by gram, each with its context (what may lie in a string around it).
-In a task they come in batches: a batch becomes a suffix array of its contexts, sorted from the anchor on; it is
-merged into levels of equal size, so n suffixes are merged log n times. Batches aren't scanned against the levels: at
-a gram's end all levels are joined, and strings of LENGTH bytes around anchors of a common gram are compared by sorted
-64-bit fingerprints, complete up to hash collisions; the order of suffixes only brings those of a gram together.
+In a task they come in batches. A batch becomes a suffix array of its contexts, with a mirror for what lies before the
+anchors; it is merged with the levels of its size, each merged level is scanned for matches of neighbours, and what levels are
+left at a gram's end are merged and scanned likewise, so a suffix is merged and scanned about log(n / BATCH) times. Matches are found
+by comparing bytes (``Level.scan``).
 
 Anchors move as hashes; equal contexts are aggregated to one with their number before any bytes move: they repeat as
-a whole, and a group of any number of copies is one suffix. A gram with a single context needs no comparison.
+a whole, and a group of any number of copies is one suffix. Contexts are equal if gram and context have equal 64-bit
+hashes. A gram with a single context needs no comparison. A gram's contexts meet in one task.
 
 Defined cases: null or empty text: nothing removed, the digest of no bytes; texts under LENGTH bytes keep all;
-copies under different ids are rows like any other; a doc_id names one row (of rows that repeat one, each loses what any of them repeats); an empty table gives an empty result;
-extra columns are ignored by ``remove_repeats`` and kept by ``without_repeats``.
+copies under different ids are rows like any other; rows that repeat a doc_id, and those without one, are rows of their own, so
+a repeated row repeats as a whole; an empty table gives an empty result; extra columns, of any name, are ignored by
+``remove_repeats`` and kept by ``without_repeats``.
 """
 
 from __future__ import annotations
@@ -26,10 +28,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partlens.llm.common import byte_view, materialize, mix, powers, prefix_hash, row_slices
+from partlens.llm.common import byte_view, materialize, mix, powers, prefix_hash, row_slices, tidy
 
 LENGTH, GRAM = 400, 32
 #: Starts of strings that hold an anchor: this many bytes before it at most.
@@ -96,21 +100,21 @@ def _gram_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-_OCCURRENCE = "row_id long, pos long, key long, ctx_id long, after int"
+_OCCURRENCE = "row_id long, row_hash long, pos long, key long, ctx_id long, after int"
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row_id, text) -> each anchor with a hash of its context and the number of bytes from it to the context's end."""
-    held: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+    """(row_id, row_hash, text) -> each anchor with a hash of its context and the number of bytes from it to the context's end."""
+    held: list[tuple[tuple[int, int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
 
     def out():
-        rows = np.repeat(np.array([x[0] for x in held], np.int64), [len(x[1]) for x in held])
+        rows = np.repeat(np.array([x[0] for x in held], np.int64), [len(x[1]) for x in held], axis=0)
         cols = [np.concatenate([x[i] for x in held]) for i in range(1, 5)]
         held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(rows), pa.array(cols[0]), pa.array(cols[1].view(np.int64)), pa.array(cols[2].view(np.int64)), pa.array(cols[3].astype(np.int32))], [x.split()[0] for x in _OCCURRENCE.split(", ")])
+        return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(cols[0]), pa.array(cols[1].view(np.int64)), pa.array(cols[2].view(np.int64)), pa.array(cols[3].astype(np.int32))], [x.split()[0] for x in _OCCURRENCE.split(", ")])
 
     total = 0
-    for batch, i, data in _texts(batches, 1):
+    for batch, i, data in _texts(batches, 2):
         if len(data) < LENGTH:
             continue
         h = _grams(data)
@@ -119,7 +123,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lo, hi = np.maximum(0, at - REACH), np.minimum(len(data), at + LENGTH)
         whole = (p[hi] - p[lo]) * powers(len(p))[1][lo]
         ctx = mix(mix(whole) + ((at - lo) * 1024 + (hi - at)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        held.append((batch.column(0)[i].as_py(), at, h[at], ctx, hi - at))
+        held.append(((batch.column(0)[i].as_py(), batch.column(1)[i].as_py()), at, h[at], ctx, hi - at))
         total += len(at)
         if total > 200_000:
             yield out()
@@ -153,62 +157,121 @@ def _context_batch(cols: tuple[list, ...]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["key", "left", "ctx", "ctx_id", "n"])
 
 
-class Level:
-    """A suffix array: contexts in the order of what follows their anchors."""
-
-    def __init__(self, rows: list[tuple[bytes, bytes, int]]):
-        self.rows = rows  # (after, before reversed, number)
+def _common(x: np.ndarray, y: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """How many bytes rows of x and y share from their begin, ``most`` at most."""
+    differ = x != y
+    n = differ.argmax(axis=1)
+    n[~differ[np.arange(len(n)), n]] = x.shape[1]
+    return np.minimum(n, most)
+
+
+class Contexts:
+    """What follows and precedes anchors, the latter backwards, as rows of bytes; room doubles when it is used up.
+
+    ``seen`` has a bit for each number of bytes before the anchor at which a repeated string begins.
+    """
+
+    def __init__(self):
+        self.size = 0
+        self.after, self.before = np.zeros((0, LENGTH), np.uint8), np.zeros((0, REACH), np.uint8)
+        self.n_after, self.n_before = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.key, self.ctx_id = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.seen = np.zeros((0, (REACH + 8) // 8), np.uint8)
+
+    def add(self, key: np.ndarray, left: np.ndarray, ctx: pa.Array, ctx_id: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The places of new contexts."""
+        data, offs = byte_view(ctx)
+        data = np.concatenate([np.zeros(REACH, np.uint8), data, np.zeros(LENGTH, np.uint8)])
+        at, right = offs[:-1] + REACH + left, np.diff(offs) - left
+        lo, hi = self.size, self.size + len(key)
+        if hi > len(self.key):
+            room = max(2 * len(self.key), hi)
+            for name in ("after", "before", "n_after", "n_before", "key", "ctx_id", "seen"):
+                old = getattr(self, name)
+                new = np.zeros((room, *old.shape[1:]), old.dtype)
+                new[:lo] = old[:lo]
+                setattr(self, name, new)
+        place = slice(lo, hi)
+        self.after[place] = sliding_window_view(data, LENGTH)[at]
+        self.after[place][np.arange(LENGTH) >= right[:, None]] = 0
+        self.before[place] = sliding_window_view(data, REACH)[at - REACH][:, ::-1]
+        self.before[place][np.arange(REACH) >= left[:, None]] = 0
+        self.n_after[place], self.n_before[place], self.key[place], self.ctx_id[place] = np.minimum(right, LENGTH), np.minimum(left, REACH), key, ctx_id
+        # a context that occurs more than once repeats as a whole
+        whole = self._range(self.n_after[place], self.n_before[place]) & (n > 1)[:, None]
+        self.seen[place] = np.packbits(whole, axis=1)
+        self.size = hi
+        return np.arange(lo, hi)
+
+    @staticmethod
+    def _range(after: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """The begins of strings of LENGTH bytes that lie in so many bytes after and before the anchor."""
+        d = np.arange(REACH + 1)
+        return (d >= (LENGTH - after)[:, None]) & (d <= before[:, None])
+
+    def by_after(self, ids: np.ndarray) -> np.ndarray:
+        ids = ids[np.argsort(self.n_after[ids], kind="stable")]
+        return ids[np.argsort(self.after[ids].view(f"S{LENGTH}").ravel(), kind="stable")]
+
+    def by_before(self, ids: np.ndarray) -> np.ndarray:
+        ids = ids[np.argsort(self.n_before[ids], kind="stable")]
+        ids = ids[np.argsort(self.before[ids].view(f"S{REACH}").ravel(), kind="stable")]
+        return ids[np.argsort(self.key[ids], kind="stable")]
 
-    def merged(self, other: Level) -> Level:
-        return Level(sorted(self.rows + other.rows))  # two sorted runs: the sort merges them
-
-def _mark(starts: dict[int, np.ndarray], i: int, size: int, lo: int, hi: int) -> None:
-    """Strings that begin lo..hi bytes before anchor i repeat."""
-    if lo <= hi:
-        starts.setdefault(i, np.zeros(REACH + 1, bool))[lo : hi + 1] = True
 
+class Level:
+    """A suffix array of contexts and its mirror: by what follows the anchors, and within a gram by what lies before."""
 
-#: Contexts whose strings are fingerprinted in one go.
-CHUNK = 4096
+    def __init__(self, all_: Contexts, after: np.ndarray, before: np.ndarray):
+        self.all, self.after, self.before = all_, after, before
 
+    @classmethod
+    def of(cls, all_: Contexts, ids: np.ndarray) -> Level:
+        return cls(all_, all_.by_after(ids), all_.by_before(ids))
 
-def _fingerprints(rows: list[tuple[bytes, bytes, int]], lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all strings that begin lo..hi bytes before the rows' anchors: fingerprint, row's number, bytes before."""
-    data = np.frombuffer(b"".join([b[:REACH][::-1] + a for a, b, _ in rows]), np.uint8)
-    before = np.array([min(len(b), REACH) for _, b, _ in rows])
-    after = np.array([len(a) for a, _, _ in rows])
-    begin = np.cumsum(before + after) - before - after
-    least, most = np.maximum(lo, LENGTH - after), np.minimum(hi, before)
-    n = np.maximum(most - least + 1, 0)
-    who = np.repeat(np.arange(len(rows)), n)
-    back = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + least[who]
-    at = (begin + before)[who] - back
-    p = prefix_hash(data)
-    key = (p[at + LENGTH] - p[at]) * powers(len(p))[1][at]
-    return mix(key + back.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), np.array([i for _, _, i in rows])[who], back
-
-
-def _scan(rows: list[tuple[bytes, bytes, int]], starts: dict[int, np.ndarray]) -> None:
-    """Mark the repeated strings among suffixes that share grams: the match to the right of the anchor, which the order
-    gives, counts with the one to the left, so strings are compared whole, by fingerprints."""
-    width = max(1, (REACH + 1) * 2 * CHUNK // max(len(rows), 2 * CHUNK))
-    for lo in range(0, REACH + 1, width):
-        parts = [_fingerprints(rows[i : i + CHUNK], lo, min(lo + width - 1, REACH)) for i in range(0, len(rows), CHUNK)]
-        key, who, back = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort(key)
-        key = key[order]
-        twin = np.zeros(len(key), bool)
-        same = key[1:] == key[:-1]
-        twin[1:] |= same
-        twin[:-1] |= same
-        hit = order[twin]
-        who, back = who[hit], back[hit]
-        order = np.argsort(who, kind="stable")
-        who, back = who[order], back[order]
-        cut = np.flatnonzero(np.diff(who)) + 1
-        for a, b in zip(np.concatenate([[0], cut]).tolist(), np.concatenate([cut, [len(who)]]).tolist(), strict=True):
-            if b > a:
-                starts.setdefault(int(who[a]), np.zeros(REACH + 1, bool))[back[a:b]] = True
+    def merged(self, other: Level) -> Level:
+        # two sorted runs each: the stable sorts merge them
+        return Level(self.all, self.all.by_after(np.concatenate([self.after, other.after])), self.all.by_before(np.concatenate([self.before, other.before])))
+
+    def scan(self) -> None:
+        """Find the strings that repeat in this level, by the neighbours of each context in both orders.
+
+        A context shares the most bytes after the anchor with its neighbours in the suffix array, and ever less with
+        those farther away; likewise before it in the mirror. A pair that shares x bytes after and y before the
+        anchor has in common the strings that begin LENGTH - x to y bytes before it. Contexts that were met in neither order up
+        to a distance share at most what those at that distance do; when all strings that this allows are found, a context is done.
+        """
+        c, n = self.all, len(self.after)
+        place_a, place_b = np.zeros(c.size, np.int64), np.zeros(c.size, np.int64)
+        place_a[self.after], place_b[self.before] = np.arange(n), np.arange(n)
+        for lo in range(0, n, CHUNK):
+            active = self.after[lo : lo + CHUNK]
+            step = 0
+            while len(active):
+                step += 1
+                found = np.unpackbits(c.seen[active], axis=1, count=REACH + 1).astype(bool)
+                bound_a, bound_b = np.zeros(len(active), np.int32), np.zeros(len(active), np.int32)
+                for order, place, bound, is_after in ((self.after, place_a, bound_a, True), (self.before, place_b, bound_b, False)):
+                    for side in (-step, step):
+                        q = place[active] + side
+                        ok = (q >= 0) & (q < n)
+                        ok[ok] = c.key[order[q[ok]]] == c.key[active[ok]]
+                        at = np.flatnonzero(ok)
+                        if not len(at):
+                            continue
+                        i, j = active[at], order[q[at]]
+                        x = _common(c.after[i], c.after[j], np.minimum(c.n_after[i], c.n_after[j]))
+                        y = _common(c.before[i], c.before[j], np.minimum(c.n_before[i], c.n_before[j]))
+                        bound[at] = np.maximum(bound[at], x if is_after else y)
+                        x[x < GRAM] = 0  # another gram of the same hash
+                        found[at] |= c._range(x, y)
+                c.seen[active] = np.packbits(found, axis=1)
+                more = (c._range(bound_a, bound_b) & ~found).any(axis=1)
+                active = active[more]
+
+
+#: Contexts that are scanned together.
+CHUNK = 1024
 
 
 def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -219,120 +282,141 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, left, ctx, ctx_id, n), all of a key in one task and in order: (key, ctx_id, lo, hi), the ranges of bytes before
     the anchor at which repeated strings begin. Grams come in order, so a finished gram's suffixes leave the index."""
-    levels: list[Level] = []
-    fresh: list[tuple[bytes, bytes, int]] = []
-    meta: list[tuple[tuple[int, int], int, int, int]] = []  # (key, ctx_id), n, before, after
-    starts: dict[int, np.ndarray] = {}
-
-    def absorb():
-        nonlocal fresh
-        level = Level(sorted(fresh))
-        fresh = []
-        while levels and len(levels[-1].rows) <= len(level.rows):
-            level = level.merged(levels.pop())
+    all_, levels = Contexts(), []
+
+    def absorb(ids: np.ndarray) -> None:
+        """A batch becomes a level; levels of its size are merged with it and scanned against it."""
+        level = Level.of(all_, ids)
+        level.scan()
+        while levels and len(levels[-1].after) <= len(level.after):
+            level = levels.pop().merged(level)
+            level.scan()
         levels.append(level)
 
-    def flush():
-        if fresh:
-            absorb()
-        whole = levels[0]
-        for more in levels[1:]:
-            whole = whole.merged(more)
+    def flush() -> pa.RecordBatch:
+        """The index's levels, smallest first, are merged with one another and scanned; it is empty after that."""
+        nonlocal all_
+        while len(levels) > 1:
+            small = levels.pop()
+            levels.append(levels.pop().merged(small))
+            levels[-1].scan()
         levels.clear()
-        lo, shared = 0, []
-        rows = whole.rows
-        for at in range(1, len(rows) + 1):  # runs of suffixes with a common gram
-            if at == len(rows) or rows[at][0][:GRAM] != rows[lo][0][:GRAM]:
-                if at - lo > 1:
-                    shared += rows[lo:at]
-                lo = at
-        if shared:
-            _scan(shared, starts)
-        out: tuple[list, ...] = ([], [], [], [])
-        for i, ((key, ctx_id), n, before, after) in enumerate(meta):
-            if n > 1:
-                _mark(starts, i, 0, max(0, LENGTH - after), min(before, REACH))
-            if i in starts:
-                for a, b in _runs(starts[i]):
-                    for c, x in zip(out, (key, ctx_id, a, b - 1), strict=True):
-                        c.append(x)
-        meta.clear()
-        starts.clear()
-        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32())], ["key", "ctx_id", "lo", "hi"])
+        flags = np.unpackbits(all_.seen[: all_.size], axis=1, count=REACH + 1)
+        edge = np.diff(np.pad(flags, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+        who, lo = np.nonzero(edge == 1)
+        hi = np.nonzero(edge == -1)[1] - 1
+        out = pa.RecordBatch.from_arrays([pa.array(all_.key[who]), pa.array(all_.ctx_id[who]), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], ["key", "ctx_id", "lo", "hi"])
+        all_ = Contexts()
+        return out
 
     last = None
     for batch in batches:
-        for key, left, ctx, ctx_id, n in zip(*(batch.column(c).to_pylist() for c in ("key", "left", "ctx", "ctx_id", "n")), strict=True):
-            if key != last and len(meta) >= 4 * BATCH:
+        cols = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "left", "ctx_id", "n")}
+        keys = cols["key"]
+        ends = np.append(np.flatnonzero(np.diff(keys)) + 1, len(keys)) if len(keys) else []
+        lo = 0
+        while lo < len(keys):
+            if last is not None and keys[lo] != last and all_.size >= BATCH:
                 yield flush()
-            last = key
-            fresh.append((ctx[left:], ctx[:left][::-1], len(meta)))
-            meta.append(((key, ctx_id), n, left, len(ctx) - left))
-            if len(fresh) >= BATCH:
-                absorb()
-    if meta:
+            # whole grams, about a batch of them; of a gram of more than that a part
+            hi = int(ends[max(np.searchsorted(ends, lo + BATCH, side="right") - 1, 0)])
+            hi = hi if hi > lo else min(lo + BATCH, len(keys))
+            part = slice(lo, hi)
+            absorb(all_.add(keys[part], cols["left"][part], batch.column("ctx").slice(lo, hi - lo), cols["ctx_id"][part], cols["n"][part]))
+            last, lo = keys[hi - 1], hi
+    if all_.size:
         yield flush()
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row_id, text, spans) -> what is left of each text; spans: repeated ranges, in any order."""
+    """(doc_id, text, spans) -> what is left of each text; spans: repeated ranges, in any order."""
     for batch in batches:
-        spans = batch.column("spans")
-        cols = ([], [], [], [], [], [])
+        spans, ids = batch.column("spans"), batch.column("doc_id")
+        first, size = 0, 0
+        cols: tuple[list, ...] = ([], [], [], [], [])
+
+        def out(lo: int, hi: int):
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            return pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+
         for j, (_, i, data) in enumerate(_texts(iter([batch]), 1)):
             assert i == j
-            n, keep = len(data), np.ones(len(data), bool)
-            runs = 0
+            n, left, runs = len(data), data.tobytes(), 0
             own = spans[i].values if spans[i].is_valid else None
             if own is not None and len(own):
-                step = np.zeros(n + 1, np.int64)
+                step = np.zeros(n + 1, np.int32)
                 np.add.at(step, own.field(0).to_numpy(zero_copy_only=False), 1)
                 np.add.at(step, own.field(1).to_numpy(zero_copy_only=False), -1)
                 gone = np.cumsum(step[:n]) > 0
-                keep = ~gone
-                runs = len(_runs(gone))
-            left = data[keep].tobytes()
-            for c, x in zip(cols, (n, n - len(left), runs, hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore") if runs else None, batch.column("row_id")[i].as_py()), strict=True):
+                left, runs = data[~gone].tobytes(), len(_runs(gone))
+            # a cut may part the bytes of a character; such bytes count in the digest and are no text
+            for c, x in zip(cols, (n, n - len(left), runs, hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore")), strict=True):
                 c.append(x)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "row_id"])
+            size += n
+            if size > 4 << 20:
+                yield out(first, i + 1)
+                first, size, cols = i + 1, 0, ([], [], [], [], [])
+        if cols[0]:
+            yield out(first, batch.num_rows)
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """docs with row_id and row_hash, which name a row's id and text together: rows that repeat an id keep apart."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("row_id"), F.xxhash64(text, F.isnull("doc_id")).alias("row_hash"))
 
 
 def _spans(spark: SparkSession, rows: DataFrame) -> DataFrame:
-    """(row_id, spans) of the rows (row_id, text) that hold repeats."""
-    keys = rows.select("text").mapInArrow(_gram_keys, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
-    found = rows.select("row_id", "text").mapInArrow(_occurrences, _OCCURRENCE).join(keys, "key", "left_semi")
+    """(row_id, row_hash, spans) of the rows (row_id, row_hash, text) that hold repeats."""
+    keys = rows.select("text").mapInArrow(tidy(_gram_keys), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
+    keys = materialize(spark, keys, "suffix-keys")  # written, so that the join can be split where one gram is frequent
+    found = rows.select("row_id", "row_hash", "text").mapInArrow(tidy(_occurrences), _OCCURRENCE).join(keys, "key", "left_semi")
     found = materialize(spark, found, "suffix-anchors")
     # equal contexts are one; a gram with one context only repeats with it as a whole, and nothing is to be compared
-    one = found.groupBy("key", "ctx_id").agg(F.count("*").alias("n"), F.min(F.struct("row_id", "pos")).alias("at"), F.first("after").alias("after"))
+    one = found.groupBy("key", "ctx_id").agg(F.count("*").alias("n"), F.min(F.struct("row_id", "row_hash", "pos")).alias("at"), F.first("after").alias("after"))
     one = materialize(spark, one, "suffix-contexts")
-    several = one.groupBy("key").agg(F.count("*").alias("d"))
+    several = materialize(spark, one.groupBy("key").agg(F.count("*").alias("d")), "suffix-grams")  # likewise
     told = one.join(several, "key")
     left = F.least("at.pos", F.lit(REACH)).cast("int")
     alone = told.where("d = 1").select("key", "ctx_id", F.greatest(F.lit(0), LENGTH - F.col("after")).alias("lo"), left.alias("hi")).where("lo <= hi")
-    asked = told.where("d > 1").groupBy(F.col("at.row_id").alias("row_id")).agg(F.collect_list(F.struct(F.col("at.pos").alias("pos"), "key", "ctx_id", "n")).alias("wanted"))
-    contexts = rows.join(asked, "row_id").select("text", "wanted").mapInArrow(_contexts, "key long, left int, ctx binary, ctx_id long, n long")
-    hits = contexts.repartition("key").sortWithinPartitions("key").mapInArrow(_index, "key long, ctx_id long, lo int, hi int")
+    asked = told.where("d > 1").groupBy("at.row_id", "at.row_hash").agg(F.collect_list(F.struct(F.col("at.pos").alias("pos"), "key", "ctx_id", "n")).alias("wanted"))
+    # rows that repeat id and text are one here: ``n`` counts their contexts
+    contexts = rows.join(asked, ["row_id", "row_hash"]).select("text", "wanted").mapInArrow(tidy(_contexts), "key long, left int, ctx binary, ctx_id long, n long")
+    hits = contexts.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(_index), "key long, ctx_id long, lo int, hi int")
     hits = materialize(spark, hits.unionByName(alone), "suffix-hits")
-    spans = found.select("row_id", "pos", "key", "ctx_id").join(hits, ["key", "ctx_id"]).selectExpr("row_id", f"struct(pos - hi AS a, pos - lo + {LENGTH} AS b) AS span")
-    return spans.groupBy("row_id").agg(F.collect_list("span").alias("spans"))
-
-
-def _kept(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    rows = docs.select(F.col("doc_id").alias("row_id"), F.col("text").cast("string").alias("text"))
-    spans = _spans(spark, rows.where(F.octet_length("text") >= LENGTH))
-    return rows.join(spans, "row_id", "left").select("row_id", "text", "spans").mapInArrow(_cut, "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string, row_id long")
+    spans = found.select("row_id", "row_hash", "pos", "key", "ctx_id").join(hits, ["key", "ctx_id"]).selectExpr("row_id", "row_hash", f"struct(pos - hi AS a, pos - lo + {LENGTH} AS b) AS span")
+    return spans.groupBy("row_id", "row_hash").agg(F.collect_set("span").alias("spans"))
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept): kept, the bytes left as text, is null where all stay."""
-    return _kept(spark, docs).withColumnRenamed("row_id", "doc_id")
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept): kept holds the bytes left, as text."""
+    rows = _rows(docs)
+    spans = _spans(spark, rows.where(F.octet_length("text") >= LENGTH))
+    return rows.join(spans, ["row_id", "row_hash"], "left").select("doc_id", "text", "spans").mapInArrow(tidy(_cut), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with the repeated bytes cut from the text; documents of which nothing is left leave."""
-    kept = _kept(spark, docs).where("n_removed > 0").select(F.col("row_id").alias("doc_id"), F.col("kept").alias("__kept"), F.expr("n_removed = n_bytes").alias("__gone"))
-    both = docs.join(kept, "doc_id", "left").where("NOT coalesce(__gone, false)")
-    if "n_chars" in docs.columns:
-        both = both.withColumn("n_chars", F.coalesce(F.char_length("__kept").cast(docs.schema["n_chars"].dataType), "n_chars"))
-    return both.withColumn(text_col, F.coalesce("__kept", text_col)).select(*docs.columns)
+    names = docs.columns
+    one, two, had = (f"{x}_{'_'.join(names)}" for x in ("id", "hash", "spans"))  # names that docs can't have
+    text = F.col(text_col).cast("string")
+    keyed = docs.withColumns({one: F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), two: F.xxhash64(text, F.isnull("doc_id"))})
+    spans = _spans(spark, keyed.select(F.col(one).alias("row_id"), F.col(two).alias("row_hash"), text.alias("text")).where(F.octet_length("text") >= LENGTH))
+    both = keyed.join(spans.select(F.col("row_id").alias(one), F.col("row_hash").alias(two), F.col("spans").alias(had)), [one, two], "left")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, done = batch.schema.names, 0
+            asked = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column(at.index(text_col)).cast(pa.string()), batch.column(at.index(had))], ["doc_id", "text", "spans"])
+            for got in _cut(iter([asked])):
+                part, done = batch.slice(done, got.num_rows), done + got.num_rows
+                cols = {c: part.column(c) for c in names}
+                removed, left = got.column("n_removed").to_numpy(), got.column("kept")
+                cols[text_col] = pc.if_else(pa.array(removed > 0), left, cols[text_col].cast(pa.string()))
+                if "n_chars" in cols:
+                    cols["n_chars"] = pc.if_else(pa.array(removed > 0), pc.utf8_length(left).cast(cols["n_chars"].type), cols["n_chars"])
+                keep = (removed == 0) | (removed < got.column("n_bytes").to_numpy())
+                yield pa.RecordBatch.from_arrays([cols[c] for c in names], names).filter(pa.array(keep))
+
+    kinds = ", ".join(f"`{f.name}` {'string' if f.name == text_col else f.dataType.simpleString()}" for f in docs.schema.fields)
+    return both.select(*names, had).mapInArrow(tidy(cut), kinds)
