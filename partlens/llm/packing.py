@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partlens.llm.common import filled, materialize, mix
+from partlens.llm.common import filled, materialize, mix, row_slices, tidy
 from partlens.llm.tokens import TOKENIZER, ids
 
 LENGTH, END_ID = 1024, 0
@@ -61,34 +61,25 @@ _SLOT = (mix(np.arange(1 << 16, dtype=np.uint64)) % np.uint64(HASHED)).astype(np
 
 def _tokenize(name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = ids(name)
-        end = np.array([END_ID], np.uint16).tobytes()
+        encode = ids(name).encode
         for batch in batches:
-            out, points, first, size = [], [], 0, 0
             texts = filled(batch.column(1))
-
-            def part(lo: int, hi: int):
-                y = np.array(points) @ _SIGNS
+            for lo, hi in row_slices(texts, 1 << 20):
+                flat, starts = encode(texts.slice(lo, hi - lo), END_ID)
+                slot = _SLOT[flat]
+                points = np.empty((hi - lo, DIMS))
+                for i in range(hi - lo):
+                    v = np.bincount(slot[starts[i] : starts[i + 1]], minlength=HASHED).astype(np.float64)
+                    points[i] = v @ _SIGNS / np.sqrt(v @ v)
                 # of unit vectors a projection's spread is 1; two spreads to either side fill the cube
-                cell = np.clip((y + 2) / 4 * (1 << BITS), 0, (1 << BITS) - 1)
+                cell = np.clip((points + 2) / 4 * (1 << BITS), 0, (1 << BITS) - 1)
                 doc = batch.column(0).slice(lo, hi - lo)
                 spread = mix(doc.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) >> np.uint64(36)
                 key = hilbert_key(cell) << 28 | spread.astype(np.int64)
-                return pa.RecordBatch.from_arrays([doc, pa.array(key), pa.array([len(x) // 2 for x in out], pa.int64()), pa.array(out, pa.binary())], ["doc_id", "key", "n", "ids"])
-
-            for i in range(batch.num_rows):
-                got = encode(texts[i].as_py()) + end
-                out.append(got)
-                v = np.bincount(_SLOT[np.frombuffer(got, np.uint16)], minlength=HASHED).astype(np.float64)
-                points.append(v / np.linalg.norm(v))
-                size += len(got)
-                if size > 8 << 20:
-                    yield part(first, i + 1)
-                    out, points, first, size = [], [], i + 1, 0
-            if out:
-                yield part(first, batch.num_rows)
+                coded = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((starts * 2).astype(np.int32)), pa.py_buffer(flat.astype("<u2"))])
+                yield pa.RecordBatch.from_arrays([doc, pa.array(key), pa.array(np.diff(starts), pa.int64()), coded], ["doc_id", "key", "n", "ids"])
 
-    return run
+    return tidy(run)
 
 
 def _pieces(base: dict[int, int], length: int):
@@ -108,7 +99,7 @@ def _pieces(base: dict[int, int], length: int):
                     start, at = start + size, at + size
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    return run
+    return tidy(run)
 
 
 def pack(spark: SparkSession, docs: DataFrame, length: int = LENGTH, tokenizer: str = TOKENIZER) -> DataFrame:

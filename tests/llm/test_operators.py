@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from partlens.llm import decontaminate, embedding_join, html_extract, jaccard_join, language_id, packing, suffix_dedup, token_file, toxicity, warc
-from partlens.llm.tokens import Ids
+from partlens.llm.tokens import tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, token string, rep long"
 WORDS = [f"w{i}" for i in range(400)]
@@ -54,20 +54,44 @@ def test_jaccard_join_equals_brute_force(spark, docs, nothing):
     assert jaccard_join.jaccard_components(spark, nothing).count() == 0
 
 
-def test_suffix_dedup_equals_brute_force(spark, docs, nothing):
-    raw = [(t or "").encode() for t in TEXTS]
+def _cut_by_hand(texts):
+    raw = [(t or "").encode() for t in texts]
     seen = Counter(b[i : i + 400] for b in raw for i in range(len(b) - 399))
-    want = {}
-    for k, b in enumerate(raw):
+    out = []
+    for b in raw:
         gone = np.zeros(len(b), bool)
         for i in range(len(b) - 399):
             if seen[b[i : i + 400]] > 1:
                 gone[i : i + 400] = True
-        want[k] = (len(b), int(gone.sum()), hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest())
-    assert {r.doc_id: (r.n_bytes, r.n_removed, r.kept_sha256) for r in suffix_dedup.remove_repeats(spark, docs).collect()} == want
+        left = np.frombuffer(b, np.uint8)[~gone].tobytes()
+        runs = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
+        out.append((len(b), int(gone.sum()), runs, hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore")))
+    return out
+
+
+def test_suffix_dedup_equals_brute_force(spark, docs, nothing):
+    got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.remove_repeats(spark, docs).collect()}
+    assert got == dict(enumerate(_cut_by_hand(TEXTS)))
     assert suffix_dedup.remove_repeats(spark, nothing).count() == 0
 
 
+def test_suffix_dedup_of_repeated_and_missing_ids(spark):
+    one, two = _text(21, 300), _text(22, 300)
+    passage = _text(23, 130)
+    texts = [one, one, two, passage + " x " + one[:100], "y " + passage + " z", None, passage[:410]]
+    ids = [1, 1, 1, None, None, None, 7]
+    rows = [(i, t, "a", "b") for i, t in zip(ids, texts, strict=True)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __kept string, spans string")
+    got = sorted((tuple(r) for r in suffix_dedup.remove_repeats(spark, docs).collect()), key=repr)
+    want = _cut_by_hand(texts)
+    assert got == sorted(((i, *w) for i, w in zip(ids, want, strict=True)), key=repr)
+    left = suffix_dedup.without_repeats(spark, docs)
+    assert left.columns == docs.columns
+    kept = [(i, w[4] if w[1] else t) for i, w, t in zip(ids, want, texts, strict=True) if w[1] == 0 or w[1] < w[0]]
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=repr) == sorted(kept, key=repr)
+    assert all(r["__kept"] == "a" and r.spans == "b" for r in left.collect())
+
+
 def test_language_id(spark, docs, nothing):
     rows = [(i, "the house and the garden " * 3 if i % 2 else "la maison et le jardin " * 3, "en" if i % 2 else "fr") for i in range(60)]
     got = language_id.identify(spark, spark.createDataFrame(rows + [(100, None, "en"), (101, "123 !", None)], "doc_id long, text string, lang string")).collect()
@@ -117,8 +141,10 @@ def test_html_extraction(spark):
 
 
 def test_packing_and_token_file(spark, docs, nothing):
-    encode = Ids()
-    ids = {i: np.frombuffer(encode(t or ""), np.uint16) for i, t in enumerate(TEXTS)}
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer_path())
+    ids = {i: np.array(library.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(TEXTS)}
     pieces = packing.pack(spark, docs).collect()
     for r in pieces:
         whole = np.append(ids[r.doc_id], 0).astype("<u4")
@@ -137,13 +163,29 @@ def test_packing_and_token_file(spark, docs, nothing):
 
 def test_coder_round_trip_and_damage():
     rng = np.random.default_rng(5)
-    blocks = [rng.integers(0, 60, 2048).astype(np.uint16), np.repeat(np.uint16(7), 2048), rng.integers(0, 65536, 100).astype(np.uint16)]
-    coded = token_file.encode_blocks(blocks)
-    back = token_file.decode_blocks(coded, [len(b) for b in blocks])
-    assert all((a == b).all() for a, b in zip(blocks, back, strict=True)) and len(coded[1]) < 400
+    blocks = [rng.integers(0, 60, 2048).astype(np.uint16), np.repeat(np.uint16(7), 2048), rng.integers(0, 65536, 2048).astype(np.uint16), rng.integers(0, 65536, 100).astype(np.uint16)]
+    order0 = token_file.order0_table(np.concatenate(blocks))
+    coded = token_file.encode_blocks(blocks, order0)
+    back = token_file.decode_blocks(coded, [len(b) for b in blocks], order0)
+    assert all((a == b).all() for a, b in zip(blocks, back, strict=True)) and len(coded[1]) < 200
+    # a block stands by itself
+    assert (token_file.decode_blocks(coded[1:2], [2048], order0)[0] == blocks[1]).all()
+    table = token_file.packed_table(order0)
+    assert all((a == b).all() for a, b in zip(token_file.unpacked_table(table), order0, strict=True))
     broken = bytes([coded[0][0] ^ 1]) + coded[0][1:]
     with pytest.raises(ValueError):
-        token_file.read_frame([2048], [len(broken) // 2], [zlib.crc32(blocks[0].astype("<u4"))], broken)
+        token_file.read_frame([2048], [len(broken) // 2], [zlib.crc32(blocks[0])], table, broken)
+
+
+def test_coded_ids_are_smaller_than_zlib_makes_them():
+    rng = np.random.default_rng(11)
+    words = [rng.integers(0, 3000, rng.integers(1, 4)) for _ in range(4000)]
+    pick = np.minimum(rng.zipf(1.2, 300_000) - 1, 3999)
+    flat = np.concatenate([words[i] for i in pick]).astype(np.uint16)
+    blocks = [flat[i : i + token_file.BLOCK] for i in range(0, len(flat), token_file.BLOCK)]
+    order0 = token_file.order0_table(flat)
+    size = sum(map(len, token_file.encode_blocks(blocks, order0))) + len(token_file.packed_table(order0))
+    assert size < len(zlib.compress(flat.tobytes(), 9))
 
 
 def test_embedding_join_equals_brute_force(spark):
