@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partlens.llm.common import components, materialize
+from partlens.llm.common import components, materialize, tidy
 
 COSINE, BLOCKS, PART = 0.9, 8, 16384
 #: Slack for rounding in bounds; what passes them is compared exactly.
@@ -183,21 +183,21 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, cosine: float = COSINE
     if usual is None:
         return src.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     dim = usual["d"]
-    rows = materialize(spark, sound.where(F.size("v") == dim).select("vec_id", "v").mapInArrow(_pack, "vec_id long, vec binary"), "emb-rows")
+    rows = materialize(spark, sound.where(F.size("v") == dim).select("vec_id", "v").mapInArrow(tidy(_pack), "vec_id long, vec binary"), "emb-rows")
     classes = materialize(spark, rows.groupBy("vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")), "emb-classes")
-    placed = classes.mapInArrow(_cells(dim, 2 - 2 * cosine), "block int, cell long, visitor boolean, rep long, weight long, z binary")
-    sizes = classes.select("rep", "weight", "vec").mapInArrow(_cells(dim, 2 - 2 * cosine), "block int, cell long, visitor boolean, rep long, weight long, z binary").groupBy("block", "cell").agg(F.count("*").alias("n"), F.count_if(~F.col("visitor")).alias("members")).where("members > 0 AND n > 1").selectExpr("block", "cell", f"cast(ceil(n / {PART}) AS int) AS parts")
+    placed = classes.mapInArrow(tidy(_cells(dim, 2 - 2 * cosine)), "block int, cell long, visitor boolean, rep long, weight long, z binary")
+    sizes = classes.select("rep", "weight", "vec").mapInArrow(tidy(_cells(dim, 2 - 2 * cosine)), "block int, cell long, visitor boolean, rep long, weight long, z binary").groupBy("block", "cell").agg(F.count("*").alias("n"), F.count_if(~F.col("visitor")).alias("members")).where("members > 0 AND n > 1").selectExpr("block", "cell", f"cast(ceil(n / {PART}) AS int) AS parts")
     dealt = placed.join(F.broadcast(sizes), ["block", "cell"]).withColumn("part", F.expr("cast(pmod(xxhash64(rep), parts) AS int)"))
     # members of part p meet those of part q >= p; visitors of any part q meet the members of every p
     pair = F.expr("explode(CASE WHEN visitor THEN transform(sequence(0, parts - 1), p -> struct(p AS p, part AS q)) ELSE transform(sequence(0, parts - 1), x -> struct(least(part, x) AS p, greatest(part, x) AS q)) END)")
     back = F.expr("explode(CASE WHEN visitor THEN array(struct(pq.p AS p, pq.q AS q)) WHEN pq.p = pq.q THEN array(struct(pq.p AS p, pq.q AS q)) ELSE array(struct(pq.p AS p, pq.q AS q), struct(pq.q AS p, pq.p AS q)) END)")
     met = dealt.withColumn("pq", pair).withColumn("pq", back).select("block", "cell", "pq.p", "pq.q", "visitor", "rep", "weight", "z", "part")
-    joined = met.groupBy("block", "cell", "p", "q").agg(F.collect_list(F.struct("rep", "weight", "visitor", "part", "z")).alias("rows")).mapInArrow(_join(dim, cosine), "a long, kind int, x long")
+    joined = met.groupBy("block", "cell", "p", "q").agg(F.collect_list(F.struct("rep", "weight", "visitor", "part", "z")).alias("rows")).mapInArrow(tidy(_join(dim, cosine)), "a long, kind int, x long")
     found = materialize(spark, joined, "emb-links")
     one = classes.select(F.col("rep").alias("a"), F.col("vec").alias("va"), F.col("weight").alias("wa"))
     two = classes.select(F.col("rep").alias("x"), F.col("vec").alias("vb"), F.col("weight").alias("wb"))
     close = found.where("kind = 2").select("a", "x").join(one, "a").join(two, "x").select("a", "x", "va", "vb", "wa", "wb")
-    exact = materialize(spark, close.mapInArrow(_exact(dim, cosine), "a long, x long, wa long, wb long"), "emb-exact")
+    exact = materialize(spark, close.mapInArrow(tidy(_exact(dim, cosine)), "a long, x long, wa long, wb long"), "emb-exact")
     counts = found.where("kind = 0").select("a", "x").unionByName(exact.selectExpr("a", "wb AS x")).unionByName(exact.selectExpr("x AS a", "wa AS x"))
     sums = counts.groupBy(F.col("a").alias("rep")).agg(F.sum("x").alias("n"))
     links = found.where("kind = 1").selectExpr("a", "x AS b").unionByName(exact.selectExpr("a", "x AS b"))

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from partlens.llm.common import tidy
+
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 ATTR = re.compile(r"([a-zA-Z_:][-a-zA-Z0-9_:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "select", "xmp", "noembed", "noframes"}
@@ -241,4 +243,4 @@ def main_text(spark: SparkSession, pages: DataFrame) -> DataFrame:
     # ranges of RANGE_ROWS pages at least: few pages lie at an edge
     n = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), pages.count() // RANGE_ROWS))
     dealt = src.repartitionByRange(n, "host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
-    return dealt.select("page_id", "url", "host", "html").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    return dealt.select("page_id", "url", "host", "html").mapInArrow(tidy(_extract), "page_id long, url string, text string, n_chars long")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partlens.llm.common import filled, row_slices
+from partlens.llm.common import filled, row_slices, tidy
 
 DIM, N, SYMBOLS = 512, 3, 48
 UNKNOWN = "und"
@@ -31,11 +31,10 @@ UNKNOWN = "und"
 def _symbol_table() -> np.ndarray:
     """Code point -> symbol: 0 for blanks and all that is no letter, a-z 1..26, other letters 27..SYMBOLS-1."""
     out = np.zeros(0x110000, np.uint8)
-    for c in range(0x110000):
-        ch = chr(c)
-        if ch.isalpha():
-            low = ord(ch.lower()[0])
-            out[c] = low - 96 if 97 <= low <= 122 else 27 + low % (SYMBOLS - 27)
+    for first in range(0, 0x110000, 0x1000):  # a part of the code points at a time
+        letters = [c for c in range(first, first + 0x1000) if chr(c).isalpha()]
+        low = np.array([ord(chr(c).lower()[0]) for c in letters], np.int64)
+        out[letters] = np.where((low >= 97) & (low <= 122), low - 96, 27 + low % (SYMBOLS - 27))
     return out
 
 
@@ -48,15 +47,25 @@ def symbols() -> np.ndarray:
     return _cache["s"]
 
 
-def gram_vectors() -> np.ndarray:
-    """The bound vector of each n-gram of symbols, int8, SYMBOLS**N x DIM."""
+def letter_vectors() -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of the symbols, and those of all runs of N - 1 symbols, bound and permuted once more: int8, a row for each."""
     if "v" not in _cache:
         letters = np.random.default_rng(7919).integers(0, 2, (SYMBOLS, DIM), dtype=np.int8) * np.int8(2) - np.int8(1)
         bound = letters
-        for place in range(1, N):
+        for _ in range(2, N):
             bound = (np.roll(bound, 1, axis=1)[:, None, :] * letters[None, :, :]).reshape(-1, DIM)
-        _cache["v"] = bound
-    return _cache["v"]
+        _cache["v"], _cache["w"] = letters, np.roll(bound, 1, axis=1)
+    return _cache["v"], _cache["w"]
+
+
+def bundle(grams: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The sum of the bound vectors of n-grams, each as often as it occurs."""
+    letters, before = letter_vectors()
+    out = np.zeros(DIM)
+    for k in range(0, len(grams), 2048):
+        g = grams[k : k + 2048]
+        out += n[k : k + 2048].astype(np.float32) @ (before[g // SYMBOLS] * letters[g % SYMBOLS]).astype(np.float32)
+    return out
 
 
 def gram_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -84,6 +93,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for lang in set(names):
                 parts = [codes[a:b] for a, b, x in zip(first[:-1], ends, names, strict=True) if x == lang]
                 sums[lang] = sums.get(lang, 0) + np.bincount(np.concatenate(parts), minlength=size)
+    _cache.clear()
     for lang, n in sums.items():
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(n[at].astype(np.int64))], ["lang", "gram", "n"])
@@ -94,24 +104,22 @@ def train(rows: DataFrame) -> tuple[list[str], np.ndarray]:
 
     What reaches the driver is a table of at most labels x SYMBOLS**N counts, whatever the number of rows.
     """
-    counts = rows.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text").mapInArrow(_count, "lang string, gram int, n long")
+    counts = rows.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text").mapInArrow(tidy(_count), "lang string, gram int, n long")
     got = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     labels = sorted(set(got["lang"])) if len(got) else []
-    v = gram_vectors()
     out = np.zeros((len(labels), DIM))
     for i, lang in enumerate(labels):
         own = got[got["lang"] == lang]
-        out[i] = own["n"].to_numpy(np.float64) @ v[own["gram"].to_numpy()]
+        out[i] = bundle(own["gram"].to_numpy(), own["n"].to_numpy())
     norm = np.linalg.norm(out, axis=1, keepdims=True)
     return labels, out / np.where(norm == 0, 1, norm)
 
 
 def predict(docs: DataFrame, labels: list[str], prototypes: np.ndarray, id_cols: list[str], text_col: str) -> DataFrame:
     """docs' id columns with lang_pred and score."""
-    proto = prototypes.astype(np.float32)
+    proto = prototypes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = gram_vectors()
         for batch in batches:
             texts = filled(batch.column(text_col))
             lang, score = [], []
@@ -122,19 +130,17 @@ def predict(docs: DataFrame, labels: list[str], prototypes: np.ndarray, id_cols:
                         lang.append(UNKNOWN)
                         score.append(0.0)
                         continue
-                    grams, n = np.unique(codes[a:b], return_counts=True)
-                    doc = np.zeros(DIM, np.float32)
-                    for k in range(0, len(grams), 4096):
-                        doc += n[k : k + 4096].astype(np.float32) @ v[grams[k : k + 4096]].astype(np.float32)
+                    doc = bundle(*np.unique(codes[a:b], return_counts=True))
                     cos = proto @ doc / max(float(np.linalg.norm(doc)), 1e-30)
                     best = int(np.argmax(cos))
                     lang.append(labels[best])
                     score.append(min(1.0, max(0.0, float(cos[best]))))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in id_cols), pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*id_cols, "lang_pred", "score"])
+        _cache.clear()  # a worker that Spark keeps must not keep the vectors
 
     src = docs.select(*dict.fromkeys([*id_cols, text_col]))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields if f.name in id_cols)
-    return src.mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    return src.mapInArrow(tidy(run), f"{kinds}, lang_pred string, score double")
 
 
 def held_out(id_col: str = "doc_id") -> Column:

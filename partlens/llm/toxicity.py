@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partlens.llm.common import IS_SPACE, LOWER, byte_view, filled, prefix_hash, row_slices, span_hashes, word_spans
+from partlens.llm.common import IS_SPACE, LOWER, byte_view, filled, prefix_hash, row_slices, span_hashes, tidy, word_spans
 
 BITS, STEMS, LEAST_DF, LEAST_Z = 22, (4, 5, 6), 4, 5.0
 SAMPLE = 12_000
@@ -108,7 +108,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
                 rows = [r.tobytes() for r in features(*byte_view(texts.slice(lo, hi - lo)))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(rows, pa.binary())], ["grade", "slots"])
 
-    got = src.join(F.broadcast(some), "doc_id").select("grade", "text").mapInArrow(run, "grade int, slots binary").toArrow()
+    got = src.join(F.broadcast(some), "doc_id").select("grade", "text").mapInArrow(tidy(run), "grade int, slots binary").toArrow()
     grade = np.array(got.column("grade").to_pylist(), int)
     if not len(grade):
         return np.zeros(1 << BITS, np.float32), np.zeros(0)
@@ -130,4 +130,4 @@ def severity(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: in
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p.sum(axis=1)), pa.array(first), pa.array(first >= 0.5), pa.array((p >= 0.5).sum(axis=1).astype(np.int32))], ["doc_id", "severity", "p_toxic", "toxic_pred", "grade_pred"])
 
     src = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return src.mapInArrow(run, "doc_id long, severity double, p_toxic double, toxic_pred boolean, grade_pred int")
+    return src.mapInArrow(tidy(run), "doc_id long, severity double, p_toxic double, toxic_pred boolean, grade_pred int")

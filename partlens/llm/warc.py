@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partlens.llm.common import fresh_path, materialize
+from partlens.llm.common import fresh_path, materialize, tidy
 
 DEDUP_BYTES = 100
 END = b"\r\n\r\n"
@@ -156,9 +156,9 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """The capture history of all archives under ``path``: index entries in global order of URL key and time."""
     files = spark.read.format("binaryFile").load(f"{path}/part-*").select("path", "content")
     n = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    entries = materialize(spark, files.repartition(n, "path").mapInArrow(_read, _ENTRY), "warc-runs")
+    entries = materialize(spark, files.repartition(n, "path").mapInArrow(tidy(_read), _ENTRY), "warc-runs")
     dealt = entries.repartitionByRange(n, "url_key", "ts", "page_id").sortWithinPartitions("archive", "url_key", "ts", "page_id")
-    return dealt.mapInArrow(_merge, _ENTRY)
+    return dealt.mapInArrow(tidy(_merge), _ENTRY)
 
 
 def capture_history(spark: SparkSession, pages: DataFrame) -> DataFrame:
