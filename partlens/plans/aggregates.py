@@ -105,11 +105,6 @@ def brand_share(spark, d):
     return n.select("p_brand", "n", F.round(F.col("n") * 100 / F.sum("n").over(Window.partitionBy()), 3).alias("pct"), F.round("v", 2).alias("v"))
 
 
-def portfolio_kpis(spark, d):
-    p = _t(spark, d, "part").withColumn("price", F.when(F.col("p_size") % 7 > 0, F.col("p_retailprice")))
-    return p.agg(F.count("*").alias("items"), F.count("price").alias("priced"), F.round(F.try_divide(F.count("price") * 100.0, F.count("*")), 3).alias("coverage"), F.round(F.sum(F.col("price") * F.col("p_size")), 2).alias("value"), F.round(F.avg("price"), 4).alias("mean"), F.sum("p_size").alias("units"))
-
-
 def bucket_rollup(spark, d):
     p = _t(spark, d, "part")
     edges = [0, 10, 20, 30, 40, 1000]
@@ -143,11 +138,6 @@ def round_robin_priority(spark, d):
     return x.select("p_partkey", F.col("turn").cast("long").alias("turn"), F.row_number().over(Window.orderBy("turn", F.desc("p_size"), "p_partkey")).cast("long").alias("priority"))
 
 
-def latest_batch_lexicographic(spark, d):
-    b = F.concat(F.lit("batch-"), (F.col("l_linenumber") * 7 % 12).cast("string"))
-    return _t(spark, d, "lineitem").withColumn("b", b).groupBy("l_partkey").agg(F.max("b").alias("batch"))
-
-
 def lowest_tier_merge(spark, d):
     return _t(spark, d, "lineitem").groupBy("l_partkey").agg(F.min_by("l_returnflag", F.struct("l_linenumber", "l_orderkey", "l_suppkey", "l_extendedprice")).alias("flag"), F.min("l_linenumber").cast("long").alias("tier"))
 
@@ -227,7 +217,7 @@ def monte_carlo_units(spark, d):
 
 
 _ROB = "WITH s AS (SELECT l_partkey, {v} AS price FROM lineitem), m AS (SELECT l_partkey, count(price) AS n, median(price) AS med, quantile_cont(price, 0.25) AS q1, quantile_cont(price, 0.75) AS q3 FROM s GROUP BY 1), a AS (SELECT l_partkey, median(abs(price - med)) AS mad FROM s JOIN m USING (l_partkey) GROUP BY 1)"
-QUERIES = {f.__name__: f for f in (robust_price_stats_mad, outlier_counts, conditional_counts, distinct_case_counts, filtered_counts, two_level_evidence_stats, arg_max_latest, string_agg_distinct, collision_map_having, seller_profile_hhi, duplicate_group_size, aggregate_duplicates_anchor, status_summary_cascade, weakest_tier, histogram_overflow, sell_time_bins, top_n_others, brand_share, portfolio_kpis, bucket_rollup, confusion_matrix, precision_recall_f1, majority_label_ties, round_robin_priority, latest_batch_lexicographic, lowest_tier_merge, stratified_sample, search_filter_sort, topk_nulls_last, profile_null_dup_rates, cross_source_agreement, set_coverage_compare, false_match_breakdown, largest_remainder_allocation, long_format_two_measures, json_extract, monte_carlo_units)}
+QUERIES = {f.__name__: f for f in (robust_price_stats_mad, outlier_counts, conditional_counts, distinct_case_counts, filtered_counts, two_level_evidence_stats, arg_max_latest, string_agg_distinct, collision_map_having, seller_profile_hhi, duplicate_group_size, aggregate_duplicates_anchor, status_summary_cascade, weakest_tier, histogram_overflow, sell_time_bins, top_n_others, brand_share, bucket_rollup, confusion_matrix, precision_recall_f1, majority_label_ties, round_robin_priority, lowest_tier_merge, stratified_sample, search_filter_sort, topk_nulls_last, profile_null_dup_rates, cross_source_agreement, set_coverage_compare, false_match_breakdown, largest_remainder_allocation, long_format_two_measures, json_extract, monte_carlo_units)}
 ORACLE_SQL = {
     "robust_price_stats_mad": _ROB.format(v="l_extendedprice / l_quantity") + " SELECT l_partkey, n, round(med, 4) AS med, round(q1, 4) AS q1, round(q3, 4) AS q3, round(mad, 4) AS mad FROM m JOIN a USING (l_partkey)",
     "outlier_counts": _ROB.format(v="l_extendedprice") + " SELECT l_partkey, count(*) FILTER (WHERE CASE WHEN mad > 0 THEN abs(price - med) > 3.5 * 1.4826 * mad WHEN q3 - q1 > 0 THEN price < q1 - 1.5 * (q3 - q1) OR price > q3 + 1.5 * (q3 - q1) END) AS outliers FROM s JOIN m USING (l_partkey) JOIN a USING (l_partkey) GROUP BY 1",
@@ -247,13 +237,11 @@ ORACLE_SQL = {
     "sell_time_bins": "WITH x AS (SELECT date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS days FROM lineitem JOIN orders ON l_orderkey = o_orderkey) SELECT 'Fast' AS label, count(*) FILTER (WHERE days <= 30) AS n FROM x UNION ALL SELECT 'Medium', count(*) FILTER (WHERE days BETWEEN 31 AND 183) FROM x UNION ALL SELECT 'Slow', count(*) FILTER (WHERE days >= 184) FROM x",
     "top_n_others": "SELECT CASE WHEN r <= 5 THEN p_brand ELSE 'Others' END AS p_brand, CAST(sum(n) AS BIGINT) AS n FROM (SELECT p_brand, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, p_brand) AS r FROM part GROUP BY 1) GROUP BY 1",
     "brand_share": "SELECT p_brand, count(*) AS n, round(count(*) * 100::DOUBLE / sum(count(*)) OVER (), 3) AS pct, round(sum(p_retailprice), 2) AS v FROM part GROUP BY 1",
-    "portfolio_kpis": "SELECT count(*) AS items, count(price) AS priced, round(count(price) * 100.0::DOUBLE / count(*), 3) AS coverage, round(sum(price * p_size), 2) AS value, round(avg(price), 4) AS mean, CAST(sum(p_size) AS BIGINT) AS units FROM (SELECT *, CASE WHEN p_size % 7 > 0 THEN p_retailprice END AS price FROM part)",
     "bucket_rollup": "SELECT p_type, " + ", ".join(f"CAST(sum(CASE WHEN p_size > {a} AND p_size <= {b} THEN p_size END) AS BIGINT) AS u{i}" for i, (a, b) in enumerate([(0, 10), (10, 20), (20, 30), (30, 40), (40, 1000)])) + ", round(sum(p_size * p_retailprice), 2) AS revenue FROM part GROUP BY 1",
     "confusion_matrix": "SELECT quality, count(*) FILTER (WHERE toxic = 0) AS clean, count(*) FILTER (WHERE toxic = 1) AS toxic FROM labels GROUP BY 1",
     "precision_recall_f1": "WITH x AS (SELECT count(*) FILTER (WHERE toxic = 1 AND quality = 0) AS tp, count(*) FILTER (WHERE toxic = 0 AND quality = 0) AS fp, count(*) FILTER (WHERE toxic = 1 AND quality <> 0) AS fn FROM labels) SELECT tp, fp, fn, round(tp / nullif(tp + fp, 0)::DOUBLE, 5) AS p, round(tp / nullif(tp + fn, 0)::DOUBLE, 5) AS r, round(2 * (tp / nullif(tp + fp, 0)::DOUBLE) * (tp / nullif(tp + fn, 0)::DOUBLE) / nullif(tp / nullif(tp + fp, 0)::DOUBLE + tp / nullif(tp + fn, 0)::DOUBLE, 0), 5) AS f1 FROM x",
     "majority_label_ties": "WITH n AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2), t AS (SELECT * FROM n QUALIFY n = max(n) OVER (PARTITION BY user_id)) SELECT user_id, min(event_type) AS label, count(*) > 1 AS tie, min(n) AS n FROM t GROUP BY 1",
     "round_robin_priority": "SELECT p_partkey, turn, row_number() OVER (ORDER BY turn, p_size DESC, p_partkey) AS priority FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey) AS turn FROM part)",
-    "latest_batch_lexicographic": "SELECT l_partkey, max('batch-' || (l_linenumber * 7 % 12)) AS batch FROM lineitem GROUP BY 1",
     "lowest_tier_merge": "SELECT l_partkey, arg_min(l_returnflag, (l_linenumber, l_orderkey, l_suppkey, l_extendedprice)) AS flag, CAST(min(l_linenumber) AS BIGINT) AS tier FROM lineitem GROUP BY 1",
     "stratified_sample": "SELECT p_type, p_partkey, rn FROM (SELECT p_type, p_partkey, row_number() OVER (PARTITION BY p_type ORDER BY md5('20260726-' || p_partkey)) AS rn FROM part) WHERE rn <= 5",
     "search_filter_sort": "SELECT p_partkey, p_retailprice FROM part WHERE contains(lower(concat_ws(' ', p_name, p_brand, p_type)), 'e') AND p_size >= 20 ORDER BY p_retailprice DESC NULLS LAST, p_partkey LIMIT 50",

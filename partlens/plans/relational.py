@@ -153,13 +153,6 @@ def wildcard_policy_join(spark, d):
     return p.join(F.broadcast(exact), "p_brand", "left").crossJoin(F.broadcast(wild)).select("p_partkey", F.coalesce("exact", "wild").alias("level"))
 
 
-def uid_resolution(spark, d):
-    c = _t(spark, d, "customer").select("c_custkey", "c_name")
-    reg = c.where("c_custkey % 4 = 0").select("c_custkey", F.concat(F.lit("uid-"), F.col("c_custkey").cast("string")).alias("uid"))
-    mint = F.concat(F.lit("iuid_"), F.substring(F.sha2(F.col("c_name"), 256), 1, 16))
-    return c.join(reg, "c_custkey", "left").select("c_custkey", F.coalesce("uid", mint).alias("uid"))
-
-
 def sibling_lookup(spark, d):
     w = Window.partitionBy("p_brand", "p_type")
     has = F.col("p_name").contains("a").cast("int")
@@ -172,14 +165,8 @@ def retention_keep_n(spark, d):
     return runs.withColumn("rk", F.row_number().over(Window.orderBy(F.desc("run")))).select("run", "n", "lo", "hi", (F.col("rk") <= 5).alias("kept"))
 
 
-def ledger_skip_files(spark, d):
-    e = _t(spark, d, "events").groupBy(F.to_date("ts").alias("file")).agg(F.sha2(F.concat_ws(",", F.sort_array(F.collect_list(F.col("event_id").cast("string")))), 256).alias("hash"))
-    ledger = e.where("day(file) % 2 = 0")
-    return e.join(ledger, ["file", "hash"], "left_anti").select("file", "hash")
-
-
 _K = "CASE WHEN o_custkey % 3 = 0 THEN 'h' || o_orderkey ELSE CAST(o_custkey AS VARCHAR) END"
-QUERIES = {f.__name__: f for f in (fx_asof_keyed, fx_asof_single, fx_asof_fallback, rate_lookup_as_of, dedup_latest, dedup_first_alt_key, is_current_flag, precedence_union, union_all_tagged, union_distinct, anti_join_new_rows, insert_ignore, upsert_latest_wins, conditional_upsert_greatest, scoped_replace, null_safe_change_detect, expected_vs_done_pairs, conditional_left_joins_pick, join_two_path_fallback, wildcard_policy_join, uid_resolution, sibling_lookup, retention_keep_n, ledger_skip_files)}
+QUERIES = {f.__name__: f for f in (fx_asof_keyed, fx_asof_single, fx_asof_fallback, rate_lookup_as_of, dedup_latest, dedup_first_alt_key, is_current_flag, precedence_union, union_all_tagged, union_distinct, anti_join_new_rows, insert_ignore, upsert_latest_wins, conditional_upsert_greatest, scoped_replace, null_safe_change_detect, expected_vs_done_pairs, conditional_left_joins_pick, join_two_path_fallback, wildcard_policy_join, sibling_lookup, retention_keep_n)}
 ORACLE_SQL = {
     "fx_asof_keyed": f"WITH {_RATES}, {_FACTS} SELECT l_orderkey, f.ccy AS ccy, day, rate FROM facts f ASOF LEFT JOIN rates r ON f.ccy = r.ccy AND f.day >= r.valid",
     "fx_asof_single": f"WITH {_RATES}, {_FACTS} SELECT l_orderkey, day, rate FROM facts f ASOF LEFT JOIN (SELECT valid, rate FROM rates WHERE ccy = '1-URGENT') r ON f.day >= r.valid",
@@ -201,8 +188,6 @@ ORACLE_SQL = {
     "conditional_left_joins_pick": "SELECT l_returnflag, CASE l_returnflag WHEN 'A' THEN p_name WHEN 'R' THEN s_name END AS name, count(*) AS n FROM lineitem LEFT JOIN part ON p_partkey = l_partkey AND l_returnflag = 'A' LEFT JOIN supplier ON s_suppkey = l_suppkey AND l_returnflag = 'R' GROUP BY 1, 2",
     "join_two_path_fallback": "SELECT o_orderkey, c_name FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_custkey % 5 <> 0",
     "wildcard_policy_join": "SELECT p_partkey, CASE p_brand WHEN 'Brand#11' THEN 'HIGH' WHEN 'Brand#22' THEN 'LOW' ELSE 'MEDIUM' END AS level FROM part",
-    "uid_resolution": "SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'uid-' || c_custkey ELSE 'iuid_' || substr(sha256(c_name), 1, 16) END AS uid FROM customer",
     "sibling_lookup": "SELECT p_partkey, count(*) OVER w - 1 AS siblings, sum(CAST(contains(p_name, 'a') AS INT)) OVER w - CAST(contains(p_name, 'a') AS INT) AS with_a FROM part WINDOW w AS (PARTITION BY p_brand, p_type)",
     "retention_keep_n": "SELECT run, n, lo, hi, row_number() OVER (ORDER BY run DESC) <= 5 AS kept FROM (SELECT CAST(ts AS DATE) AS run, count(*) AS n, min(event_id) AS lo, max(event_id) AS hi FROM events GROUP BY 1)",
-    "ledger_skip_files": "SELECT CAST(ts AS DATE) AS file, sha256(string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY CAST(event_id AS VARCHAR))) AS hash FROM events GROUP BY 1 HAVING day(file) % 2 <> 0",
 }

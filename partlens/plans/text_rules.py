@@ -1,4 +1,4 @@
-"""Matching, cleaning and identity queries over the star schema's names and a small corpus of titles."""
+"""Matching, cleaning and identity queries over the star schema's names of parts, customers and pages."""
 
 from __future__ import annotations
 
@@ -6,26 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from partlens.functions import text as X
-from partlens.functions import vocabulary as V
-from partlens.operators import matching as M
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-TITLES = ["rolex 3135 wheel 24680 original", "rolex 3135 wheel 246801", "tudor cal 390 24680", "rolex tudor 24680 spring", "rolex cal 2130 24680 fits 2130", "rolex caliber 2130, 2135 part 24680", "rolex dial 14000/14010/24680", "complete watch rolex 3135 24680", "5 x rolex 24680 bundle", "screw 1.24680 mm", "rolex 9-24680-1", "omega seamaster link", "rolex bracelet link", "rolex watch box", "rolex service manual", "rolex wristwatch movement", "rolex wristwatch white dial", "blue thing"]
-_VALUES = "t(title_id, title) AS (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(TITLES)) + ")"
-
-
-def _titles(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(TITLES)), "title_id int, title string")
-
-
-def _sql_any(patterns: list[str]) -> str:
-    return "regexp_matches(' ' || lower(title) || ' ', '" + "|".join(patterns) + "')"
-
-
 def title_normalise(spark, d):
     return _t(spark, d, "part").select("p_partkey", X.normalize_title(F.concat(F.lit("  "), F.upper("p_name"), F.lit("  X "))).alias("t"))
 
@@ -43,95 +29,6 @@ def stable_uid_hash(spark, d):
     return _t(spark, d, "customer").select("c_custkey", X.stable_uid("EV-ACTIVE-", F.lit("active"), F.when(F.col("c_custkey") % 11 > 0, F.col("c_mktsegment")), F.col("c_custkey").cast("string")).alias("uid"))
 
 
-def token_candidates_7rules(spark, d):
-    items = _t(spark, d, "part").select(F.col("p_partkey").alias("item"), F.lit("Rolex").alias("brand"), F.when(F.col("p_size") % 2 == 0, F.lit("3135")).otherwise("2130").alias("caliber"), F.when(F.col("p_size") % 3 == 0, F.lit("24680")).otherwise("9-24680-1").alias("part"))
-    return M.candidates(items, _titles(spark))
-
-
-def component_vocabulary(spark, d):
-    return _titles(spark).select("title_id", M.component(F.col("title")).alias("component"))
-
-
-def title_classifier(spark, d):
-    return _titles(spark).select("title_id", M.classify(F.col("title")).alias("class"))
-
-
-def detector_flags(spark, d):
-    return _titles(spark).select("title_id", F.concat_ws(",", M.flags(F.col("title"), F.lit("Rolex"), F.lit("3135"), F.lit("24680"))).alias("flags"))
-
-
-def decide_cascade(spark, d):
-    f = M.flags(F.col("title"), F.lit("Rolex"), F.lit("3135"), F.lit("24680"))
-    t = _titles(spark).withColumn("tier", F.explode(F.array(F.lit("A"), F.lit("B"), F.lit("C"))))
-    return t.select("title_id", "tier", M.decide(f, F.col("tier")).alias("decision"))
-
-
-def match_score_tiers(spark, d):
-    t = _titles(spark)
-    one = lambda c: F.when(c, 1.0).otherwise(0.0)
-    title = F.col("title")
-    part, brand = one(X.has_token(title, F.lit("24680"))), one(X.has_token(title, F.lit("rolex")))
-    comp = F.when(M.component(title) == "WHEEL", 1.0).when(M.component(title).isNull(), 0.5).otherwise(0.0)
-    cal = F.when(X.has_token(title, F.lit("3135")), 1.0).otherwise(0.5)
-    q = M.quality(title)
-    s = t.select("title_id", part.alias("p"), brand.alias("b"), comp.alias("c"), cal.alias("k"), q.alias("q"))
-    s = s.withColumn("score", M.score(F.col("p"), F.col("b"), F.col("c"), F.col("k"), F.col("q")))
-    return s.select("title_id", "score", M.tier(F.lit(False), F.col("p"), F.col("b"), F.col("c"), F.col("q"), F.col("score")).alias("tier"))
-
-
-RAW = [("Rolex", "3135", "24680", "5"), ("rolex", "3135", "24680", "5"), ("Tudor", None, "2020-05-01", "x"), ("Tudor", "2019-01-01", "16-1", "-2"), ("Omega", " ", None, "3"), ("Rolex", "1570", "2005-01-01", "0")]
-
-
-def _raw(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, *r) for i, r in enumerate(RAW)], "id int, brand string, caliber string, part string, stock string")
-
-
-_RAW = "raw(id, brand, caliber, part, stock) AS (VALUES " + ", ".join("(" + str(i) + ", " + ", ".join("NULL" if v is None else f"'{v}'" for v in r) + ")" for i, r in enumerate(RAW)) + ")"
-_DATE = r"^\d{4}-\d{2}-\d{2}(\s+\d{2}:\d{2}:\d{2})?$"
-
-
-def validate_rows_explode(spark, d):
-    blank = lambda c: F.col(c).isNull() | (F.trim(c) == "")
-    date = lambda c: F.coalesce(F.col(c).rlike(_DATE), F.lit(False))
-    n = F.col("stock").try_cast("int")
-    checks = {
-        "brand": F.when(F.col("brand").isin("Rolex", "Tudor"), "PASS").otherwise("FAIL"),
-        "caliber": F.when(date("caliber"), "FAIL").when(blank("caliber"), "WARNING").otherwise("PASS"),
-        "part": F.when(blank("part") | date("part"), "FAIL").otherwise("PASS"),
-        "stock": F.when(n.isNull() | (n < 0), "FAIL").otherwise("PASS"),
-    }
-    rows = F.array(*[F.struct(F.lit(k).alias("field"), v.alias("status")) for k, v in checks.items()])
-    return _raw(spark).select("id", F.explode(rows).alias("x")).select("id", "x.field", "x.status")
-
-
-def excel_date_repair(spark, d):
-    x = _raw(spark).select("id", F.coalesce("part", F.lit("")).alias("part")).where(F.col("part").rlike(_DATE))
-    y, m, day = (F.regexp_extract("part", r"^(\d{4})-(\d{2})-(\d{2})", i) for i in (1, 2, 3))
-    return x.select("id", F.when(day != "01", "UNRESOLVED").when(m == "01", "AUTO_REPAIR_ALLOWED").otherwise("USER_CONFIRMATION").alias("status"), F.when(day == "01", F.when(m == "01", y).otherwise(F.concat_ws("-", y, m.cast("int").cast("string")))).alias("repaired"))
-
-
-def query_ladder(spark, d):
-    x = _raw(spark).where("brand IN ('Rolex', 'Tudor') AND caliber IS NOT NULL AND part IS NOT NULL")
-    steps = F.array(
-        F.struct(F.lit(1).alias("tier"), F.concat_ws(" ", "brand", "caliber", "part").alias("query")),
-        *[F.struct(F.lit(2).alias("tier"), F.concat_ws(" ", F.col("brand"), F.lit(w), F.col("caliber"), F.col("part")).alias("query")) for w in ("Cal", "Calibre", "Caliber", "Kaliber")],
-        F.struct(F.lit(4).alias("tier"), F.concat_ws(" ", "brand", "part").alias("query")),
-    )
-    return x.select("id", F.explode(steps).alias("q")).select("id", "q.tier", "q.query")
-
-
-DATES = ["7. Aug 2025", "31. Dez 2024", "1. Mai 2023", "99. Jan 2020", "soon", "15. Okt 2022"]
-MONEY = ["EUR 1.234,56", "12,00 EUR", "EUR 999", "free", "1.000.000,5"]
-
-
-def german_date_parse(spark, d):
-    return spark.createDataFrame([(x,) for x in DATES], "raw string").select("raw", X.german_date(F.col("raw")).alias("day"))
-
-
-def money_parse(spark, d):
-    return spark.createDataFrame([(x,) for x in MONEY], "raw string").select("raw", X.german_money(F.col("raw")).alias("v"))
-
-
 def url_item_id(spark, d):
     u = F.col("url")
     return _t(spark, d, "pages").select("page_id", F.nullif(F.regexp_extract(u, r"/(\d+)(?:[^0-9/][^/]*)?/?$", 1), F.lit("")).try_cast("long").alias("item"), F.regexp_extract(u, "^https?://([^/]+)", 1).alias("host"))
@@ -150,38 +47,13 @@ def json_bucket_roundtrip(spark, d):
     return p.select("p_partkey", F.explode(F.from_json("j", "array<struct<bucket string, units int>>")).alias("x")).groupBy("p_partkey").agg(F.sum("x.units").alias("units"))
 
 
-_FLAGS = [
-    ("BRAND_CONFLICT", r"regexp_matches(title, '\btudor\b') AND NOT regexp_matches(title, '\brolex\b')"),
-    ("CALIBRE_CONFLICT", rf"regexp_extract(title, '{V.CALIBRE_LABEL}', 1) NOT IN ('', '3135') AND NOT regexp_matches(title, '\b3135\b') AND NOT regexp_matches(title, '{V.COMPATIBLE}') AND len(list_distinct(regexp_extract_all(regexp_extract(title, '{V.CALIBRE_LIST}', 1), '(\d{{2,4}})', 1))) < 2"),
-    ("PRODUCT_TYPE_CONFLICT", f"regexp_matches(title, '{V.WHOLE_WATCH}')"),
-    ("BUNDLE", f"regexp_matches(title, '{V.LOT}')"),
-    ("COMPATIBILITY", f"regexp_matches(title, '{V.COMPATIBLE}')"),
-    ("REFERENCE_LIST", f"regexp_matches(title, '{V.REFERENCE_LIST}')"),
-    ("CALIBRE_LIST", rf"len(list_distinct(regexp_extract_all(regexp_extract(title, '{V.CALIBRE_LIST}', 1), '(\d{{2,4}})', 1))) >= 2"),
-]
-_FLAG_SQL = "concat_ws(',', " + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in _FLAGS) + ")"
-_COMP_SQL = "coalesce(" + ", ".join(rf"CASE WHEN regexp_matches(lower(title), '\b(?:{'|'.join(w)})\b') THEN '{n}' END" for n, w in V.COMPONENTS.items()) + ")"
-_Q_SQL = "greatest(0.0, 1 - 0.34 * (" + " + ".join(rf"CAST(regexp_matches(title, '\b{w}\b') AS INT)" for w in V.NEGATIVE) + "))"
 _SLUG = "coalesce(nullif(regexp_replace(regexp_replace(lower(trim({0})), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'unknown')"
-_FOREIGN = f"({_sql_any(V.COMPETITORS)} AND NOT {_sql_any(V.BRANDS)})"
-_CLASS_SQL = f"CASE WHEN {_sql_any(V.DOCUMENTATION)} THEN 'MANUAL_DOCUMENTATION' WHEN {_sql_any(V.LINK_OR_CLASP)} AND NOT {_FOREIGN} THEN 'WATCH_PART' WHEN {_sql_any(V.ACCESSORY)} THEN 'ACCESSORY' WHEN {_FOREIGN} THEN 'WRONG_BRAND' WHEN {_sql_any(V.SPARE_PART)} THEN 'WATCH_PART' WHEN {_sql_any(V.COMPLETE_WATCH)} AND {_sql_any(V.STRONG_COMPONENT)} THEN 'WATCH_PART' WHEN {_sql_any(V.COMPLETE_WATCH)} THEN 'COMPLETE_WATCH' WHEN {_sql_any(V.WATCH_PART)} THEN 'WATCH_PART' ELSE 'UNKNOWN' END"
-QUERIES = {f.__name__: f for f in (title_normalise, slug_id, alnum_distinctive, stable_uid_hash, token_candidates_7rules, component_vocabulary, title_classifier, detector_flags, decide_cascade, match_score_tiers, validate_rows_explode, excel_date_repair, query_ladder, german_date_parse, money_parse, url_item_id, html_cards_parse, json_bucket_roundtrip)}
+QUERIES = {f.__name__: f for f in (title_normalise, slug_id, alnum_distinctive, stable_uid_hash, url_item_id, html_cards_parse, json_bucket_roundtrip)}
 ORACLE_SQL = {
     "title_normalise": "SELECT p_partkey, trim(regexp_replace(lower(p_name) || '  x ', '\\s+', ' ', 'g')) AS t FROM part",
     "slug_id": "SELECT p_partkey, " + _SLUG.format("p_brand") + " || '_' || " + _SLUG.format("p_type") + " || '_' || CASE WHEN p_size % 2 > 0 THEN " + _SLUG.format("p_name") + " ELSE 'unknown' END AS id FROM part",
     "alnum_distinctive": "SELECT p_brand, max(length(regexp_replace(p_brand, '[^a-zA-Z0-9]', '', 'g'))) AS n, max(length(regexp_replace(p_brand, '[^a-zA-Z0-9]', '', 'g')) >= 5) AS distinctive FROM part GROUP BY 1",
     "stable_uid_hash": "SELECT c_custkey, CASE WHEN c_custkey % 11 > 0 THEN 'EV-ACTIVE-' || sha256('active|' || c_mktsegment || '|' || c_custkey) END AS uid FROM customer",
-    "token_candidates_7rules": f"WITH {_VALUES}, i AS (SELECT p_partkey AS item, CASE WHEN p_size % 2 = 0 THEN '3135' ELSE '2130' END AS caliber, CASE WHEN p_size % 3 = 0 THEN '24680' ELSE '9-24680-1' END AS part FROM part WHERE p_partkey <= 300), x AS (SELECT item, title_id, regexp_matches(title, '\\b' || caliber || '\\b') AS cal, regexp_matches(title, '\\b' || part || '\\b') AS prt, regexp_matches(title, '\\brolex\\b') AS brd, {_COMP_SQL} IS NOT NULL AS cmp FROM i, t) SELECT item, title_id, rule FROM (" + " UNION ALL ".join(f"SELECT item, title_id, '{n}' AS rule FROM x WHERE {c}" for n, c in (("PART_NUMBER_EXACT", "prt"), ("CALIBER_EXACT", "cal"), ("BRAND_CALIBER", "cal AND brd"), ("BRAND_PART_NUMBER", "prt AND brd"), ("CALIBER_PART_NUMBER", "prt AND cal"), ("CALIBER_COMPONENT", "cal AND cmp"), ("BRAND_CALIBER_COMPONENT", "cal AND brd AND cmp"))) + ")",
-    "component_vocabulary": f"WITH {_VALUES} SELECT title_id, {_COMP_SQL} AS component FROM t",
-    "title_classifier": f"WITH {_VALUES} SELECT title_id, {_CLASS_SQL} AS class FROM t",
-    "detector_flags": f"WITH {_VALUES} SELECT title_id, {_FLAG_SQL} AS flags FROM t",
-    "decide_cascade": f"WITH {_VALUES}, f AS (SELECT title_id, {_FLAG_SQL} AS flags FROM t) SELECT title_id, tier, CASE WHEN contains(flags, '_CONFLICT') THEN 'NO_MATCH' WHEN tier = 'A' AND flags <> '' THEN 'REVIEW' WHEN tier = 'A' THEN 'MATCH_CONFIRMED' WHEN tier = 'B' THEN 'LOW_CONFIDENCE' ELSE 'INSUFFICIENT' END AS decision FROM f, (SELECT unnest(['A', 'B', 'C']) AS tier)",
-    "match_score_tiers": f"WITH {_VALUES}, s AS (SELECT title_id, CAST(regexp_matches(title, '\\b24680\\b') AS INT) AS p, CAST(regexp_matches(title, '\\brolex\\b') AS INT) AS b, CASE WHEN {_COMP_SQL} = 'WHEEL' THEN 1.0 WHEN {_COMP_SQL} IS NULL THEN 0.5 ELSE 0.0 END AS c, CASE WHEN regexp_matches(title, '\\b3135\\b') THEN 1.0 ELSE 0.5 END AS k, {_Q_SQL} AS q FROM t), z AS (SELECT *, round(CAST(0.35 * p + 0.25 * b + 0.2 * c + 0.1 * k + 0.1 * q AS DOUBLE), 4) AS score FROM s) SELECT title_id, score, CASE WHEN b = 0 THEN 'REJECTED' WHEN p = 1 AND b = 1 AND c = 1 AND q = 1 THEN 'AUTO_CONFIRMED' WHEN score >= 0.8 THEN 'HIGH' WHEN score >= 0.5 THEN 'MEDIUM' ELSE 'LOW' END AS tier FROM z",
-    "validate_rows_explode": f"WITH {_RAW} SELECT id, 'brand' AS field, CASE WHEN brand IN ('Rolex', 'Tudor') THEN 'PASS' ELSE 'FAIL' END AS status FROM raw UNION ALL SELECT id, 'caliber', CASE WHEN regexp_matches(caliber, '^\\d{{4}}-\\d{{2}}-\\d{{2}}') THEN 'FAIL' WHEN caliber IS NULL OR trim(caliber) = '' THEN 'WARNING' ELSE 'PASS' END FROM raw UNION ALL SELECT id, 'part', CASE WHEN part IS NULL OR trim(part) = '' OR regexp_matches(part, '^\\d{{4}}-\\d{{2}}-\\d{{2}}') THEN 'FAIL' ELSE 'PASS' END FROM raw UNION ALL SELECT id, 'stock', CASE WHEN TRY_CAST(stock AS INT) >= 0 THEN 'PASS' ELSE 'FAIL' END FROM raw",
-    "excel_date_repair": f"WITH {_RAW}, x AS (SELECT id, CAST(part AS DATE) AS p FROM raw WHERE regexp_matches(part, '^\\d{{4}}-\\d{{2}}-\\d{{2}}$')) SELECT id, CASE WHEN day(p) <> 1 THEN 'UNRESOLVED' WHEN month(p) = 1 THEN 'AUTO_REPAIR_ALLOWED' ELSE 'USER_CONFIRMATION' END AS status, CASE WHEN day(p) = 1 THEN CASE WHEN month(p) = 1 THEN CAST(year(p) AS VARCHAR) ELSE year(p) || '-' || month(p) END END AS repaired FROM x",
-    "query_ladder": f"WITH {_RAW}, x AS (SELECT * FROM raw WHERE brand IN ('Rolex', 'Tudor') AND caliber IS NOT NULL AND part IS NOT NULL) SELECT id, 1 AS tier, brand || ' ' || caliber || ' ' || part AS query FROM x UNION ALL SELECT id, 2, brand || ' ' || w || ' ' || caliber || ' ' || part FROM x, (SELECT unnest(['Cal', 'Calibre', 'Caliber', 'Kaliber']) AS w) UNION ALL SELECT id, 4, brand || ' ' || part FROM x",
-    "german_date_parse": "SELECT * FROM (VALUES ('7. Aug 2025', DATE '2025-08-07'), ('31. Dez 2024', DATE '2024-12-31'), ('1. Mai 2023', DATE '2023-05-01'), ('99. Jan 2020', NULL), ('soon', NULL), ('15. Okt 2022', DATE '2022-10-15')) v(raw, day)",
-    "money_parse": "SELECT raw, TRY_CAST(replace(replace(regexp_extract(raw, '(\\d[\\d.]*(?:,\\d+)?)', 1), '.', ''), ',', '.') AS DOUBLE) AS v FROM (VALUES " + ", ".join(f"('{m}')" for m in MONEY) + ") v(raw)",
     "url_item_id": "SELECT page_id, TRY_CAST(nullif(regexp_extract(url, '/(\\d+)(?:[^0-9/][^/]*)?/?$', 1), '') AS BIGINT) AS item, regexp_extract(url, '^https?://([^/]+)', 1) AS host FROM pages",
     "json_bucket_roundtrip": "SELECT p_partkey, CAST(sum(p_size * 3) AS BIGINT) AS units FROM part GROUP BY 1",
 }

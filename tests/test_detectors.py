@@ -1,31 +1,67 @@
+import pytest
 from pyspark.sql import functions as F
 
-from partlens.operators import matching as M
-from partlens.plans import registry
+from partlens.operators import decisions as D
 
-#: Title, part number, and the risks of RUL07 that the reference's detectors give for them.
+#: Title, rule, calibre, part number, and the risks that they have.
 CASES = [
-    ("screw 1.24680 mm", "24680", ["MEASUREMENT_COLLISION"]),
-    ("screw 1.24680 mm or 24680", "24680", []),
-    ("rolex 9-24680-1", "24680", ["LONGER_IDENTIFIER"]),
-    ("rolex wheel 24680-", "24680", ["LONGER_IDENTIFIER"]),
-    ("rolex 9-24680-1", "9-24680-1", []),
-    ("rolex 246801", "24680", []),
-    ("rolex gmt master 2", "2", ["MODEL_NAME_NUMBER", "SHORT_IDENTIFIER"]),
-    ("rolex explorer ii 2", "2", ["MODEL_NAME_NUMBER", "SHORT_IDENTIFIER"]),
-    ("rolex submariner 24680", "24680", []),
-    ("24 hours of daytona rolex", "24", ["EVENT", "SHORT_IDENTIFIER"]),
-    ("rolex wheel", None, ["MISSING_IDENTIFIER"]),
+    ("screw 1.24680 mm", "PART_NUMBER_EXACT", "3135", "24680", ["measurement_collision"]),
+    ("screw 1.24680 mm or 24680", "PART_NUMBER_EXACT", "3135", "24680", []),
+    ("rolex 9-24680-1", "PART_NUMBER_EXACT", "3135", "24680", ["longer_identifier_collision"]),
+    ("rolex 9-24680-1", "PART_NUMBER_EXACT", "3135", "9-24680-1", []),
+    ("rolex 3135-24680", "CALIBER_PART_NUMBER", "3135", "24680", []),
+    ("rolex 3135-24680", "PART_NUMBER_EXACT", "3135", "24680", ["longer_identifier_collision"]),
+    ("rolex 246801", "PART_NUMBER_EXACT", "3135", "24680", []),
+    ("rolex gmt master 2", "CALIBER_PART_NUMBER", "3135", "2", ["model_name_number_collision", "short_identifier_risk"]),
+    ("rolex explorer ii 2", "BRAND_PART_NUMBER", "3135", "2", ["model_name_number_collision", "short_identifier_risk"]),
+    ("24 hours of daytona rolex", "CALIBER_EXACT", "24", "24680", ["proper_noun_or_event_collision", "short_identifier_risk"]),
+    ("rolex dial 14000/14010/24680", "PART_NUMBER_EXACT", "3135", "24680", ["multiple_reference_list_risk"]),
+    ("rolex dial 14000/14010/14060 24680", "PART_NUMBER_EXACT", "3135", "24680", []),
+    ("rolex cal. 1520, 1530", "BRAND_CALIBER", "3135", "24680", ["multiple_calibre_list_risk"]),
+    ("rolex 3135 wheel", "CALIBER_COMPONENT", "3135", None, ["ambiguous_component_type", "evidence_missing_identifier"]),
+    ("5 x rolex fits 24680", "PART_NUMBER_EXACT", "3135", "24680", ["bundle_or_lot_risk", "compatibility_language_risk"]),
 ]
 
 
 def test_risks_by_hand(spark):
-    df = spark.createDataFrame([(i, t, p) for i, (t, p, _) in enumerate(CASES)], "i int, t string, p string")
-    got = {r.i: r.f for r in df.select("i", M.flags(F.col("t"), F.lit("Rolex"), F.lit("3135"), F.col("p")).alias("f")).collect()}
-    assert [got[i] for i in range(len(CASES))] == [f for _, _, f in CASES]
+    df = spark.createDataFrame([(i, *c[:4]) for i, c in enumerate(CASES)], "i int, t string, r string, c string, p string")
+    no = F.lit(False)
+    got = {r.i: r.f for r in df.select("i", D.risks(F.col("t"), F.col("r"), F.col("c"), F.col("p"), no, no, no).alias("f")).collect()}
+    assert [got[i] for i in range(len(CASES))] == [c[4] for c in CASES]
 
 
-def test_collisions_go_to_review(spark):
-    got = {(r.title_id, r.tier): r.decision for r in registry.queries()["decide_cascade"](spark, "").collect()}
-    assert got[9, "A"] == got[10, "A"] == "REVIEW"
-    assert got[0, "A"] == "MATCH_CONFIRMED"
+#: Rule, contradictions, risks, policy, score, and the status and reason that follow.
+DECISIONS = [
+    ("PART_NUMBER_EXACT", ["product_type_conflict"], ["bundle_or_lot_risk"], "APPROVED", 1.0, "NO_MATCH", "PRODUCT_TYPE_CONFLICT_WHOLE_WATCH_SIGNAL"),
+    ("PART_NUMBER_EXACT", [], ["bundle_or_lot_risk", "short_identifier_risk"], "APPROVED", 1.0, "REVIEW_REQUIRED", "BUNDLE_OR_LOT_LANGUAGE_PRESENT"),
+    ("PART_NUMBER_EXACT", [], [], "VALIDATION_PENDING", 1.0, "REVIEW_REQUIRED", "AUTO_CONFIRM_POLICY_NOT_VALIDATED"),
+    ("PART_NUMBER_EXACT", [], [], "APPROVED", 0.9, "REVIEW_REQUIRED", "MATCHING_V2_SCORE_BELOW_THRESHOLD"),
+    ("PART_NUMBER_EXACT", [], [], "APPROVED", None, "REVIEW_REQUIRED", "MATCHING_V2_SCORE_BELOW_THRESHOLD"),
+    ("PART_NUMBER_EXACT", [], [], "APPROVED", 0.95, "MATCH_CONFIRMED", "TIER_A_CLEAN_NO_CONTRADICTION_NO_RISK"),
+    ("BRAND_CALIBER", [], ["short_identifier_risk"], "VALIDATION_PENDING", 1.0, "LOW_CONFIDENCE_CANDIDATE", "TIER_B_PLAUSIBLE_PENDING_REVIEW"),
+    ("CALIBER_EXACT", [], ["short_identifier_risk"], "APPROVED", 1.0, "INSUFFICIENT_EVIDENCE", "TIER_B_CALIBER_ONLY_SHORT_IDENTIFIER"),
+    ("CALIBER_EXACT", [], [], "APPROVED", 1.0, "LOW_CONFIDENCE_CANDIDATE", "TIER_B_PLAUSIBLE_PENDING_REVIEW"),
+    ("BRAND_CALIBER_COMPONENT", [], ["ambiguous_component_type"], "APPROVED", 1.0, "LOW_CONFIDENCE_CANDIDATE", "TIER_C_HIGH_VALUE_EDGE_CASE"),
+    ("BRAND_CALIBER_COMPONENT", [], ["short_identifier_risk", "ambiguous_component_type"], "APPROVED", 1.0, "INSUFFICIENT_EVIDENCE", "TIER_C_DISCOVERY_ONLY_DEFAULT"),
+    ("CALIBER_COMPONENT", [], ["ambiguous_component_type"], "APPROVED", 1.0, "INSUFFICIENT_EVIDENCE", "TIER_C_DISCOVERY_ONLY_DEFAULT"),
+]
+
+
+def test_decisions_by_hand(spark):
+    df = spark.createDataFrame([(i, *c[:5]) for i, c in enumerate(DECISIONS)], "i int, r string, a array<string>, k array<string>, p string, s double")
+    got = {x.i: (x.d.status, x.d.reason) for x in df.select("i", D.decide(F.col("r"), F.col("a"), F.col("k"), F.col("p"), F.col("s")).alias("d")).collect()}
+    assert [got[i] for i in range(len(DECISIONS))] == [c[5:] for c in DECISIONS]
+
+
+def test_other_titles_corroborate_but_not_the_title_itself(spark):
+    titles = spark.createDataFrame([(1, "rolex calibre 3035 x99y jewel"), (2, "rolex 1535 3035 x99yz"), (3, "rolex 1535 x99y"), (4, "3035 1535 wheel")], "title_id long, title string")
+    conflicts = spark.createDataFrame([("a", 1, "x99y", "1535", "3035"), ("b", 2, "x99yz", "1535", "3035"), ("c", 9, None, "1535", "3035")], "key string, title_id long, part string, caliber string, label string")
+    assert [r.key for r in D.corroborated(conflicts, titles).collect()] == ["a"]
+
+
+@pytest.mark.parametrize("brand", ["Rolex", "Tudor"])
+def test_policy_falls_back_to_any_relationship(spark, brand):
+    policy = spark.createDataFrame([("R", "s", "ANY", "APPROVED"), ("Q", "s", "SELF", "APPROVED"), ("Q", "s", "ANY", "PENDING")], "rule string, source string, relationship string, status string")
+    pairs = spark.createDataFrame([("R", "s", "SELF"), ("Q", "s", "SELF"), ("Q", "s", "CROSS"), ("Z", "s", "SELF")], "rule string, source string, relationship string")
+    got = {(r.rule, r.relationship): r.policy for r in D.with_policy(pairs, policy).collect()}
+    assert got == {("R", "SELF"): "APPROVED", ("Q", "SELF"): "APPROVED", ("Q", "CROSS"): "VALIDATION_PENDING", ("Z", "SELF"): "VALIDATION_PENDING"}
