@@ -142,12 +142,6 @@ def lowest_tier_merge(spark, d):
     return _t(spark, d, "lineitem").groupBy("l_partkey").agg(F.min_by("l_returnflag", F.struct("l_linenumber", "l_orderkey", "l_suppkey", "l_extendedprice")).alias("flag"), F.min("l_linenumber").cast("long").alias("tier"))
 
 
-def stratified_sample(spark, d):
-    p = _t(spark, d, "part").withColumn("h", F.md5(F.concat(F.lit("20260726-"), F.col("p_partkey").cast("string"))))
-    w = Window.partitionBy("p_type").orderBy("h")
-    return p.withColumn("rn", F.row_number().over(w)).where("rn <= 5").select("p_type", "p_partkey", F.col("rn").cast("long").alias("rn"))
-
-
 def search_filter_sort(spark, d):
     p = _t(spark, d, "part")
     hit = F.lower(F.concat_ws(" ", "p_name", "p_brand", "p_type")).contains("e")
@@ -217,7 +211,7 @@ def monte_carlo_units(spark, d):
 
 
 _ROB = "WITH s AS (SELECT l_partkey, {v} AS price FROM lineitem), m AS (SELECT l_partkey, count(price) AS n, median(price) AS med, quantile_cont(price, 0.25) AS q1, quantile_cont(price, 0.75) AS q3 FROM s GROUP BY 1), a AS (SELECT l_partkey, median(abs(price - med)) AS mad FROM s JOIN m USING (l_partkey) GROUP BY 1)"
-QUERIES = {f.__name__: f for f in (robust_price_stats_mad, outlier_counts, conditional_counts, distinct_case_counts, filtered_counts, two_level_evidence_stats, arg_max_latest, string_agg_distinct, collision_map_having, seller_profile_hhi, duplicate_group_size, aggregate_duplicates_anchor, status_summary_cascade, weakest_tier, histogram_overflow, sell_time_bins, top_n_others, brand_share, bucket_rollup, confusion_matrix, precision_recall_f1, majority_label_ties, round_robin_priority, lowest_tier_merge, stratified_sample, search_filter_sort, topk_nulls_last, profile_null_dup_rates, cross_source_agreement, set_coverage_compare, false_match_breakdown, largest_remainder_allocation, long_format_two_measures, json_extract, monte_carlo_units)}
+QUERIES = {f.__name__: f for f in (robust_price_stats_mad, outlier_counts, conditional_counts, distinct_case_counts, filtered_counts, two_level_evidence_stats, arg_max_latest, string_agg_distinct, collision_map_having, seller_profile_hhi, duplicate_group_size, aggregate_duplicates_anchor, status_summary_cascade, weakest_tier, histogram_overflow, sell_time_bins, top_n_others, brand_share, bucket_rollup, confusion_matrix, precision_recall_f1, majority_label_ties, round_robin_priority, lowest_tier_merge, search_filter_sort, topk_nulls_last, profile_null_dup_rates, cross_source_agreement, set_coverage_compare, false_match_breakdown, largest_remainder_allocation, long_format_two_measures, json_extract, monte_carlo_units)}
 ORACLE_SQL = {
     "robust_price_stats_mad": _ROB.format(v="l_extendedprice / l_quantity") + " SELECT l_partkey, n, round(med, 4) AS med, round(q1, 4) AS q1, round(q3, 4) AS q3, round(mad, 4) AS mad FROM m JOIN a USING (l_partkey)",
     "outlier_counts": _ROB.format(v="l_extendedprice") + " SELECT l_partkey, count(*) FILTER (WHERE CASE WHEN mad > 0 THEN abs(price - med) > 3.5 * 1.4826 * mad WHEN q3 - q1 > 0 THEN price < q1 - 1.5 * (q3 - q1) OR price > q3 + 1.5 * (q3 - q1) END) AS outliers FROM s JOIN m USING (l_partkey) JOIN a USING (l_partkey) GROUP BY 1",
@@ -243,7 +237,6 @@ ORACLE_SQL = {
     "majority_label_ties": "WITH n AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2), t AS (SELECT * FROM n QUALIFY n = max(n) OVER (PARTITION BY user_id)) SELECT user_id, min(event_type) AS label, count(*) > 1 AS tie, min(n) AS n FROM t GROUP BY 1",
     "round_robin_priority": "SELECT p_partkey, turn, row_number() OVER (ORDER BY turn, p_size DESC, p_partkey) AS priority FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey) AS turn FROM part)",
     "lowest_tier_merge": "SELECT l_partkey, arg_min(l_returnflag, (l_linenumber, l_orderkey, l_suppkey, l_extendedprice)) AS flag, CAST(min(l_linenumber) AS BIGINT) AS tier FROM lineitem GROUP BY 1",
-    "stratified_sample": "SELECT p_type, p_partkey, rn FROM (SELECT p_type, p_partkey, row_number() OVER (PARTITION BY p_type ORDER BY md5('20260726-' || p_partkey)) AS rn FROM part) WHERE rn <= 5",
     "search_filter_sort": "SELECT p_partkey, p_retailprice FROM part WHERE contains(lower(concat_ws(' ', p_name, p_brand, p_type)), 'e') AND p_size >= 20 ORDER BY p_retailprice DESC NULLS LAST, p_partkey LIMIT 50",
     "topk_nulls_last": "SELECT c_custkey, CASE WHEN c_custkey % 9 > 0 THEN c_acctbal END AS v FROM customer ORDER BY v ASC NULLS LAST, c_custkey LIMIT 25",
     "profile_null_dup_rates": "WITH x AS (SELECT CASE WHEN l_linenumber = 1 THEN NULL ELSE l_discount END AS v, l_orderkey, l_linenumber FROM lineitem) SELECT count(*) AS n, round(1 - count(v)::DOUBLE / count(*), 6) AS null_rate, round((count(*) - count(DISTINCT (l_orderkey, l_linenumber)))::DOUBLE / count(*), 6) AS dup_rate, round(avg(v), 6) AS mean FROM x",
