@@ -28,20 +28,29 @@ def clip(x: Column, lo: float, hi: float) -> Column:
     return F.greatest(F.lit(lo), F.least(F.lit(hi), x))
 
 
-def pct_rank_average(value: str, *group: str, least: int = 3) -> Column:
-    """Rank share with ties averaged, in the group if it has ``least`` members, else over all; unknown: 0.5."""
-
-    def share(by: list[str]) -> Column:
-        known = F.col(value).isNotNull()
-        w = Window.partitionBy(*by, known)
-        rank = F.rank().over(w.orderBy(value))
-        ties = F.count("*").over(Window.partitionBy(*by, value))
-        return F.when(known, (rank + (ties - 1) / 2) / F.count("*").over(w))
-
-    if not group:
-        return F.coalesce(share([]), F.lit(0.5))
-    size = F.count(value).over(Window.partitionBy(*group))
-    return F.coalesce(F.when(size >= least, share(list(group))).otherwise(share([])), F.lit(0.5))
+def with_pct_rank(df: DataFrame, value: str, group: str, name: str, least: int = 3) -> DataFrame:
+    """df with ``name``: the rank share of value with ties averaged, in its group if that has ``least`` known values, else over all;
+    unknown values have 0.5.
+
+    Within groups by a window. Over all, equal values are counted first and a running sum goes over the distinct values alone, whose
+    ranges are summed apart, so no task sees all rows; and only rows of small groups look themselves up.
+    """
+    known = F.col(value).isNotNull()
+    own = Window.partitionBy(group, known)
+    ties = F.count("*").over(Window.partitionBy(group, value))
+    share = (F.rank().over(own.orderBy(value)) + (ties - 1) / 2) / F.count("*").over(own)
+    x = df.withColumns({"__n": F.count(value).over(Window.partitionBy(group)), "__own": F.when(known, share)})
+    counts = df.where(known).groupBy(value).agg(F.count("*").alias("__t"))
+    # a value's range by the leading digits of its rank order: the sum of a range, then of the values before it in the range
+    cut = F.floor(F.log(2.0, F.abs(F.col(value)) + 1) * 8) * F.signum(F.col(value))
+    ranged = counts.withColumn("__cut", cut)
+    totals = ranged.groupBy("__cut").agg(F.sum("__t").alias("__all"))  # some hundred ranges, whatever the rows
+    before = totals.select("__cut", (F.sum("__all").over(Window.orderBy("__cut")) - F.col("__all")).alias("__before"), F.sum("__all").over(Window.partitionBy()).alias("__total"))
+    inside = F.sum("__t").over(Window.partitionBy("__cut").orderBy(value))
+    over_all = ranged.withColumn("__inside", inside).join(before, "__cut").select(F.col(value).alias("__v"), ((F.col("__before") + F.col("__inside") - F.col("__t") + 1 + (F.col("__t") - 1) / 2) / F.col("__total")).alias("__share"))
+    y = x.join(over_all, F.when(F.col("__n") < least, F.col(value)) == F.col("__v"), "left")
+    rank = F.when(F.col("__n") >= least, F.col("__own")).otherwise(F.col("__share"))
+    return y.withColumn(name, F.coalesce(rank, F.lit(0.5))).drop("__n", "__own", "__v", "__share")
 
 
 def effective_window(months: Column, cfg: Config = CONFIG) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,18 +13,32 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFr
     return df.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__rn = 1").drop("__rn")
 
 
-def asof_join(left: DataFrame, right: DataFrame, left_time: str, right_time: str, value: str, by: Sequence[str] = ()) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, left_time: str, right_time: str, value: str, by: Sequence[str] = (), bucket: Callable[[str], Column] | None = None) -> DataFrame:
     """left with the value of the last right row at or before its time, within ``by``.
 
-    One union, one shuffle on the keys and a running last value: n log n, whatever the distance. Right rows need one
-    value for a time; several are reduced to the largest.
+    One union, one shuffle and a running last value: n log n, whatever the distance. With ``bucket``, a function of time that
+    never falls, rows meet by key and bucket, so that few keys still make many tasks; what a bucket starts with comes from
+    the last values of those before, of which there is a row each. Right rows need one value for a time; several are reduced to the
+    largest.
     """
-    cols = left.columns
-    r = right.where(F.col(right_time).isNotNull()).groupBy(*by, F.col(right_time).alias(left_time)).agg(F.max(value).alias("__v"))
-    r = r.withColumn("__side", F.lit(0))
-    both = left.withColumn("__side", F.lit(1)).unionByName(r, allowMissingColumns=True)
-    w = Window.partitionBy(*by).orderBy(F.col(left_time).asc_nulls_first(), "__side").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(value, F.last("__v", ignorenulls=True).over(w)).where("__side = 1").select(*cols, value)
+    cols, keys = left.columns, list(by)
+    r = right.where(F.col(right_time).isNotNull()).groupBy(*keys, F.col(right_time).alias(left_time)).agg(F.max(value).alias("__v"))
+    both = left.withColumn("__side", F.lit(1)).unionByName(r.withColumn("__side", F.lit(0)), allowMissingColumns=True)
+    order = [F.col(left_time).asc_nulls_first(), "__side"]
+    if bucket is None:
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return both.withColumn(value, F.last("__v", ignorenulls=True).over(w)).where("__side = 1").select(*cols, value)
+    both = both.withColumn("__b", bucket(left_time))
+    ends = both.groupBy(*keys, "__b").agg(F.max_by("__v", F.when(F.col("__v").isNotNull(), F.col(left_time))).alias("__end"))
+    before = Window.partitionBy(*keys).orderBy(F.col("__b").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    start = ends.withColumn("__start", F.last("__end", ignorenulls=True).over(before)).drop("__end")
+    start = start.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__b").alias("__c"), "__start")
+    w = Window.partitionBy(*keys, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    x = both.withColumn(value, F.last("__v", ignorenulls=True).over(w)).where("__side = 1")
+    on = F.col("__b").eqNullSafe(F.col("__c"))
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    return x.join(start, on, "left").withColumn(value, F.when(F.col(left_time).isNotNull(), F.coalesce(value, "__start"))).select(*cols, value)
 
 
 def precedence_union(first: DataFrame, second: DataFrame, key: str) -> DataFrame:

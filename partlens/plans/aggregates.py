@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from partlens.functions import stats as S
 from partlens.operators import relational as R
+from partlens.operators.sinks import numbered
 from partlens.plans.valuation import rates
 
 
@@ -135,7 +136,8 @@ def round_robin_priority(spark, d):
     p = _t(spark, d, "part")
     own = F.row_number().over(Window.partitionBy("p_brand").orderBy(F.desc("p_size"), "p_partkey"))
     x = p.withColumn("turn", own)
-    return x.select("p_partkey", F.col("turn").cast("long").alias("turn"), F.row_number().over(Window.orderBy("turn", F.desc("p_size"), "p_partkey")).cast("long").alias("priority"))
+    ranked = numbered(spark, x.select("p_partkey", "p_size", F.col("turn").cast("long").alias("turn")), [F.asc("turn"), F.desc("p_size"), F.asc("p_partkey")], "priority")
+    return ranked.select("p_partkey", "turn", "priority")
 
 
 def lowest_tier_merge(spark, d):
@@ -241,7 +243,7 @@ ORACLE_SQL = {
     "topk_nulls_last": "SELECT c_custkey, CASE WHEN c_custkey % 9 > 0 THEN c_acctbal END AS v FROM customer ORDER BY v ASC NULLS LAST, c_custkey LIMIT 25",
     "profile_null_dup_rates": "WITH x AS (SELECT CASE WHEN l_linenumber = 1 THEN NULL ELSE l_discount END AS v, l_orderkey, l_linenumber FROM lineitem) SELECT count(*) AS n, round(1 - count(v)::DOUBLE / count(*), 6) AS null_rate, round((count(*) - count(DISTINCT (l_orderkey, l_linenumber)))::DOUBLE / count(*), 6) AS dup_rate, round(avg(v), 6) AS mean FROM x",
     "cross_source_agreement": "WITH a AS (SELECT o_custkey, list(DISTINCT date_trunc('month', o_orderdate)) AS da, avg(o_totalprice) AS pa FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), b AS (SELECT o_custkey, list(DISTINCT date_trunc('month', o_orderdate)) AS db, avg(o_totalprice) AS pb FROM orders WHERE o_orderstatus = 'O' GROUP BY 1) SELECT o_custkey, list_has_any(da, db) AS same_month, abs(pa - pb) <= 0.1 * greatest(pa, pb) AS close FROM a JOIN b USING (o_custkey)",
-    "set_coverage_compare": "WITH x AS (SELECT event_type, user_id, max(CASE WHEN value > 60 THEN 1 ELSE 0 END) AS a, max(CASE WHEN value <= 10 THEN 1 ELSE 0 END) AS b FROM events WHERE user_id < 100 GROUP BY 1, 2) SELECT event_type, CAST(sum(a) AS INT) AS n_a, CAST(sum(b) AS INT) AS n_b, CAST(sum(greatest(a, b)) AS INT) AS n_any, CAST(sum(a * b) AS INT) AS n_both FROM x GROUP BY 1",
+    "set_coverage_compare": "WITH x AS (SELECT event_type, user_id, max(CASE WHEN value > 60 THEN 1 ELSE 0 END) AS a, max(CASE WHEN value <= 10 THEN 1 ELSE 0 END) AS b FROM events WHERE true GROUP BY 1, 2) SELECT event_type, CAST(sum(a) AS INT) AS n_a, CAST(sum(b) AS INT) AS n_b, CAST(sum(greatest(a, b)) AS INT) AS n_any, CAST(sum(a * b) AS INT) AS n_both FROM x GROUP BY 1",
     "false_match_breakdown": "WITH n AS (SELECT l_returnflag, CASE WHEN l_tax > 0.06 THEN 'TAX' WHEN l_discount > 0.07 THEN 'DISCOUNT' WHEN l_quantity > 40 THEN 'QUANTITY' ELSE 'OTHER' END AS category, count(*) AS n FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1, 2) SELECT *, round(n * 100::DOUBLE / sum(n) OVER (PARTITION BY l_returnflag), 4) AS pct FROM n",
     "largest_remainder_allocation": "WITH x AS (SELECT p_partkey, p_brand, p_retailprice / sum(p_retailprice) OVER (PARTITION BY p_brand) * 100 AS x FROM part), y AS (SELECT *, 100 - sum(floor(x)) OVER (PARTITION BY p_brand) AS left_, row_number() OVER (PARTITION BY p_brand ORDER BY round(x - floor(x), 9) DESC, p_partkey) AS rn FROM x) SELECT p_partkey, CAST(floor(x) + CAST(rn <= left_ AS INT) AS BIGINT) AS units FROM y",
     "long_format_two_measures": "SELECT l_returnflag, 'l_discount' AS measure, count(*) AS n, round(avg(l_discount), 6) AS mean FROM lineitem GROUP BY 1 UNION ALL SELECT l_returnflag, 'l_tax', count(*), round(avg(l_tax), 6) FROM lineitem GROUP BY 1",

@@ -244,8 +244,9 @@ def iso_times_and_days_listed(spark, d):
     iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
     text = F.when(F.col("event_id") % 9 == 0, "soon").when(F.col("event_id") % 2 == 0, F.concat(iso, F.lit("Z"))).otherwise(F.concat(iso, F.lit("+02:00")))
     made = F.try_to_timestamp(text)
-    seen = F.to_timestamp(F.lit("2024-06-30 12:00:00"))
-    return e.select("event_id", (F.unix_timestamp(made)).alias("made"), F.floor((F.unix_timestamp(seen) - F.unix_timestamp(made)) / 86400).alias("days_listed"), F.year(made).alias("y"), F.month(made).alias("m"))
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.unix_timestamp(made) / 86400).cast("int"))
+    seen = F.to_timestamp(F.lit("2024-06-30T12:00:00Z"))
+    return e.select("event_id", (F.unix_timestamp(made)).alias("made"), F.floor((F.unix_timestamp(seen) - F.unix_timestamp(made)) / 86400).alias("days_listed"), F.year(day).alias("y"), F.month(day).alias("m"))
 
 
 def secret_redaction(spark, d):

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of ``partlens.plans`` that each hold QUERIES and ORACLE_SQL.
-FAMILIES: tuple[str, ...] = ("valuation", "relational", "aggregates", "text_rules", "decisions", "cleaning", "pricing", "ingest", "review")
+FAMILIES: tuple[str, ...] = ("valuation", "relational", "aggregates", "text_rules", "decisions", "cleaning", "pricing", "ingest", "review", "collection", "profile", "streams")
 
 
 def _modules():

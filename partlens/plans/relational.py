@@ -27,11 +27,14 @@ def _facts(spark: SparkSession, d: str) -> DataFrame:
     return li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "ccy", F.date_sub("day", 200).alias("day"))
 
 
-_FACTS = "facts AS (SELECT l_orderkey, o_orderpriority AS ccy, CAST(min(CAST(l_shipdate AS DATE)) - INTERVAL 200 DAY AS DATE) AS day FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 1 GROUP BY 1, 2)"
+_FACTS = "facts AS (SELECT l_orderkey, l_linenumber, o_orderpriority AS ccy, CAST(CAST(l_shipdate AS DATE) - INTERVAL 200 DAY AS DATE) AS day FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
+
+
+BASE = "5-LOW"
 
 
 def fx_asof_keyed(spark, d):
-    return R.asof_join(_facts(spark, d), _rates(spark, d), "day", "valid", "rate", ["ccy"])
+    return R.asof_join(_facts(spark, d), _rates(spark, d), "day", "valid", "rate", ["ccy"], lambda t: F.trunc(t, "month"))
 
 
 def fx_asof_single(spark, d):
@@ -44,10 +47,11 @@ def fx_asof_single(spark, d):
 
 
 def fx_asof_fallback(spark, d):
-    f = R.asof_join(_facts(spark, d), _rates(spark, d), "day", "valid", "rate", ["ccy"])
+    f = R.asof_join(_facts(spark, d), _rates(spark, d), "day", "valid", "rate", ["ccy"], lambda t: F.trunc(t, "month"))
     ends = _rates(spark, d).groupBy("ccy").agg(F.min_by("rate", "valid").alias("earliest"), F.max_by("rate", "valid").alias("latest"))
-    x = f.join(F.broadcast(ends), "ccy", "left")
-    return x.select("l_orderkey", "l_linenumber", F.coalesce("rate", "earliest").alias("rate_e"), F.coalesce("rate", "latest").alias("rate_l"), F.col("rate").isNull().alias("is_fallback"))
+    x = f.join(ends, "ccy", "left")
+    base = F.when(F.col("ccy") == BASE, 1.0)  # against itself a currency is 1, whatever was quoted
+    return x.select("l_orderkey", "l_linenumber", F.coalesce(base, "rate", "earliest").alias("rate_e"), F.coalesce(base, "rate", "latest").alias("rate_l"), F.col("rate").isNull().alias("is_fallback"))
 
 
 def rate_lookup_as_of(spark, d):
@@ -168,9 +172,9 @@ def retention_keep_n(spark, d):
 _K = "CASE WHEN o_custkey % 3 = 0 THEN 'h' || o_orderkey ELSE CAST(o_custkey AS VARCHAR) END"
 QUERIES = {f.__name__: f for f in (fx_asof_keyed, fx_asof_single, fx_asof_fallback, rate_lookup_as_of, dedup_latest, dedup_first_alt_key, is_current_flag, precedence_union, union_all_tagged, union_distinct, anti_join_new_rows, insert_ignore, upsert_latest_wins, conditional_upsert_greatest, scoped_replace, null_safe_change_detect, expected_vs_done_pairs, conditional_left_joins_pick, join_two_path_fallback, wildcard_policy_join, sibling_lookup, retention_keep_n)}
 ORACLE_SQL = {
-    "fx_asof_keyed": f"WITH {_RATES}, {_FACTS} SELECT l_orderkey, f.ccy AS ccy, day, rate FROM facts f ASOF LEFT JOIN rates r ON f.ccy = r.ccy AND f.day >= r.valid",
-    "fx_asof_single": f"WITH {_RATES}, {_FACTS} SELECT l_orderkey, day, rate FROM facts f ASOF LEFT JOIN (SELECT valid, rate FROM rates WHERE ccy = '1-URGENT') r ON f.day >= r.valid",
-    "fx_asof_fallback": f"WITH {_RATES}, {_FACTS}, e AS (SELECT ccy, arg_min(rate, valid) AS earliest, arg_max(rate, valid) AS latest FROM rates GROUP BY 1) SELECT l_orderkey, coalesce(rate, earliest) AS rate_e, coalesce(rate, latest) AS rate_l, rate IS NULL AS is_fallback FROM facts f ASOF LEFT JOIN rates r ON f.ccy = r.ccy AND f.day >= r.valid LEFT JOIN e ON e.ccy = f.ccy",
+    "fx_asof_keyed": f"WITH {_RATES}, {_FACTS} SELECT l_orderkey, l_linenumber, f.ccy AS ccy, day, rate FROM facts f ASOF LEFT JOIN rates r ON f.ccy = r.ccy AND f.day >= r.valid",
+    "fx_asof_single": f"WITH {_RATES}, {_FACTS} SELECT l_orderkey, l_linenumber, day, rate FROM facts f ASOF LEFT JOIN (SELECT valid, rate FROM rates WHERE ccy = '1-URGENT') r ON f.day >= r.valid",
+    "fx_asof_fallback": f"WITH {_RATES}, {_FACTS}, e AS (SELECT ccy, arg_min(rate, valid) AS earliest, arg_max(rate, valid) AS latest FROM rates GROUP BY 1) SELECT l_orderkey, l_linenumber, CASE WHEN f.ccy = '{BASE}' THEN 1.0 ELSE coalesce(rate, earliest) END AS rate_e, CASE WHEN f.ccy = '{BASE}' THEN 1.0 ELSE coalesce(rate, latest) END AS rate_l, rate IS NULL AS is_fallback FROM facts f ASOF LEFT JOIN rates r ON f.ccy = r.ccy AND f.day >= r.valid LEFT JOIN e ON e.ccy = f.ccy",
     "rate_lookup_as_of": f"WITH {_RATES} SELECT ccy, arg_max(rate, valid) AS rate, max(valid) AS valid FROM rates WHERE valid <= DATE '1998-06-30' GROUP BY 1",
     "dedup_latest": "SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC NULLS LAST, event_id DESC) = 1",
     "dedup_first_alt_key": f"SELECT {_K} AS k, min(o_orderkey) AS o_orderkey FROM orders GROUP BY 1",

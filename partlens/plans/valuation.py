@@ -50,13 +50,13 @@ def price_trend_ols(spark: SparkSession, d: str) -> DataFrame:
 def demand_pct_rank(spark: SparkSession, d: str) -> DataFrame:
     sold = _t(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.sum("l_quantity").alias("sold"))
     parts = _t(spark, d, "part").join(sold, "p_partkey", "left")
-    return parts.select("p_partkey", "p_brand", F.round(S.pct_rank_average("sold", "p_brand"), 4).alias("d"))
+    return S.with_pct_rank(parts, "sold", "p_brand", "d").select("p_partkey", "p_brand", F.round("d", 4).alias("d"))
 
 
 def scarcity_pct_rank(spark: SparkSession, d: str) -> DataFrame:
     n = _t(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count_distinct("l_suppkey").alias("offers"))
     parts = _t(spark, d, "part").join(n, "p_partkey", "left")
-    x = parts.select("p_partkey", "p_type", F.round(1 - S.pct_rank_average("offers", "p_type"), 4).alias("s"))
+    x = S.with_pct_rank(parts, "offers", "p_type", "rank").select("p_partkey", "p_type", F.round(1 - F.col("rank"), 4).alias("s"))
     return x.withColumn("flag", F.when(F.col("s") >= 0.66, "SCARCE").when(F.col("s") <= 0.33, "PLENTY").otherwise("NORMAL"))
 
 
@@ -115,15 +115,16 @@ def monthly_growth_trend(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cohort_hazard_fallback(spark: SparkSession, d: str) -> DataFrame:
-    r = aged(spark, d).groupBy("item").agg(F.sum(F.col("w") * F.col("vol")).alias("wv"), F.count("*").alias("ev"))
+    # few of the sales, so that cohorts of all levels lack evidence somewhere
+    r = aged(spark, d).where("vol <= item % 4").groupBy("item").agg(F.sum(F.col("w") * F.col("vol")).alias("wv"), F.count("*").alias("ev"))
     p = _t(spark, d, "part").select(F.col("p_partkey").alias("item"), "p_brand", "p_type", "p_size")
     x = p.join(r, "item", "left")
     def level(*keys: str) -> DataFrame:
         return x.groupBy(*keys).agg((F.sum("wv") / F.count_distinct(F.when(F.col("wv").isNotNull(), F.col("item")))).alias("rate"), F.sum("ev").alias("ev"), F.count_distinct(F.when(F.col("wv").isNotNull(), F.col("item"))).alias("items"))
-    fine = level("p_brand", "p_type").where((F.col("ev") >= 70) & (F.col("items") >= 3)).select("p_brand", "p_type", F.col("rate").alias("r1"))
-    brand = level("p_brand").where((F.col("ev") >= 70) & (F.col("items") >= 3)).select("p_brand", F.col("rate").alias("r2"))
+    fine = level("p_brand", "p_type", "p_size").where((F.col("ev") >= C.cohort_fine[0]) & (F.col("items") >= C.cohort_fine[1])).select("p_brand", "p_type", "p_size", F.col("rate").alias("r1"))
+    brand = level("p_brand").where((F.col("ev") >= C.cohort_global[0]) & (F.col("items") >= C.cohort_global[1])).select("p_brand", F.col("rate").alias("r2"))
     everything = level().where((F.col("ev") >= C.cohort_global[0]) & (F.col("items") >= C.cohort_global[1])).select(F.col("rate").alias("r3"))
-    y = p.join(fine, ["p_brand", "p_type"], "left").join(F.broadcast(brand), "p_brand", "left").join(F.broadcast(everything), F.lit(True), "left")
+    y = p.join(fine, ["p_brand", "p_type", "p_size"], "left").join(brand, "p_brand", "left").join(F.broadcast(everything), F.lit(True), "left")  # one row
     return y.select("item", F.when(F.col("r1").isNotNull(), "BRAND_TYPE").when(F.col("r2").isNotNull(), "BRAND").when(F.col("r3").isNotNull(), "GLOBAL").otherwise("NONE").alias("level"), F.round(F.coalesce("r1", "r2", "r3"), 3).alias("rate"))
 
 
@@ -151,15 +152,6 @@ def turnover_calibration(spark: SparkSession, d: str) -> DataFrame:
     return x.where("days > 0").select("item", F.round(F.col("b") / F.col("days") * 30.44 * 6, 3).alias("expected"), F.coalesce("actual", F.lit(0.0)).alias("actual"))
 
 
-def landed_cost_scenarios(spark: SparkSession, d: str) -> DataFrame:
-    part = _t(spark, d, "part").select("p_partkey", F.col("p_retailprice").alias("price"))
-    rates = spark.createDataFrame([("DE", 5.0, 0.0, 0.19), ("US", 25.0, 0.03, 0.0975)], "country string, ship double, duty double, tax double")
-    x = part.crossJoin(F.broadcast(rates))  # two fixed rows
-    customs = F.col("duty") * (F.col("price") + F.col("ship"))
-    tax = F.col("tax") * (F.col("price") + F.col("ship") + customs)
-    return x.select("p_partkey", "country", F.round(customs, 6).alias("customs"), F.round(tax, 6).alias("tax"), F.round(F.col("price") + F.col("ship") + customs + tax, 6).alias("landed"))
-
-
 def elasticity_whatif(spark: SparkSession, d: str) -> DataFrame:
     r = rates(spark, d)
     pct = F.explode(F.array(*[F.lit(x) for x in (-10, -5, 0, 5, 10)])).alias("pct")
@@ -168,15 +160,15 @@ def elasticity_whatif(spark: SparkSession, d: str) -> DataFrame:
 
 def valuation_reason(spark: SparkSession, d: str) -> DataFrame:
     p = price_trend_ols(spark, d)
-    text = F.concat(F.lit("Based on "), F.col("n").cast("string"), F.lit(" sales; trend "), F.format_string("%+.1f%%", 100 * F.col("p")))
-    return p.where(F.abs(F.col("p")) >= 0.09999).select("item", text.alias("reason"))
+    text = F.concat(F.lit("Based on "), F.col("n").cast("string"), F.lit(" sales; trend "), F.format_string("%+.1f%%", 100 * F.col("p") + 1e-7))
+    return p.select("item", text.alias("reason"))
 
 
 _BUCKETS = " UNION ALL ".join(
     f"SELECT item, '{k}' AS bucket, round(stock * ({'1.0' if hi is None else f'(1 - exp(-rate / 100 * {float(hi)} / 30))'} - (1 - exp(-rate / 100 * {float(max(0, lo - 1))} / 30))), 4) AS units FROM rs" for k, lo, hi in C.buckets
 )
 
-QUERIES = {f.__name__: f for f in (decay_weighted_value, active_median_discounted, price_trend_ols, demand_pct_rank, scarcity_pct_rank, composite_valuation, turnover_hazard, survival_buckets, monthly_growth_trend, cohort_hazard_fallback, backtest_leave_one_out, backtest_temporal_holdout, turnover_calibration, landed_cost_scenarios, elasticity_whatif, valuation_reason)}
+QUERIES = {f.__name__: f for f in (decay_weighted_value, active_median_discounted, price_trend_ols, demand_pct_rank, scarcity_pct_rank, composite_valuation, turnover_hazard, survival_buckets, monthly_growth_trend, cohort_hazard_fallback, backtest_leave_one_out, backtest_temporal_holdout, turnover_calibration, elasticity_whatif, valuation_reason)}
 ORACLE_SQL = {
     "decay_weighted_value": SALES + " SELECT item, round(sum(w * vol * price) / sum(w * vol), 4) AS h, count(*) AS n, sum(vol) AS total FROM a GROUP BY 1",
     "active_median_discounted": f"SELECT item, round(c, 4) AS c, n FROM ({_ACTIVE})",
@@ -187,11 +179,10 @@ ORACLE_SQL = {
     "turnover_hazard": _RATES + " SELECT item, round(rate, 4) AS rate, round(least(3650.0, 30 * ln(2) / rate), 4) AS median_days, round(1 - exp(-rate), 5) AS p30, round(1 - exp(-rate * 3), 5) AS p90, round(rate * (exp(0.12) - 1) / 0.12, 4) AS adjusted FROM rs",
     "survival_buckets": _RATES + " " + _BUCKETS,
     "monthly_growth_trend": "WITH o AS (SELECT o_orderpriority, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, count(*) AS n FROM orders GROUP BY 1, 2), sp AS (SELECT o_orderpriority, unnest(generate_series(min(month), max(month), INTERVAL 1 MONTH)) AS month FROM o GROUP BY 1), x AS (SELECT sp.o_orderpriority, row_number() OVER (PARTITION BY sp.o_orderpriority ORDER BY sp.month) - 1 AS idx, coalesce(n, 0) AS n FROM sp LEFT JOIN o ON o.o_orderpriority = sp.o_orderpriority AND o.month = CAST(sp.month AS DATE)) SELECT o_orderpriority, count(*) AS months, count(*) FILTER (WHERE n > 0) AS positive, round(CASE WHEN count(*) >= 4 AND count(*) FILTER (WHERE n > 0) >= 3 THEN greatest(-0.08, least(0.08, regr_slope(CASE WHEN n > 0 THEN ln(n) END, idx) FILTER (WHERE n > 0))) ELSE 0 END, 6) AS growth FROM x GROUP BY 1",
-    "cohort_hazard_fallback": SALES + ", rr AS (SELECT item, sum(w * vol) AS wv, count(*) AS ev FROM a GROUP BY 1), x AS (SELECT p_partkey AS item, p_brand, p_type, wv, ev FROM part LEFT JOIN rr ON rr.item = p_partkey), f AS (SELECT p_brand, p_type, sum(wv) / count(wv) AS r1 FROM x GROUP BY 1, 2 HAVING sum(ev) >= 70 AND count(wv) >= 3), b AS (SELECT p_brand, sum(wv) / count(wv) AS r2 FROM x GROUP BY 1 HAVING sum(ev) >= 70 AND count(wv) >= 3), g AS (SELECT sum(wv) / count(wv) AS r3 FROM x HAVING sum(ev) >= 25 AND count(wv) >= 10) SELECT item, CASE WHEN r1 IS NOT NULL THEN 'BRAND_TYPE' WHEN r2 IS NOT NULL THEN 'BRAND' WHEN r3 IS NOT NULL THEN 'GLOBAL' ELSE 'NONE' END AS level, round(coalesce(r1, r2, r3), 3) AS rate FROM x LEFT JOIN f USING (p_brand, p_type) LEFT JOIN b USING (p_brand) LEFT JOIN g ON true",
+    "cohort_hazard_fallback": SALES + ", rr AS (SELECT item, sum(w * vol) AS wv, count(*) AS ev FROM a WHERE vol <= item % 4 GROUP BY 1), x AS (SELECT p_partkey AS item, p_brand, p_type, p_size, wv, ev FROM part LEFT JOIN rr ON rr.item = p_partkey), f AS (SELECT p_brand, p_type, p_size, sum(wv) / count(wv) AS r1 FROM x GROUP BY 1, 2, 3 HAVING sum(ev) >= 5 AND count(wv) >= 3), b AS (SELECT p_brand, sum(wv) / count(wv) AS r2 FROM x GROUP BY 1 HAVING sum(ev) >= 25 AND count(wv) >= 10), g AS (SELECT sum(wv) / count(wv) AS r3 FROM x HAVING sum(ev) >= 25 AND count(wv) >= 10) SELECT item, CASE WHEN r1 IS NOT NULL THEN 'BRAND_TYPE' WHEN r2 IS NOT NULL THEN 'BRAND' WHEN r3 IS NOT NULL THEN 'GLOBAL' ELSE 'NONE' END AS level, round(coalesce(r1, r2, r3), 3) AS rate FROM x LEFT JOIN f USING (p_brand, p_type, p_size) LEFT JOIN b USING (p_brand) LEFT JOIN g ON true",
     "backtest_leave_one_out": SALES + ", x AS (SELECT item, price, (sum(w * vol * price) OVER p - w * vol * price) / nullif(sum(w * vol) OVER p - w * vol, 0) AS est, count(*) OVER p AS n FROM a WINDOW p AS (PARTITION BY item)), y AS (SELECT item, abs(est - price) / price AS ape FROM x WHERE n > 1) SELECT item, count(*) AS n, round(avg(ape), 4) AS mape, round(median(ape), 4) AS mdape, round(avg(CAST(ape <= 0.2 AS INT)), 4) AS hit20 FROM y GROUP BY 1",
     "backtest_temporal_holdout": SALES + ", c AS (SELECT *, CAST(ref - INTERVAL 6 MONTH AS DATE) AS cut FROM a), h AS (SELECT item, sum(exp(-ln(2) / 12 * (date_diff('day', day, cut) / 30.44)) * vol * price) / sum(exp(-ln(2) / 12 * (date_diff('day', day, cut) / 30.44)) * vol) AS est FROM c WHERE day <= cut GROUP BY 1) SELECT item, count(*) AS n, round(avg(abs(est - price) / price), 4) AS mape, round(avg(CAST(abs(est - price) / price <= 0.1 AS INT)), 4) AS hit10 FROM c JOIN h USING (item) WHERE day > cut GROUP BY 1",
     "turnover_calibration": SALES + ", c AS (SELECT *, CAST(ref - INTERVAL 6 MONTH AS DATE) AS cut FROM a), x AS (SELECT item, sum(vol) FILTER (WHERE day <= cut) AS b, date_diff('day', min(day) FILTER (WHERE day <= cut), min(cut)) AS days, sum(vol) FILTER (WHERE day > cut) AS actual FROM c GROUP BY 1) SELECT item, round(b / days * 30.44 * 6, 3) AS expected, coalesce(actual, 0.0) AS actual FROM x WHERE days > 0",
-    "landed_cost_scenarios": "WITH r(country, ship, duty, tax) AS (VALUES ('DE', 5.0::DOUBLE, 0.0::DOUBLE, 0.19::DOUBLE), ('US', 25.0, 0.03, 0.0975)), x AS (SELECT p_partkey, country, p_retailprice AS price, ship, tax, duty * (p_retailprice + ship) AS customs FROM part, r) SELECT p_partkey, country, round(customs, 6) AS customs, round(tax * (price + ship + customs), 6) AS tax, round(price + ship + customs + tax * (price + ship + customs), 6) AS landed FROM x",
     "elasticity_whatif": _RATES + " SELECT item, pct, round(least(3650.0, 30 * ln(2) / rate) * pow(1 + pct / 100, 1.5), 5) AS days FROM rs, (SELECT unnest([-10, -5, 0, 5, 10]) AS pct)",
-    "valuation_reason": SALES + f" SELECT item, 'Based on ' || n || ' sales; trend ' || format('{{:+.1f}}%', 100 * p) AS reason FROM ({_TREND}) WHERE abs(p) >= 0.09999",
+    "valuation_reason": SALES + f" SELECT item, 'Based on ' || n || ' sales; trend ' || format('{{:+.1f}}%', 100 * p + 1e-7) AS reason FROM ({_TREND})",
 }
