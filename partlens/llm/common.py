@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import gc
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,35 +12,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own_dir: list[str] = []
-
+from partlens.storage import fresh_path, materialize, shared_dir  # noqa: F401  the operators take them from here
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not _own_dir:
-            _own_dir.append(tempfile.mkdtemp(prefix="partlens-"))
-            atexit.register(shutil.rmtree, _own_dir[0], True)
-        path = f"file://{_own_dir[0]}"
-    return path.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/partlens/{tag}-{uuid.uuid4().hex}"
-
-
-def materialize(spark: SparkSession, df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` to shared storage and read it again: the lineage is cut, lost executors cost nothing."""
-    path = fresh_path(spark, tag)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_enough(df: DataFrame, rows: int) -> bool:
     """True if ``df`` has at most ``rows`` rows; reads no more than it must to tell."""
     return df.limit(rows + 1).count() <= rows
