@@ -2,7 +2,7 @@
 
 Vectors are scaled to length 1 and turned by a fixed random rotation; cosine >= COSINE is then a squared distance of at
 most 2 - 2 * COSINE. The dimensions are split into BLOCKS blocks: of two near vectors some block has at most its
-share of that budget (pigeonhole). Each block is range-joined on a grid over its two widest dimensions, with
+share of that budget (pigeonhole). Each block is range-joined on a grid over its first two dimensions (of a random rotation none is wider), with
 cells as wide as the block's radius: a vector goes to its own cell and, as a visitor, to four of the eight around it,
 so any two of neighbouring cells meet once. In a cell the block's squared distances are bounded, the union of what
 passes is compared exactly, in double precision; a pair counts only in the first block that passes it.
@@ -12,9 +12,9 @@ dealt out as pairs of parts; the table of cell sizes is broadcast, and holds at
 as unit vectors have no cells beyond. A cell returns sums of links for each vector and a spanning forest of its links, never the
 pairs, and components come from the forests.
 
-Defined cases: vectors that are null, empty, zero, or hold nulls or non-finite values, and those of another
-length than the most usual one: no links, own component, kept; repeated vec_ids are rows of their own class;
-empty tables give empty results; extra columns are ignored.
+Defined cases: vectors that are null, empty, zero, or hold nulls or non-finite values: no links, own component, kept; vectors
+of each length are joined by themselves, of different lengths never; rows that repeat a vec_id are rows of their own, each with the
+links of its vector; a vector without an id is a component's id nowhere; empty tables give empty results; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -171,22 +171,15 @@ def _exact(dim: int, cosine: float):
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.array(v, np.float64).tobytes() for v in batch.column(1).to_pylist()], pa.binary())], ["vec_id", "vec"])
+        packed = [None if v is None else np.array(v, np.float64).tobytes() for v in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["vec_id", "vec"])
 
 
-def near_vectors(spark: SparkSession, vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(vec_id, n_links, component_id, kept) for every row."""
-    src = vectors.select(F.col(id_col).alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"))
-    good = "v IS NOT NULL AND size(v) > 0 AND forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')) AND exists(v, x -> x <> 0)"
-    sound = src.where(good)
-    usual = sound.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if usual is None:
-        return src.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    dim = usual["d"]
-    rows = materialize(spark, sound.where(F.size("v") == dim).select("vec_id", "v").mapInArrow(tidy(_pack), "vec_id long, vec binary"), "emb-rows")
-    classes = materialize(spark, rows.groupBy("vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")), "emb-classes")
-    placed = classes.mapInArrow(tidy(_cells(dim, 2 - 2 * cosine)), "block int, cell long, visitor boolean, rep long, weight long, z binary")
-    sizes = classes.select("rep", "weight", "vec").mapInArrow(tidy(_cells(dim, 2 - 2 * cosine)), "block int, cell long, visitor boolean, rep long, weight long, z binary").groupBy("block", "cell").agg(F.count("*").alias("n"), F.count_if(~F.col("visitor")).alias("members")).where("members > 0 AND n > 1").selectExpr("block", "cell", f"cast(ceil(n / {PART}) AS int) AS parts")
+def _linked(spark: SparkSession, classes: DataFrame, dim: int, cosine: float) -> DataFrame:
+    """(rep, n, component) of classes (rep, vec, weight) of vectors of dim components; classes without links may be absent."""
+    kinds = "block int, cell long, visitor boolean, rep long, weight long, z binary"
+    placed = classes.mapInArrow(tidy(_cells(dim, 2 - 2 * cosine)), kinds)
+    sizes = placed.groupBy("block", "cell").agg(F.count("*").alias("n"), F.count_if(~F.col("visitor")).alias("members")).where("members > 0 AND n > 1").selectExpr("block", "cell", f"cast(ceil(n / {PART}) AS int) AS parts")
     dealt = placed.join(F.broadcast(sizes), ["block", "cell"]).withColumn("part", F.expr("cast(pmod(xxhash64(rep), parts) AS int)"))
     # members of part p meet those of part q >= p; visitors of any part q meet the members of every p
     pair = F.expr("explode(CASE WHEN visitor THEN transform(sequence(0, parts - 1), p -> struct(p AS p, part AS q)) ELSE transform(sequence(0, parts - 1), x -> struct(least(part, x) AS p, greatest(part, x) AS q)) END)")
@@ -201,8 +194,27 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, cosine: float = COSINE
     counts = found.where("kind = 0").select("a", "x").unionByName(exact.selectExpr("a", "wb AS x")).unionByName(exact.selectExpr("x AS a", "wa AS x"))
     sums = counts.groupBy(F.col("a").alias("rep")).agg(F.sum("x").alias("n"))
     links = found.where("kind = 1").selectExpr("a", "x AS b").unionByName(exact.selectExpr("a", "x AS b"))
-    groups = components(spark, links, "emb-cc")
-    by_class = classes.join(sums, "rep", "left").join(groups, classes["rep"] == groups["node"], "left").select("vec", F.expr("weight - 1 + coalesce(n, 0)").alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    linked = rows.join(by_class, "vec").groupBy("vec_id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
-    out = src.select("vec_id").join(linked, "vec_id", "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    groups = components(spark, links, "emb-cc").withColumnRenamed("node", "rep")
+    return sums.join(groups, "rep", "left")
+
+
+def near_vectors(spark: SparkSession, vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(vec_id, n_links, component_id, kept) for every row."""
+    src = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"))
+    good = F.expr("v IS NOT NULL AND size(v) > 0 AND forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')) AND exists(v, x -> x <> 0)")
+    rows = materialize(spark, src.select("vec_id", F.when(good, F.col("v")).alias("v")).mapInArrow(tidy(_pack), "vec_id long, vec binary"), "emb-rows")
+    # equal vectors are a class; its number, unlike an id, is no other class's
+    classes = rows.where("vec IS NOT NULL").groupBy("vec").agg(F.min("vec_id").alias("first"), F.count("*").alias("weight"))
+    classes = materialize(spark, classes.withColumn("rep", F.monotonically_increasing_id()).withColumn("d", (F.octet_length("vec") / 8).cast("int")), "emb-classes")
+    linked = None
+    # vectors of each length are joined by themselves; a row for each length reaches the driver
+    for dim in [r["d"] for r in classes.groupBy("d").count().where("count > 1").orderBy("d").collect()]:
+        one = _linked(spark, classes.where(F.col("d") == dim).select("rep", "vec", "weight"), dim, cosine)
+        linked = one if linked is None else linked.unionByName(one)
+    none = F.lit(None).cast("long")
+    told = classes.withColumns({"n": none, "component": none}) if linked is None else classes.join(linked, "rep", "left")
+    told = told.withColumn("component", F.coalesce("component", "rep"))
+    least = told.groupBy("component").agg(F.min("first").alias("component_id"))
+    by_class = told.join(least, "component").select("vec", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "component_id")
+    out = rows.join(by_class, "vec", "left")
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
