@@ -10,8 +10,9 @@ run, and the runs meet in a loser tree, k at a time with log2(k) comparisons an
 other are the globally ordered capture history.
 
 Defined cases: null html: an empty payload; null url: an empty key; bad dates of capture can't occur, as
-captures are timed by page_id where the table has no timestamp; repeated page_ids are records like any other; an empty
-table gives an empty result; extra columns are ignored.
+captures are timed by page_id where the table has no timestamp; repeated page_ids are records like any other; a page
+without an id is timed as 0 and comes after all others with its payload; a payload longer than an archive is an archive of its own, of
+2 GB at most; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from partlens.llm.common import fresh_path, materialize, tidy
 
 DEDUP_BYTES = 100
+ARCHIVE_BYTES, RANGE_ENTRIES = 64 << 20, 200_000
 END = b"\r\n\r\n"
 _ENTRY = "url_key string, ts string, page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload_offset long, archive string"
 
@@ -43,17 +45,22 @@ def url_key(url: str) -> F.Column:
 def write_archives(spark: SparkSession, pages: DataFrame, path: str) -> None:
     """WARC 1.1 files of all rows (page_id, url, html) under ``path``."""
     src = pages.select("page_id", F.regexp_replace(F.coalesce("url", F.lit("")), r"\s", "%20").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    src = src.withColumn("bytes", F.octet_length("html")).withColumn("digest", F.sha2("html", 256))
+    src = src.withColumn("bytes", F.octet_length("html").cast("long")).withColumn("digest", F.sha2("html", 256))
+    # archives of about ARCHIVE_BYTES before compression, dealt by the digest that the join needs anyway
+    total = src.agg(F.sum("bytes")).first()[0] or 0
+    n = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")), total // ARCHIVE_BYTES)
+    src = src.repartition(n, "digest")
     long = src.where(F.col("bytes") >= DEDUP_BYTES)
     # digests of one row need no entry; the least id and its hot digest are aggregated before they move
     firsts = long.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
     both = src.join(firsts, "digest", "left")
-    again = (F.col("bytes") >= DEDUP_BYTES) & (F.col("first") < F.col("page_id"))
+    # a page without an id comes after those with one
+    again = F.coalesce((F.col("bytes") >= DEDUP_BYTES) & F.col("first").isNotNull() & (F.col("page_id").isNull() | (F.col("first") < F.col("page_id"))), F.lit(False))
     body = F.when(again, F.lit("")).otherwise(F.col("html"))
-    ts = F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.col("page_id")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    ts = F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.coalesce("page_id", F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     head = F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: "), F.when(again, F.lit("revisit")).otherwise(F.lit("response")),
-        F.lit("\r\nWARC-Record-ID: <urn:page:"), F.col("page_id").cast("string"), F.lit(">\r\nWARC-Date: "), ts,
+        F.lit("\r\nWARC-Record-ID: <urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("none")), F.lit(">\r\nWARC-Date: "), ts,
         F.lit("\r\nWARC-Target-URI: "), F.col("url"), F.lit("\r\nWARC-Payload-Digest: sha256:"), F.col("digest"),
         F.lit("\r\nX-Payload-Length: "), F.col("bytes").cast("string"),
         F.when(again, F.concat(F.lit("\r\nWARC-Refers-To: <urn:page:"), F.col("first").cast("string"), F.lit(">\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))).otherwise(F.lit("")),
@@ -78,11 +85,21 @@ def records(data: bytes) -> Iterator[tuple[dict[bytes, bytes], int, int]]:
         at = stop + len(END)
 
 
+def inflate(raw: bytes) -> bytes:
+    """All members of a gzip file; archives often have one for each record."""
+    out = []
+    while raw:
+        member = zlib.decompressobj(31)
+        out.append(member.decompress(raw) + member.flush())
+        raw = member.unused_data
+    return b"".join(out)
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     number = re.compile(rb"\d+")
     for batch in batches:
         for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            data = zlib.decompressobj(31).decompress(content.as_buffer()) if path.endswith(".gz") else content.as_py()
+            data = inflate(content.as_py()) if path.endswith(".gz") else content.as_py()
             rows = []
             for f, begin, stop in records(data):
                 kind, digest = f[b"WARC-Type"].decode(), f[b"WARC-Payload-Digest"].removeprefix(b"sha256:").decode()
@@ -92,11 +109,16 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         raise ValueError(f"{path}: a payload differs from its digest")
                 size = int(f[b"X-Payload-Length"]) if kind == "revisit" else stop - begin
                 ref = number.search(f.get(b"WARC-Refers-To", b""))
-                rows.append((f[b"X-URL-Key"].decode(), f[b"WARC-Date"].decode(), int(number.search(f[b"WARC-Record-ID"])[0]), f[b"WARC-Target-URI"].decode(), kind, size, digest, int(ref[0]) if ref else None, begin, path))
-            rows.sort(key=lambda r: r[:3])  # the archive's run
+                rows.append((f[b"X-URL-Key"].decode(), f[b"WARC-Date"].decode(), int(own[0]) if (own := number.search(f[b"WARC-Record-ID"])) else None, f[b"WARC-Target-URI"].decode(), kind, size, digest, int(ref[0]) if ref else None, begin, path))
+            rows.sort(key=_order)  # the archive's run
             yield pa.RecordBatch.from_pylist([dict(zip((x.split()[0] for x in _ENTRY.split(", ")), r, strict=True)) for r in rows], schema=_schema())
 
 
+def _order(row: tuple) -> tuple:
+    """By URL key, time and page, without an id first, as Spark orders nulls."""
+    return row[0], row[1], row[2] is not None, row[2] or 0
+
+
 def _schema() -> pa.Schema:
     kinds = {"string": pa.string(), "long": pa.int64()}
     return pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in _ENTRY.split(", ")])
@@ -147,7 +169,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     runs: dict[str, list[int]] = {}
     for i, a in enumerate(cols["archive"]):
         runs.setdefault(a, []).append(i)
-    key = lambda i: (cols["url_key"][i], cols["ts"][i], cols["page_id"][i])
+    key = lambda i: _order((cols["url_key"][i], cols["ts"][i], cols["page_id"][i]))
     order = pa.array(list(LoserTree([iter(r) for r in runs.values()], key)), pa.int64())
     yield from got.take(order).to_batches(max_chunksize=8192)
 
@@ -157,6 +179,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").load(f"{path}/part-*").select("path", "content")
     n = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     entries = materialize(spark, files.repartition(n, "path").mapInArrow(tidy(_read), _ENTRY), "warc-runs")
+    # ranges of about RANGE_ENTRIES, so that one fits in a task whatever the size of all
+    n = max(n, entries.count() // RANGE_ENTRIES)
     dealt = entries.repartitionByRange(n, "url_key", "ts", "page_id").sortWithinPartitions("archive", "url_key", "ts", "page_id")
     return dealt.mapInArrow(tidy(_merge), _ENTRY)
 
