@@ -10,7 +10,8 @@ is no sample. Letters are lower-cased; the SYMBOLS most usual letters of Latin s
 slots by code point, so other scripts work with the same tables. Words are padded by one blank.
 
 Defined cases: text null or without a letter: lang_pred ``und``, score 0; ties go to the smaller label; without any
-training row everything is ``und``; repeated rows are predicted alike; extra columns are ignored.
+training row everything is ``und``; repeated rows are predicted alike; texts of any length are bundled whole; extra columns, of any name, are
+ignored by ``identify`` and kept by ``recognised``.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from partlens.llm.common import filled, row_slices, tidy
 
 DIM, N, SYMBOLS = 512, 3, 48
 UNKNOWN = "und"
+#: A text of so many letters is held against so many texts of random letters.
+ENOUGH, NOISE = 64, 32
 
 
 def _symbol_table() -> np.ndarray:
@@ -115,16 +118,17 @@ def train(rows: DataFrame) -> tuple[list[str], np.ndarray]:
     return labels, out / np.where(norm == 0, 1, norm)
 
 
-def predict(docs: DataFrame, labels: list[str], prototypes: np.ndarray, id_cols: list[str], text_col: str) -> DataFrame:
-    """docs' id columns with lang_pred and score."""
+def predict(docs: DataFrame, labels: list[str], prototypes: np.ndarray, id_cols: list[str], text_col: str, names: tuple[str, str, str] = ("lang_pred", "score", "n_letters")) -> DataFrame:
+    """docs' id columns with the predicted language, its score and the number of letters, under ``names``."""
     proto = prototypes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = filled(batch.column(text_col))
-            lang, score = [], []
+            lang, score, letters = [], [], []
             for lo, hi in row_slices(texts):
                 codes, first = gram_codes(texts.slice(lo, hi - lo).to_pylist())
+                letters += np.diff(first).tolist()
                 for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
                     if a == b or not labels:
                         lang.append(UNKNOWN)
@@ -135,12 +139,12 @@ def predict(docs: DataFrame, labels: list[str], prototypes: np.ndarray, id_cols:
                     best = int(np.argmax(cos))
                     lang.append(labels[best])
                     score.append(min(1.0, max(0.0, float(cos[best]))))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in id_cols), pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*id_cols, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in id_cols), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(letters, pa.int64())], [*id_cols, *names])
         _cache.clear()  # a worker that Spark keeps must not keep the vectors
 
     src = docs.select(*dict.fromkeys([*id_cols, text_col]))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields if f.name in id_cols)
-    return src.mapInArrow(tidy(run), f"{kinds}, lang_pred string, score double")
+    return src.mapInArrow(tidy(run), f"{kinds}, `{names[0]}` string, `{names[1]}` double, `{names[2]}` long")
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -148,18 +152,34 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def noise_score(prototypes: np.ndarray) -> float:
+    """The highest cosine with any prototype that NOISE texts of letters drawn at random reach."""
+    rng = np.random.default_rng(2203)
+    best = 0.0
+    for _ in range(NOISE):
+        words = ["".join(chr(97 + c) for c in rng.integers(0, 26, n)) for n in rng.integers(1, 11, 100)]
+        doc = bundle(*np.unique(gram_codes([" ".join(words)])[0], return_counts=True))
+        best = max(best, float((prototypes @ doc).max(initial=0.0) / np.linalg.norm(doc)))
+    return best
+
+
 def recognised(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """docs without the rows of which no language can be told (null texts and texts without letters)."""
+    """docs without the rows of which no language can be told: null texts, texts without letters, and texts of ENOUGH letters at
+    least that are no nearer to any language's prototype than letters drawn at random.
+
+    Shorter texts stay, as they have too few n-grams to tell; without any labelled row all texts with letters stay.
+    """
     labels, prototypes = train(docs)
-    if not labels:  # nothing to compare with: any text with letters stays
+    least = noise_score(prototypes) if labels else 0.0
+    if not labels:
         labels, prototypes = ["any"], np.zeros((1, DIM))
-    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    told = predict(docs.select(*names), labels, prototypes, names, "text")
-    return told.where(F.col("lang_pred") != UNKNOWN).select(*names)
+    names, own = docs.columns, tuple(f"{x}_{'_'.join(docs.columns)}" for x in ("lang", "score", "letters"))  # names that docs can't have
+    told = predict(docs, labels, prototypes, names, "text", own)
+    return told.where((F.col(own[0]) != UNKNOWN) & ((F.col(own[2]) < ENOUGH) | (F.col(own[1]) >= least))).select(*names)
 
 
 def identify(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for every row of docs (doc_id, text, lang)."""
     labels, prototypes = train(docs.where(~held_out()))
     src = docs.select("doc_id", held_out().alias("held_out"), "text")
-    return predict(src, labels, prototypes, ["doc_id", "held_out"], "text")
+    return predict(src, labels, prototypes, ["doc_id", "held_out"], "text").drop("n_letters")

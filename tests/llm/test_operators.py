@@ -199,3 +199,66 @@ def test_embedding_join_equals_brute_force(spark):
     got = {r.vec_id: (r.n_links, r.kept) for r in embedding_join.near_vectors(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
     assert {i: got[i][0] for i in range(61)} == {i: int(link[i].sum()) for i in range(61)}
     assert all(got[i] == (0, True) for i in range(61, 65)) and not got[60][1]
+
+
+def test_embeddings_of_other_lengths_and_repeated_ids(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [1.0, 0.0, 0.0]), (4, [0.0, 1.0, 0.0]), (5, [0.0, 1.0, 0.1]), (6, [5.0]), (7, [2.0]), (8, [-1.0]), (9, [1.0, 0.0, 0.0]), (9, [0.0, 0.0, 1.0]), (None, [0.0, 0.1, 1.0])]
+    got = sorted(map(tuple, embedding_join.near_vectors(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()), key=repr)
+    assert got == sorted([(1, 1, 1, True), (2, 1, 1, False), (3, 1, 3, True), (4, 1, 4, True), (5, 1, 4, False), (6, 1, 6, True), (7, 1, 6, False), (8, 0, 8, True), (9, 1, 3, False), (9, 1, 9, True), (None, 1, 9, True)], key=repr)
+    assert embedding_join.near_vectors(spark, spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
+
+
+def test_archives_of_several_members_and_pages_without_ids(spark):
+    import gzip
+
+    assert warc.inflate(gzip.compress(b"one") + gzip.compress(b"") + gzip.compress(b"two")) == b"onetwo"
+    page = "x" * 150
+    rows = [(None, "http://a.example/1", page), (5, "http://a.example/1", page), (None, None, "short"), (5, "http://a.example/1", page)]
+    got = sorted((tuple(r) for r in warc.capture_history(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).select("page_id", "payload_bytes", "record_type", "refers_to").collect()), key=repr)
+    assert got == sorted([(None, 150, "revisit", 5), (5, 150, "response", None), (5, 150, "response", None), (None, 5, "response", None)], key=repr)
+
+
+def test_language_stage_rejects_what_is_like_no_language(spark):
+    rng = np.random.default_rng(8)
+    noise = " ".join("".join(map(chr, rng.integers(97, 123, n))) for n in rng.integers(1, 11, 120))
+    words = {"en": "the house and the garden of this old town are open".split(), "fr": "la maison et le jardin de cette vieille ville sont ouverts".split()}
+    rows = [(i, " ".join(rng.choice(words[k], 60)), k, "mine", 0.5) for i, k in enumerate(["en", "fr"] * 20)] + [(90, noise, None, "mine", 0.5), (91, "zq xv", None, "mine", 0.5), (92, None, "en", "mine", 0.5), (93, "12 !", None, "mine", 0.5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, score double")
+    left = language_id.recognised(spark, docs)
+    assert left.columns == docs.columns
+    assert sorted(map(tuple, left.collect())) == sorted(r for r in rows if r[0] not in (90, 92, 93))
+    assert language_id.recognised(spark, docs.limit(0)).count() == 0
+
+
+def test_near_copies_around_the_limit_equal_brute_force(spark):
+    rng = np.random.default_rng(17)
+    texts = []
+    for base in range(6):
+        words = list(rng.choice(WORDS, int(rng.integers(30, 160))))
+        for _ in range(25):
+            w = list(words)
+            for at in rng.integers(0, len(w), int(rng.integers(0, len(w) // 12 + 2))):
+                w[at] = f"n{int(rng.integers(0, 10**6))}"
+            texts.append(" ".join(w[int(rng.integers(0, 4)) : len(w) - int(rng.integers(0, 4))]))
+    texts += [texts[0], "a b c", "A b C", "a b"]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.lower().split() for t in texts)]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, x in enumerate(sets):
+        for b in range(a):
+            if 100 * len(x & sets[b]) >= 75 * len(x | sets[b]):
+                p, q = find(a), find(b)
+                root[max(p, q)] = min(p, q)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(spark, docs).collect()}
+    assert got == {i: (len(s), find(i)) for i, s in enumerate(sets)}
+    # rows that repeat one stay one row each, and one of each group is left
+    twice = docs.where("doc_id < 40").unionByName(docs.where("doc_id < 3"))
+    assert jaccard_join.jaccard_components(spark, twice).count() == 43
+    left = sorted(r.doc_id for r in jaccard_join.one_of_each(spark, twice).collect())
+    assert left == sorted({find(i) for i in range(25)} | {r.component_id for r in jaccard_join.jaccard_components(spark, docs.where("doc_id BETWEEN 25 AND 39")).collect()})
