@@ -1,19 +1,22 @@
 """Benchmark decontamination by SimHash windows, multi-index Hamming blocks and exact shingle similarity.
 
 Native: DataFrame and SQL functions only. Words are lower-cased runs of non-space characters; shingles take five
-words, or all words of a shorter item. For an item of n words a document's windows are its runs of n words (cut at
-the document's ends) that hold one of the benchmark's shingles at the place it has in an item of n words; any
-other window shares no aligned shingle with an item. Each window gets a 64-bit SimHash of its shingles. The bits are split into
-RADIUS + 1 blocks; a window and an item of its length that agree in a block are candidates, which finds every pair
-of fingerprints within RADIUS bits. Candidates within RADIUS are verified on whole shingle multisets: weight of the
-intersection over weight of the union, the weight of a shingle being its number of occurrences, at ``least`` or more.
-RADIUS lies over four standard deviations above the distance expected at a similarity of 0.75.
+words, or all words of a shorter item. For an item of n words a document's windows are its runs of n words, cut at the document's
+ends. A window of the similarity asked for shares three quarters of an item's shingles, so only starts at which so many of
+the window's shingles occur in items of that length are looked at: all others fall short, none is left out by chance.
+Each such window gets a 64-bit SimHash of its shingles. The bits are split into RADIUS + 1 blocks; a window and an item of its
+length that agree in a block are candidates, which finds every pair of fingerprints within RADIUS bits. Candidates within
+RADIUS are verified on whole shingle multisets: weight of the intersection over weight of the union, the weight of a shingle
+being its number of occurrences, at ``least`` or more. At a similarity of 0.75 fingerprints differ in 11 bits of 64 on average, with a
+deviation of 3; RADIUS is 4.3 deviations above that, so blocks are two or three bits wide, and it is the windows' starts and the
+exact similarity that decide most.
 
 Broadcast is the benchmark's shingle table, and only if it has at most BROADCAST_ROWS rows; else it is shuffled.
 
 Defined cases: null or empty texts on either side match nothing; of several windows of a document and item the most
 similar counts, ties to the first; repeated items report each item_id; repeated rows of a doc_id count as one
-document whose windows are all judged; empty tables give an empty result; extra columns are ignored.
+document whose windows are all judged; texts of any length are read whole, a window's work grows with its own length; empty
+tables give an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,10 +48,18 @@ def shingles(text: str, k: int) -> Column:
     return F.expr(let(words(text), "w", f"CASE WHEN size(w) >= {k} THEN transform(sequence(0, size(w) - {k}), i -> xxhash64({args})) ELSE cast(array() AS array<bigint>) END"))
 
 
+#: Up to so many hashes their bits are counted side by side, in eight bytes of eight numbers.
+LANES = 255
+
+
 def simhash(h: str) -> Column:
     """The majority of each bit over the hashes of an array."""
+    mask = "72340172838076673L"  # the lowest bit of each byte
+    added = ", ".join(f"a[{i}] + (shiftrightunsigned(x, {i}) & {mask})" for i in range(8))
+    few = let(f"aggregate(hs, array({', '.join(['0L'] * 8)}), (a, x) -> array({added}))", "n", "aggregate(sequence(0, 63), 0L, (acc, b) -> acc | CASE WHEN 2 * (shiftrightunsigned(n[b % 8], b - b % 8) & 255L) > size(hs) THEN shiftleft(1L, b) ELSE 0L END)")
     ones = "aggregate(hs, 0, (n, x) -> n + cast(shiftrightunsigned(x, b) & 1L AS int))"
-    return F.expr(let(h, "hs", f"aggregate(sequence(0, 63), 0L, (acc, b) -> acc | CASE WHEN 2 * {ones} > size(hs) THEN shiftleft(1L, b) ELSE 0L END)"))
+    many = f"aggregate(sequence(0, 63), 0L, (acc, b) -> acc | CASE WHEN 2 * {ones} > size(hs) THEN shiftleft(1L, b) ELSE 0L END)"
+    return F.expr(let(h, "hs", f"CASE WHEN size(hs) <= {LANES} THEN {few} ELSE {many} END"))
 
 
 def blocks(fingerprint: str) -> Column:
@@ -59,7 +70,16 @@ def blocks(fingerprint: str) -> Column:
 
 def as_set(h: str) -> Column:
     """A multiset as a set: each hash with the number of its earlier occurrences."""
-    return F.expr(let(h, "hs", "transform(hs, (x, i) -> xxhash64(x, size(filter(slice(hs, 1, i), y -> y = x))))"))
+    ranked = let(f"array_sort({h})", "s", "transform(s, (x, i) -> xxhash64(x, i + 1 - array_position(s, x)))")
+    return F.expr(f"CASE WHEN size(array_distinct({h})) = size({h}) THEN transform({h}, x -> xxhash64(x, 0L)) ELSE {ranked} END")
+
+
+def starts(at: str, k: int, least: float) -> Column:
+    """Starts of windows that hold ceil(least * N) of the places ``at``, N being the number of an item's shingles, n - k + 1."""
+    need = f"cast(ceil({least} * (n - {k - 1})) AS int)"
+    first = f"at[j + {need} - 1] - (n - {k - 1}) + 1"  # earlier starts don't reach the last of so many places
+    ranges = f"transform(sequence(0, size(at) - {need}), j -> struct(CASE WHEN j > 0 THEN greatest(at[j - 1] + 1, {first}) ELSE {first} END AS lo, at[j] AS hi))"
+    return F.expr(f"CASE WHEN size(at) >= {need} THEN flatten(transform(filter({ranges}, r -> r.lo <= r.hi), r -> sequence(r.lo, r.hi))) ELSE cast(array() AS array<int>) END".replace("at[", f"{at}[").replace("size(at)", f"size({at})"))
 
 
 def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
@@ -71,25 +91,23 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, lea
         own = items.where(F.least("n", F.lit(K)) == k).select("item_id", "n", shingles("text", k).alias("h"))
         # written, as are the windows: what is costly is then computed once, not once for each use of a column
         own = materialize(spark, own.withColumns({"ifp": simhash("h"), "ih": as_set("h")}), "decon-items")
-        places = own.select("n", F.posexplode("h").alias("j", "sh")).distinct()
+        places = own.select("n", F.explode("h").alias("sh")).distinct()
         if small_enough(places, BROADCAST_ROWS):
             places = F.broadcast(places)
         held = docs.select("doc_id", F.posexplode(shingles("text", k)).alias("p", "sh")).join(places, "sh")
-        starts = held.groupBy("doc_id").agg(F.collect_set(F.struct("n", F.expr("p - j AS s"))).alias("at"))
-        windows = docs.select("doc_id", "text").join(starts, "doc_id").select("doc_id", shingles("text", k).alias("h"), F.explode("at").alias("a")).select("doc_id", F.col("a.n").alias("n"), F.col("a.s").alias("s"), F.expr(f"slice(h, greatest(a.s, 0) + 1, greatest(a.s + a.n - {k - 1} - greatest(a.s, 0), 0))").alias("hw"))
+        dense = held.groupBy("doc_id", "n").agg(F.sort_array(F.collect_set("p")).alias("at")).withColumn("s", starts("at", k, least)).where("size(s) > 0")
+        asked = dense.groupBy("doc_id").agg(F.collect_list(F.struct("n", "s")).alias("at"))
+        windows = docs.select("doc_id", "text").join(asked, "doc_id").select("doc_id", shingles("text", k).alias("h"), F.explode("at").alias("a")).select("doc_id", "h", F.col("a.n").alias("n"), F.explode("a.s").alias("s"))
+        windows = windows.select("doc_id", "n", "s", F.expr(f"slice(h, greatest(s, 0) + 1, greatest(s + n - {k - 1} - greatest(s, 0), 0))").alias("hw"))
         # a window under ``least`` of the item's length can't reach that similarity
-        windows = windows.where(f"size(hw) >= {least} * (n - {k - 1})")
-        windows = materialize(spark, windows, "decon-windows")
-        windows = materialize(spark, windows.withColumns({"fp": simhash("hw"), "wh": as_set("hw")}).drop("hw"), "decon-fingerprints")
-        asked = own.select("item_id", "n", "ifp", "ih", F.explode(blocks("ifp")).alias("b"))
-        near = windows.withColumn("b", F.explode(blocks("fp"))).join(asked, ["n", "b"])
+        windows = materialize(spark, windows.where(f"size(hw) >= {least} * (n - {k - 1})"), "decon-windows")
+        windows = materialize(spark, windows.withColumn("fp", simhash("hw")), "decon-fingerprints")
         # of the blocks that a pair shares the first one reports it
-        same = F.expr("bit_count(fp ^ ifp)")
-        pairs = near.withColumn("hamming", same).where(F.col("hamming") <= RADIUS)
-        first = F.expr("filter(" + blocks_equal("fp", "ifp") + ", x -> x >= 0)[0]")
-        pairs = pairs.where(first == F.col("b.no"))
-        sim = F.expr("size(array_intersect(wh, ih))").cast("double")
-        pairs = pairs.withColumn("both", sim)
+        near = windows.select("doc_id", "n", "s", "fp", F.explode(blocks("fp")).alias("b")).join(own.select("item_id", "n", "ifp", F.explode(blocks("ifp")).alias("b")), ["n", "b"])
+        near = near.withColumn("hamming", F.expr("bit_count(fp ^ ifp)")).where(F.col("hamming") <= RADIUS)
+        near = near.where(F.expr("filter(" + blocks_equal("fp", "ifp") + ", x -> x >= 0)[0]") == F.col("b.no")).select("doc_id", "n", "s", "fp", "item_id", "hamming")
+        pairs = near.join(windows, ["doc_id", "n", "s", "fp"]).join(own.select("item_id", "ih"), "item_id").withColumn("wh", as_set("hw"))
+        pairs = pairs.withColumn("both", F.expr("size(array_intersect(wh, ih))").cast("double"))
         pairs = pairs.withColumn("similarity", F.col("both") / (F.size("wh") + F.size("ih") - F.col("both"))).where(F.col("similarity") >= least)
         best = pairs.groupBy("doc_id", "item_id").agg(F.min_by(F.struct(F.greatest("s", F.lit(0)).cast("long").alias("start_word"), "similarity", F.col("hamming").cast("int").alias("hamming")), F.struct(-F.col("similarity"), F.col("s"))).alias("x")).select("doc_id", "item_id", "x.*")
         found = best if found is None else found.unionByName(best)

@@ -262,3 +262,41 @@ def test_near_copies_around_the_limit_equal_brute_force(spark):
     assert jaccard_join.jaccard_components(spark, twice).count() == 43
     left = sorted(r.doc_id for r in jaccard_join.one_of_each(spark, twice).collect())
     assert left == sorted({find(i) for i in range(25)} | {r.component_id for r in jaccard_join.jaccard_components(spark, docs.where("doc_id BETWEEN 25 AND 39")).collect()})
+
+
+def test_decontamination_equals_brute_force(spark):
+    rng = np.random.default_rng(23)
+    items = [" ".join(rng.choice(WORDS, int(n))) for n in (3, 5, 9, 14, 30, 30, 59)] + ["w1 w2 w1 w2 w1 w2 w1 w2 w1 w2 w1 w2", "", None]
+    texts = []
+    for i in range(60):
+        words = list(rng.choice(WORDS, 80))
+        passage = items[i % 8].split()
+        for at in rng.integers(0, len(passage), int(rng.integers(0, 3))):
+            if i % 3:
+                passage[at] = "other"
+        if i % 5 == 1:
+            passage.insert(len(passage) // 2, "more")
+        if i % 7 == 2:
+            passage = passage[1:]
+        where = int(rng.choice([0, 40, 80]))
+        texts.append(" ".join(words[:where] + passage + words[where:]).upper() if i % 2 else " ".join(words[:where] + passage + words[where:]))
+
+    def bag(words, k):
+        return Counter(tuple(words[i : i + k]) for i in range(len(words) - k + 1))
+
+    want = {}
+    for j, item in enumerate(items):
+        own = (item or "").lower().split()
+        k, n = min(5, len(own)), len(own)
+        if not n:
+            continue
+        target = bag(own, k)
+        for d, text in enumerate(texts):
+            w = text.lower().split()
+            best = max((sum((x & target).values()) / sum((x | target).values()) for s in range(1 - n, len(w)) if (x := bag(w[max(s, 0) : s + n], k))), default=0)
+            if best >= 0.75:
+                want[d, j] = pytest.approx(best)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.contaminated(spark, docs, bench).collect()}
+    assert got == want and len(want) > 20
