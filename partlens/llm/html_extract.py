@@ -4,11 +4,13 @@ A page is cut into blocks, the lines. Elements that by name, role, class or id a
 sidebars, notices, adverts, forms, scripts, styles, comments) are skipped. Where the page marks its article (article,
 else main or role=main) only blocks in it count. Then pages are paired with their nearest neighbours by URL path
 within a host; the lines of both are aligned by longest common subsequence, and shared lines are deleted, in a marked
-article too. Near-equal pages are copies and no neighbours: a run of copies (of its first page) looks past itself, to the
-page before and the page after it. A page without a neighbour that is no copy keeps all lines.
+article too. Near-equal pages are copies and no neighbours: a run of pages that are copies one of the next looks past itself, to
+the page before and the page after it. A page without a neighbour that is no copy keeps all lines.
 
-Neighbours come from a range-partitioned sort by host, path and page_id, so a host of any size is spread over tasks;
-a page at the edge of a range has its neighbour on one side.
+Pages are sorted by host, path and page_id over ranges, so a host of any size is spread over tasks. In a range all pages but
+those of its first and last run have both neighbours at hand. For these, a pass over the ranges' edges, four pages of each, one
+range after the other, tells what lies before a range's first run and after its last one, however many ranges a run fills; so texts
+depend on the order of pages alone, not on where ranges are cut.
 
 Defined cases: null or empty html: empty text; null url: host and path are empty; repeated rows stay rows; unclosed
 and stray tags never fail; an empty table gives an empty result; extra columns are ignored.
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partlens.llm.common import tidy
+from partlens.llm.common import materialize, tidy
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 ATTR = re.compile(r"([a-zA-Z_:][-a-zA-Z0-9_:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -196,51 +198,124 @@ def own_lines(lines: list[str], others: list[list[str]]) -> list[str]:
     return [t for i, t in enumerate(lines) if i not in gone]
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages in order of host, path, page_id; a run of copies waits for the page after it."""
-    run: list[tuple] = []  # copies of its first page: (page_id, url, host, lines)
-    before: list[list[str]] = []  # the last and the first page of the run before, if of the same host
-    cols = ([], [], [], [])
+_LINES = pa.list_(pa.string())
+_PAGE = "page_id long, url string, text string, n_chars long"
+#: Kinds of rows of a range: a page with its text; a page of the first or last run, or of the only one, which has its lines; the
+#: range's edges: its first page, the first one past its first run, the last one before its last run, its last page.
+DONE, FIRST, LAST, ONLY, EDGES = range(5)
+_PLACED = f"{_PAGE}, part int, kind int, lines array<string>, host string, first array<string>, second array<string>, before_last array<string>, last array<string>"
 
-    def emit(after: list[list[str]]):
-        for page_id, url, _, lines in run:
-            near = [next((o for o in side if not copies(lines, o)), None) for side in (before, after)]
-            text = "\n".join(own_lines(lines, [o for o in near if o is not None]))
-            for c, x in zip(cols, (page_id, url, text, len(text)), strict=True):
-                c.append(x)
 
-    def out():
-        batch = pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.int64())], ["page_id", "url", "text", "n_chars"])
-        for c in cols:
-            c.clear()
+def _text(lines: list[str], neighbours: list[list[str] | None]) -> str:
+    return "\n".join(own_lines(lines, [o for o in neighbours if o is not None and not copies(lines, o)]))
+
+
+def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages of a range in order of host, path, page_id -> their texts as far as the range tells them, the rest, and the edges."""
+    from pyspark import TaskContext
+
+    part = TaskContext.get().partitionId()
+    names = [x.split()[0] for x in _PLACED.split(", ")]
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32(), _LINES, pa.string(), _LINES, _LINES, _LINES, _LINES]
+    rows: list[tuple] = []
+    edges: dict[str, list[str]] = {}
+    run: list[tuple] = []  # (page_id, url, lines) of copies one of the next
+    host = before = None  # of the run; before: the page before it, if of the same host
+    first_run, size = True, 0
+
+    def end_run(after: list[str] | None, is_last: bool) -> None:
+        nonlocal first_run
+        kind = ONLY if first_run and is_last else FIRST if first_run else LAST if is_last else DONE
+        for page_id, url, lines in run:
+            if kind == DONE:
+                text = _text(lines, [before, after])
+                rows.append((page_id, url, text, len(text), part, DONE, None, None, None, None, None, None))
+            else:
+                rows.append((page_id, url, None, None, part, kind, lines, host, None, None, None, None))
+        first_run = False
+
+    def out() -> pa.RecordBatch:
+        batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+        rows.clear()
         return batch
 
-    size = 0
+    first_host = None
     for batch in batches:
         for i in range(batch.num_rows):
-            page_id, url, host, page = (batch.column(c)[i].as_py() for c in ("page_id", "url", "host", "html"))
+            page_id, url, its_host, page = (batch.column(c)[i].as_py() for c in ("page_id", "url", "host", "html"))
             lines = [t for t, _ in blocks(page or "")]
             size += len(page or "")
-            same_host = bool(run) and run[0][2] == host
-            if same_host and copies(run[0][3], lines):
-                run.append((page_id, url, host, run[0][3] if lines == run[0][3] else lines))
+            same = bool(run) and host == its_host
+            if same and copies(run[-1][2], lines):
+                run.append((page_id, url, run[-1][2] if lines == run[-1][2] else lines))
             else:
-                emit([lines] if same_host else [])
-                before = [run[-1][3], run[0][3]] if same_host else []
-                run = [(page_id, url, host, lines)]
-            if size > 16 << 20:
+                if run:
+                    if first_run:
+                        edges["second"] = lines if same else None
+                    end_run(lines if same else None, False)
+                    before = run[-1][2] if same else None
+                    edges["before_last"] = before
+                else:
+                    edges["first"], first_host = lines, its_host
+                run, host = [(page_id, url, lines)], its_host
+            if size > 16 << 20 and rows:
                 yield out()
                 size = 0
-    emit([])
-    yield out()
+    if run:
+        only = first_run
+        end_run(None, True)
+        # of the edges, text is the host of the last page and n_chars whether all pages are one run
+        rows.append((None, None, host, int(only), part, EDGES, None, first_host, edges["first"], None if only else edges["second"], None if only else edges["before_last"], run[-1][2]))
+        yield out()
+
+
+def _along(forward: bool):
+    """Edges of ranges, in order or backwards, in one task -> (part, lines): the page before a range's first run, or after its last."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        host = page = beyond = None  # of the range passed: its near end's host and page, and what lies beyond that page's run
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                near_host, far_host = (r["host"], r["text"]) if forward else (r["text"], r["host"])
+                near, inner, far = (r["first"], r["before_last"], r["last"]) if forward else (r["last"], r["second"], r["first"])
+                found = None
+                if host is not None and near_host == host:
+                    found = beyond if copies(page, near) else page
+                out.append(found)
+                beyond = found if r["n_chars"] else inner
+                host, page = far_host, far
+            yield pa.RecordBatch.from_arrays([batch.column("part"), pa.array(out, _LINES)], ["part", "found"])
+
+    return run
+
+
+def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = []
+        for r in batch.select(["kind", "lines", "before", "after", "second", "before_last"]).to_pylist():
+            before = r["before_last"] if r["kind"] == LAST else r["before"]
+            after = r["second"] if r["kind"] == FIRST else r["after"]
+            texts.append(_text(r["lines"], [before, after]))
+        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
 def main_text(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of pages (page_id, url, html)."""
     host = F.regexp_extract(F.lower(F.coalesce("url", F.lit(""))), r"^[a-z][a-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)", 1)
     path = F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
-    src = pages.select("page_id", "url", host.alias("host"), path.alias("path"), F.col("html").cast("string").alias("html"))
-    # ranges of RANGE_ROWS pages at least: few pages lie at an edge
+    src = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), path.alias("path"), F.col("html").cast("string").alias("html"))
     n = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), pages.count() // RANGE_ROWS))
-    dealt = src.repartitionByRange(n, "host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
-    return dealt.select("page_id", "url", "host", "html").mapInArrow(tidy(_extract), "page_id long, url string, text string, n_chars long")
+    # rows that repeat a page_id and path are ordered by their html, so that the order is one whatever the ranges
+    order = ["host", "path", "page_id", F.xxhash64("url", "html")]
+    dealt = src.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    placed = materialize(spark, dealt.select("page_id", "url", "host", "html").mapInArrow(tidy(_place), _PLACED), "html-pages")
+    done = placed.where(F.col("kind") == DONE).select("page_id", "url", "text", "n_chars")
+    edges = placed.where(F.col("kind") == EDGES).select("part", "host", "text", "n_chars", "first", "second", "before_last", "last")  # a row for each range
+    passes = {}
+    for name, forward in (("before", True), ("after", False)):
+        line = edges.repartition(1).sortWithinPartitions(F.asc("part") if forward else F.desc("part"))
+        passes[name] = line.mapInArrow(tidy(_along(forward)), "part int, found array<string>").withColumnRenamed("found", name)
+    around = edges.select("part", "second", "before_last").join(passes["before"], "part").join(passes["after"], "part")
+    rest = placed.where(F.col("kind").isin(FIRST, LAST, ONLY)).select("page_id", "url", "part", "kind", "lines").join(around, "part")
+    return done.unionByName(rest.mapInArrow(tidy(_finish), _PAGE))
