@@ -1,7 +1,8 @@
 """Toxicity severity by cumulative-link ordinal regression over sparse text features.
 
-Grades are ordered: 0 clean, 1 toxic, 2 toxic and of low quality (``grade_of``). One weight vector w is shared by all
-thresholds b1 < b2 < ...: P(grade >= k) = sigmoid(w.x - b_k). Expected severity is the sum of those probabilities.
+Grades are ordered: 0 clean, 1 toxic, 2 and above worse. Labels with a column ``severity`` give them; where labels tell only toxic
+from clean, toxic rows that hold more distinct features of toxic rows than their median are of grade 2 (``graded``). One weight
+vector w is shared by all thresholds b1 < b2 < ...: P(grade >= k) = sigmoid(w.x - b_k). Expected severity is the sum of those probabilities.
 Features are presences of words (A-Z lowered, ASCII punctuation dropped) and of their first STEMS bytes, which catch
 inflected forms, hashed to 2**BITS slots. The fit keeps features of LEAST_DF samples or more whose share of toxic
 samples differs from that of all by LEAST_Z standard deviations.
@@ -10,7 +11,9 @@ The fit uses at most ``sample`` labelled rows, the first by a hash of their id (
 fitting sample); all documents are scored over their whole texts.
 
 Defined cases: text null or without words: no features, the prior's severity; no labelled rows: severity and
-probability 0; a label without a document is ignored; repeated rows are scored alike; extra columns are ignored.
+probability 0; a label without a document is ignored; of several labels of an id the worst counts; rows that repeat an id are scored alike, and
+in the fit the first by hash counts; texts of any length are scored whole; extra columns, of any name, are ignored; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -52,16 +55,31 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -35, 35)))
 
 
+def telling(rows: list[np.ndarray], grade: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Features of which the toxic samples' share differs from all samples', and of these the ones that mark toxic rows."""
+    flat = np.concatenate(rows) if len(rows) else np.zeros(0, np.int32)
+    doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    df = np.bincount(flat, minlength=1 << BITS)
+    hit = np.bincount(flat, weights=(grade > 0)[doc].astype(float), minlength=1 << BITS)
+    q = float(np.clip((grade > 0).mean(), 1e-4, 1 - 1e-4)) if len(grade) else 0.5
+    slots = np.flatnonzero((df >= LEAST_DF) & (np.abs(hit - q * df) >= LEAST_Z * np.sqrt(df * q * (1 - q))))
+    return slots, slots[hit[slots] > q * df[slots]]
+
+
+def graded(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
+    """Grades of samples that are only known to be toxic or not: by how many marks of toxic rows they hold."""
+    _, marks = telling(rows, toxic)
+    n = np.array([np.isin(r, marks).sum() for r in rows])
+    return np.where(toxic > 0, 1 + (n > np.median(n[toxic > 0])), 0) if (toxic > 0).any() else toxic
+
+
 def fit(rows: list[np.ndarray], grade: np.ndarray, grades: int, l2: float = 3e-4, steps: int = 200, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds by full-gradient Adam on the ordinal log-likelihood; rows: slots of each sample."""
     n = len(rows)
     lens = np.array([len(r) for r in rows])
     flat = np.concatenate(rows) if n else np.zeros(0, np.int32)
     doc = np.repeat(np.arange(n), lens)
-    df = np.bincount(flat, minlength=1 << BITS)
-    hit = np.bincount(flat, weights=(grade > 0)[doc].astype(float), minlength=1 << BITS)
-    q = float(np.clip((grade > 0).mean(), 1e-4, 1 - 1e-4))
-    slots = np.flatnonzero((df >= LEAST_DF) & (np.abs(hit - q * df) >= LEAST_Z * np.sqrt(df * q * (1 - q))))
+    slots, _ = telling(rows, grade)
     place = np.full(1 << BITS, -1, np.int32)
     place[slots] = np.arange(len(slots))
     flat, doc = place[flat][(keep := place[flat] >= 0)], doc[keep]
@@ -91,28 +109,30 @@ def fit(rows: list[np.ndarray], grade: np.ndarray, grades: int, l2: float = 3e-4
     return full, b
 
 
-def grade_of() -> F.Column:
-    return F.expr("CASE WHEN toxic IS NULL THEN NULL WHEN toxic = 0 THEN 0 WHEN coalesce(quality, 1) = 0 THEN 2 ELSE 1 END")
-
-
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds from at most ``sample`` labelled documents."""
-    some = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
-    some = some.withColumn("grade", grade_of()).select("doc_id", "grade").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    told = "severity" if "severity" in labels.columns else "toxic"
+    some = labels.where(F.col("doc_id").isNotNull() & F.col(told).isNotNull()).groupBy("doc_id").agg(F.max(told).cast("int").alias("grade"))
+    some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     src = docs.select("doc_id", F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1)
+            texts = batch.column(2)
             for lo, hi in row_slices(texts):
                 rows = [r.tobytes() for r in features(*byte_view(texts.slice(lo, hi - lo)))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(rows, pa.binary())], ["grade", "slots"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in range(2)), pa.array(rows, pa.binary())], ["doc_id", "grade", "slots"])
 
-    got = src.join(F.broadcast(some), "doc_id").select("grade", "text").mapInArrow(tidy(run), "grade int, slots binary").toArrow()
-    grade = np.array(got.column("grade").to_pylist(), int)
+    # rows that repeat an id make one sample: the driver gets ``sample`` rows at most
+    own = src.join(F.broadcast(some), "doc_id").groupBy("doc_id", "grade").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    got = own.mapInArrow(tidy(run), "doc_id long, grade int, slots binary").orderBy("doc_id").toArrow()
+    grade = np.maximum(np.array(got.column("grade").to_pylist(), int), 0)
     if not len(grade):
         return np.zeros(1 << BITS, np.float32), np.zeros(0)
-    return fit([np.frombuffer(x, np.int32) for x in got.column("slots").to_pylist()], grade, max(2, int(grade.max()) + 1))
+    rows = [np.frombuffer(x, np.int32) for x in got.column("slots").to_pylist()]
+    if told == "toxic":
+        grade = graded(rows, grade)
+    return fit(rows, grade, max(2, int(grade.max()) + 1))
 
 
 def severity(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:

@@ -108,6 +108,22 @@ def test_toxicity(spark, nothing):
     assert all(r.toxic_pred == (r.doc_id % 4 == 0) for r in got if r.doc_id < 200) and len(got) == 202
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.severity for r in toxicity.severity(spark, d, empty).collect()} == {0.0}
+    assert toxicity.severity(spark, nothing, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).count() == 0
+
+
+def test_severity_grows_with_the_grade_on_held_out_rows(spark):
+    insults = ["idiot", "scum", "moron", "pathetic"]
+    rows = [(i, " ".join([_text(i, 40), *insults[: (0, 1, 4)[i % 3]]]), "x") for i in range(600)] + [(0, "again", "x"), (700, None, "x"), (701, "", "x"), (702, _text(9, 8000) + " scum idiot moron pathetic", "x")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, severity string")
+    for labels in ([(i, int(i % 3 > 0)) for i in range(400)], [(i, i % 3) for i in range(400)]):
+        kind = "toxic" if max(x for _, x in labels) == 1 else "severity"
+        got = toxicity.severity(spark, d, spark.createDataFrame([*labels, (3, 0)], f"doc_id long, {kind} int")).collect()
+        assert len(got) == len(rows) and all(0 <= r.severity <= 2 for r in got)
+        held = [r for r in got if 400 <= r.doc_id < 600]
+        assert sum(r.grade_pred == r.doc_id % 3 for r in held) >= 0.95 * len(held)
+        by = [np.mean([r.severity for r in held if r.doc_id % 3 == k]) for k in range(3)]
+        assert by[0] < 0.3 < by[1] < 1.5 < by[2]
+        assert next(r for r in got if r.doc_id == 702).toxic_pred and len({r.severity for r in got if r.doc_id in (700, 701)}) == 1
 
 
 def test_decontamination(spark, docs, nothing):
