@@ -20,7 +20,8 @@ from __future__ import annotations
 
 import html as html_lib
 import re
-from bisect import bisect_left
+import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -41,7 +42,7 @@ SELF_ENDING = {"p", "li", "dt", "dd", "tr", "td", "th", "option"}
 BAD = set("ad ads advert advertisement advertising adbox adsense banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar footer header masthead topbar toolbar cookie cookies consent notice notification gdpr popup modal overlay newsletter subscribe signup login share sharing social related recommended comment comments disqus reply replies widget pagination pager search form skip copyright legal disclaimer".split())
 BAD_ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
 KEEP_HEADER_IN_ARTICLE = {"header"}
-RANGE_ROWS = 200
+RANGE_ROWS, SAMPLE = 200, 40
 SPACE = re.compile(r"\s+")
 WORD = re.compile(r"[a-z]+")
 
@@ -210,6 +211,33 @@ def _text(lines: list[str], neighbours: list[list[str] | None]) -> str:
     return "\n".join(own_lines(lines, [o for o in neighbours if o is not None and not copies(lines, o)]))
 
 
+def _cut(cuts: list[tuple[str, str, bool, int]]):
+    """(page_id, url, host, path, html) -> the page's lines, a hash that orders pages of one id, and its range: the cuts before it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, hosts, paths = (batch.column(c).to_pylist() for c in ("page_id", "host", "path"))
+            first, size, cols = 0, 0, ([], [], [])
+            names = ["page_id", "url", "host", "path", "lines", "tie", "part"]
+
+            def out(lo: int, hi: int) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in names[:4]), pa.array(cols[0], _LINES), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32())], names)
+
+            for i, page in enumerate(batch.column("html")):
+                page = page.as_py() or ""
+                key = (hosts[i], paths[i], ids[i] is not None, ids[i] or 0)
+                for c, x in zip(cols, ([t for t, _ in blocks(page)], zlib.crc32(page.encode()), bisect_right(cuts, key)), strict=True):
+                    c.append(x)
+                size += len(page)
+                if size > 4 << 20:
+                    yield out(first, i + 1)
+                    first, size, cols = i + 1, 0, ([], [], [])
+            if cols[0]:
+                yield out(first, batch.num_rows)
+
+    return run
+
+
 def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pages of a range in order of host, path, page_id -> their texts as far as the range tells them, the rest, and the edges."""
     from pyspark import TaskContext
@@ -242,9 +270,8 @@ def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     first_host = None
     for batch in batches:
         for i in range(batch.num_rows):
-            page_id, url, its_host, page = (batch.column(c)[i].as_py() for c in ("page_id", "url", "host", "html"))
-            lines = [t for t, _ in blocks(page or "")]
-            size += len(page or "")
+            page_id, url, its_host, lines = (batch.column(c)[i].as_py() for c in ("page_id", "url", "host", "lines"))
+            size += sum(map(len, lines))
             same = bool(run) and host == its_host
             if same and copies(run[-1][2], lines):
                 run.append((page_id, url, run[-1][2] if lines == run[-1][2] else lines))
@@ -306,10 +333,14 @@ def main_text(spark: SparkSession, pages: DataFrame) -> DataFrame:
     path = F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
     src = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), path.alias("path"), F.col("html").cast("string").alias("html"))
     n = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), pages.count() // RANGE_ROWS))
-    # rows that repeat a page_id and path are ordered by their html, so that the order is one whatever the ranges
-    order = ["host", "path", "page_id", F.xxhash64("url", "html")]
-    dealt = src.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    placed = materialize(spark, dealt.select("page_id", "url", "host", "html").mapInArrow(tidy(_place), _PLACED), "html-pages")
+    # cuts between ranges, from a sample of SAMPLE pages for each; pages are parsed once, before they move
+    few = src.select("host", "path", "page_id").orderBy(F.xxhash64("page_id", "url"), "page_id").limit(SAMPLE * n).collect() if n > 1 else []
+    keys = sorted((r["host"], r["path"], r["page_id"] is not None, r["page_id"] or 0) for r in few)
+    cuts = [keys[len(keys) * i // n] for i in range(1, n)] if keys else []
+    parsed = src.mapInArrow(tidy(_cut(cuts)), "page_id long, url string, host string, path string, lines array<string>, tie long, part int")
+    # pages of one id and path are ordered by a hash of their html, so that the order is one whatever the ranges
+    dealt = parsed.repartitionById(n, "part").sortWithinPartitions("host", "path", "page_id", "tie")
+    placed = materialize(spark, dealt.select("page_id", "url", "host", "lines").mapInArrow(tidy(_place), _PLACED), "html-pages")
     done = placed.where(F.col("kind") == DONE).select("page_id", "url", "text", "n_chars")
     edges = placed.where(F.col("kind") == EDGES).select("part", "host", "text", "n_chars", "first", "second", "before_last", "last")  # a row for each range
     passes = {}
