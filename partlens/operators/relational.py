@@ -63,5 +63,6 @@ def replace_scope(old: DataFrame, new: DataFrame, scope: Column) -> DataFrame:
 def top_n_others(df: DataFrame, key: str, n: int, measure: str = "n", rest: str = "Others") -> DataFrame:
     """The n largest keys by count and one row for all others."""
     counts = df.groupBy(key).agg(F.count("*").alias(measure))
-    ranked = counts.withColumn("__r", F.row_number().over(Window.orderBy(F.desc(measure), F.asc(key))))
-    return ranked.groupBy(F.when(F.col("__r") <= n, F.col(key)).otherwise(F.lit(rest)).alias(key)).agg(F.sum(measure).alias(measure))
+    top = counts.orderBy(F.desc(measure), F.asc(key)).limit(n).select(F.col(key).alias("__k"))
+    both = counts.join(F.broadcast(top), F.col(key).eqNullSafe(F.col("__k")), "left")  # n rows
+    return both.groupBy(F.coalesce("__k", F.lit(rest)).alias(key)).agg(F.sum(measure).alias(measure))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from partlens.functions import stats as S
 from partlens.operators import relational as R
 from partlens.operators.sinks import numbered
-from partlens.plans.valuation import rates
+from partlens.plans.valuation import _RATES, rates
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -214,7 +214,9 @@ def monte_carlo_units(spark, d):
 
 _ROB = "WITH s AS (SELECT l_partkey, {v} AS price FROM lineitem), m AS (SELECT l_partkey, count(price) AS n, median(price) AS med, quantile_cont(price, 0.25) AS q1, quantile_cont(price, 0.75) AS q3 FROM s GROUP BY 1), a AS (SELECT l_partkey, median(abs(price - med)) AS mad FROM s JOIN m USING (l_partkey) GROUP BY 1)"
 QUERIES = {f.__name__: f for f in (robust_price_stats_mad, outlier_counts, conditional_counts, distinct_case_counts, filtered_counts, two_level_evidence_stats, arg_max_latest, string_agg_distinct, collision_map_having, seller_profile_hhi, duplicate_group_size, aggregate_duplicates_anchor, status_summary_cascade, weakest_tier, histogram_overflow, sell_time_bins, top_n_others, brand_share, bucket_rollup, confusion_matrix, precision_recall_f1, majority_label_ties, round_robin_priority, lowest_tier_merge, search_filter_sort, topk_nulls_last, profile_null_dup_rates, cross_source_agreement, set_coverage_compare, false_match_breakdown, largest_remainder_allocation, long_format_two_measures, json_extract, monte_carlo_units)}
+_PMF = "exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + CASE WHEN k > 0 THEN k * ln(greatest(p, 1e-300)) ELSE 0 END + CASE WHEN k < n THEN (n - k) * ln(greatest(1 - p, 1e-300)) ELSE 0 END)"
 ORACLE_SQL = {
+    "monte_carlo_units": _RATES + f", u AS (SELECT p_partkey, greatest(coalesce(p_size, 0), 0) AS n, rate, days FROM part LEFT JOIN rs ON item = p_partkey, (SELECT unnest([30, 90]) AS days)), v AS (SELECT *, coalesce(1 - exp(-rate * days / 30e0), 0) AS p FROM u), k AS (SELECT *, unnest(generate_series(0, n)) AS k FROM v), c AS (SELECT *, sum({_PMF}) OVER (PARTITION BY p_partkey, days ORDER BY k) AS cdf FROM k), q AS (SELECT p_partkey, n, days, any_value(p) AS p, coalesce(min(k) FILTER (WHERE cdf > 0.05), n) AS lo, coalesce(min(k) FILTER (WHERE cdf > 0.95), n) AS hi FROM c GROUP BY 1, 2, 3) SELECT p_partkey, n AS units, " + ", ".join(f"max(CASE WHEN days = {d} THEN {x} END) AS {name}{d}" for d in (30, 90) for x, name in (("round(n * p, 4)", "mean"), ("lo", "p5_"), ("hi", "p95_"))) + " FROM q GROUP BY 1, 2",
     "robust_price_stats_mad": _ROB.format(v="l_extendedprice / l_quantity") + " SELECT l_partkey, n, round(med, 4) AS med, round(q1, 4) AS q1, round(q3, 4) AS q3, round(mad, 4) AS mad FROM m JOIN a USING (l_partkey)",
     "outlier_counts": _ROB.format(v="l_extendedprice") + " SELECT l_partkey, count(*) FILTER (WHERE CASE WHEN mad > 0 THEN abs(price - med) > 3.5 * 1.4826 * mad WHEN q3 - q1 > 0 THEN price < q1 - 1.5 * (q3 - q1) OR price > q3 + 1.5 * (q3 - q1) END) AS outliers FROM s JOIN m USING (l_partkey) JOIN a USING (l_partkey) GROUP BY 1",
     "conditional_counts": "SELECT o_custkey, count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'F') AS f, round(sum(CASE WHEN o_orderstatus = 'O' THEN o_totalprice END), 2) AS open_value, CAST(max(CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END) AS BIGINT) AS has_urgent FROM orders GROUP BY 1",

@@ -4,6 +4,9 @@ written by a sink.
 
 from __future__ import annotations
 
+import json
+import os
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +14,7 @@ from partlens.operators import sinks as S
 from partlens.operators.relational import latest_per_key
 from partlens.plans import cleaning
 from partlens.sources import files as X
+from partlens.sources import paged
 from partlens.storage import fresh_path
 
 
@@ -192,6 +196,22 @@ def sink_reports(spark, d):
     return rows.crossJoin(F.broadcast(one)).select("n_nationkey", "text", "n", "bad", "total")  # one row
 
 
+def paged_search(spark, d):
+    """A search's answers by query, page by page: 50 listings a page, 7 pages and 320 listings at most."""
+    path = fresh_path(spark, "answers").removeprefix("file://")
+    s = _t(spark, d, "lineitem").where("l_linenumber = 1").select("l_returnflag", "l_orderkey", "l_partkey", "l_suppkey", "l_quantity").orderBy("l_orderkey", "l_partkey", "l_suppkey", "l_quantity")
+    answers = {}
+    for r in s.where("l_orderkey < 2000").collect():  # the fixture's answers, which a service would hold
+        answers.setdefault(r["l_returnflag"], []).append(r["l_orderkey"])
+    os.makedirs(path)
+    for query, keys in answers.items():
+        with open(f"{path}/{query}.jsonl", "w", encoding="utf-8") as f:
+            f.writelines(json.dumps({"itemId": k, "no": i}) + "\n" for i, k in enumerate(keys))
+    rows = paged.search(spark, path, sorted(answers), limit=50, pages=7, items=320)
+    x = F.from_json("body", "itemId long, no long")
+    return rows.select("query", "page", x.alias("x")).select("query", "page", F.col("x.itemId").alias("item_id"), F.col("x.no").alias("no"))
+
+
 def bulk_inventory_upload(spark, d):
     """Rows of an upload against the inventory, by key: stock set, stock added, new, or refused; one refused row refuses all."""
     key = F.lower(F.concat_ws("|", "brand", "caliber", "part"))
@@ -214,7 +234,7 @@ _RAW = cleaning._RAW
 _LINES = "SELECT DISTINCT coalesce(brand, '') AS brand, coalesce(caliber, '') AS caliber, coalesce(part, '') AS part, coalesce(stock, '') AS stock FROM raw"
 _BROAD = f"SELECT CAST(user_id % 300 AS VARCHAR) AS item_id, event_type AS title, TRY_CAST({_PRICE} AS DOUBLE) AS price_value, CAST(event_id % 4 AS DOUBLE) AS condition_id FROM events"
 _UP_KEY = "lower(concat_ws('|', brand, caliber, part))"
-QUERIES = {f.__name__: f for f in (csv_strings, source_inventory, source_broad_listings, source_aggregate_history, source_sold_listings, source_targeted_listings, drop_folder_plan, ledger_skip_files, ledger_upsert, json_flatten, manifest_selection, table_counts, sink_versions, sink_scoped_overwrite, sink_reports, bulk_inventory_upload)}
+QUERIES = {f.__name__: f for f in (csv_strings, source_inventory, source_broad_listings, source_aggregate_history, source_sold_listings, source_targeted_listings, drop_folder_plan, ledger_skip_files, ledger_upsert, json_flatten, manifest_selection, table_counts, sink_versions, sink_scoped_overwrite, sink_reports, paged_search, bulk_inventory_upload)}
 ORACLE_SQL = {
     "csv_strings": "SELECT CAST(c_custkey AS VARCHAR) AS id, ' \"' || c_name || '\", ' AS name, CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment ELSE '' END AS segment, '' AS none, CASE WHEN c_custkey % 2 = 0 THEN 'even' ELSE 'odd' END AS folder FROM customer",
     "source_inventory": f"WITH {_RAW}, l AS ({_LINES}), h AS (SELECT *, sha256(brand || '||' || caliber || '||' || part || '||' || stock) AS row_hash FROM l) SELECT row_hash, brand, caliber, part, stock, row_number() OVER (ORDER BY row_hash) + 1000 AS id FROM h",
@@ -231,6 +251,7 @@ ORACLE_SQL = {
     "sink_versions": "SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 0 WHEN c_custkey % 5 = 0 THEN round(c_acctbal, 2) + 1 ELSE round(c_acctbal, 2) END AS bal, CASE WHEN c_custkey % 7 = 0 THEN 'updated' WHEN c_custkey % 5 = 0 THEN 'upserted' WHEN c_custkey % 3 = 0 THEN 'built' ELSE 'inserted' END AS by FROM customer WHERE c_custkey % 3 = 0 OR c_custkey % 2 = 0 OR c_custkey % 5 = 0",
     "sink_scoped_overwrite": "WITH n AS (SELECT DISTINCT c_nationkey FROM customer WHERE c_nationkey % 4 = 0 AND c_custkey % 2 = 0) SELECT c_custkey, c_nationkey, CASE WHEN c_nationkey IN (SELECT * FROM n) THEN 'new' ELSE 'old' END AS run FROM customer WHERE c_nationkey NOT IN (SELECT * FROM n) OR c_custkey % 2 = 0",
     "sink_reports": "SELECT n_nationkey, 'a \"quoted\", ' || n_name || ' ' AS text, (SELECT count(*) FROM nation) AS n, CAST(NULL AS DOUBLE) AS bad, (SELECT CAST(sum(n_nationkey) AS BIGINT) FROM nation) AS total FROM nation",
+    "paged_search": "WITH x AS (SELECT l_returnflag AS query, l_orderkey AS item_id, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_partkey, l_suppkey, l_quantity) - 1 AS no FROM lineitem WHERE l_linenumber = 1 AND l_orderkey < 2000) SELECT query, CAST(no // 50 AS INT) AS page, item_id, no FROM x WHERE no < 320",
     "bulk_inventory_upload": f"WITH {_RAW}, old AS (SELECT {_UP_KEY} AS key, CAST(sum(CAST(trim(stock) AS BIGINT)) AS BIGINT) AS held FROM raw WHERE id % 2 = 0 AND regexp_matches(trim(stock), '^\\d+$') GROUP BY 1), u AS (SELECT *, {_UP_KEY} AS key, CASE WHEN trim(coalesce(brand, '')) = '' OR trim(coalesce(part, '')) = '' THEN 'brand and part number are required' WHEN NOT coalesce(regexp_matches(trim(stock), '^[+-]?\\d+$'), false) THEN 'stock must be a whole number' WHEN starts_with(trim(stock), '-') THEN 'stock must be non-negative' END AS f FROM raw WHERE id % 3 = 0), "
     "x AS (SELECT *, coalesce(f, CASE WHEN sum(CASE WHEN f IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY id) > 1 THEN 'duplicate item in upload' END) AS fault FROM u) SELECT id, fault, CASE WHEN fault IS NULL THEN CASE WHEN held IS NULL THEN 'new' ELSE 'update' END END AS action, CASE WHEN fault IS NULL THEN CAST(trim(stock) AS BIGINT) END AS stock_if_set, CASE WHEN fault IS NULL THEN CAST(trim(stock) AS BIGINT) + coalesce(held, 0) END AS stock_if_added FROM x LEFT JOIN old USING (key)",
 }

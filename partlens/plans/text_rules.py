@@ -34,21 +34,13 @@ def url_item_id(spark, d):
     return _t(spark, d, "pages").select("page_id", F.nullif(F.regexp_extract(u, r"/(\d+)(?:[^0-9/][^/]*)?/?$", 1), F.lit("")).try_cast("long").alias("item"), F.regexp_extract(u, "^https?://([^/]+)", 1).alias("host"))
 
 
-def html_cards_parse(spark, d):
-    """List entries of pages as rows: link and label of each card, cleaned."""
-    cards = F.regexp_extract_all("html", F.lit(r'<li><a href="([^"]*)">'), 1)
-    labels = F.regexp_extract_all("html", F.lit(r'<li><a href="[^"]*">([^<]*)</a>'), 1)
-    z = _t(spark, d, "pages").select("page_id", F.posexplode(F.arrays_zip(cards.alias("href"), labels.alias("label"))).alias("pos", "c"))
-    return z.select("page_id", "pos", "c.href", "c.label")
-
-
 def json_bucket_roundtrip(spark, d):
     p = _t(spark, d, "part").select("p_partkey", F.to_json(F.array(F.struct(F.lit("0-30").alias("bucket"), F.col("p_size").alias("units")), F.struct(F.lit("31+").alias("bucket"), (F.col("p_size") * 2).alias("units")))).alias("j"))
     return p.select("p_partkey", F.explode(F.from_json("j", "array<struct<bucket string, units int>>")).alias("x")).groupBy("p_partkey").agg(F.sum("x.units").alias("units"))
 
 
 _SLUG = "coalesce(nullif(regexp_replace(regexp_replace(lower(trim({0})), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'unknown')"
-QUERIES = {f.__name__: f for f in (title_normalise, slug_id, alnum_distinctive, stable_uid_hash, url_item_id, html_cards_parse, json_bucket_roundtrip)}
+QUERIES = {f.__name__: f for f in (title_normalise, slug_id, alnum_distinctive, stable_uid_hash, url_item_id, json_bucket_roundtrip)}
 ORACLE_SQL = {
     "title_normalise": "SELECT p_partkey, trim(regexp_replace(lower(p_name) || '  x ', '\\s+', ' ', 'g')) AS t FROM part",
     "slug_id": "SELECT p_partkey, " + _SLUG.format("p_brand") + " || '_' || " + _SLUG.format("p_type") + " || '_' || CASE WHEN p_size % 2 > 0 THEN " + _SLUG.format("p_name") + " ELSE 'unknown' END AS id FROM part",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from partlens.config import CONFIG as C
 from partlens.functions import stats as S
+from partlens.storage import materialize
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -16,8 +17,8 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def sales(spark: SparkSession, d: str) -> DataFrame:
-    """(item, price, vol, day): one row for each sale."""
-    return _t(spark, d, "lineitem").select(F.col("l_partkey").alias("item"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_quantity").alias("vol"), F.to_date("l_shipdate").alias("day"))
+    """(item, price, vol, day, seller): one row for each sale."""
+    return _t(spark, d, "lineitem").select(F.col("l_partkey").alias("item"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_quantity").alias("vol"), F.to_date("l_shipdate").alias("day"), F.col("l_suppkey").alias("seller"))
 
 
 def aged(spark: SparkSession, d: str) -> DataFrame:
@@ -64,13 +65,18 @@ _RANK = """CASE WHEN n{0} >= 3 THEN (rank() OVER (PARTITION BY {0}, {1} IS NOT N
 
 
 def composite_valuation(spark: SparkSession, d: str) -> DataFrame:
-    h = aged(spark, d).groupBy("item").agg(S.decayed_mean("price", "vol", "w").alias("h"), F.count("*").alias("n"))
-    c = active_median_discounted(spark, d).select("item", "c")
-    p = price_trend_ols(spark, d).select("item", "p")
-    s = scarcity_pct_rank(spark, d).select(F.col("p_partkey").alias("item"), "s")
-    dm = demand_pct_rank(spark, d).select(F.col("p_partkey").alias("item"), "d")
-    x = h.join(c, "item", "left").join(p, "item", "left").join(s, "item", "left").join(dm, "item", "left")
-    price = F.coalesce("h", "c") * (1 + C.alpha * F.col("p")) * (1 + C.beta * (F.col("s") - 0.5)) * (1 + C.demand_weight * (F.col("d") - 0.5))
+    # what the sales tell of an item comes from one pass; its row is written, as ranks ask for it several times
+    sold = aged(spark, d).withColumn("month", -F.col("age")).groupBy("item").agg(
+        S.decayed_mean("price", "vol", "w").alias("h"), F.count("*").alias("n"), F.regr_slope("price", "month").alias("slope"), F.avg("price").alias("mean"),
+        (F.min("day") < F.max("day")).alias("spread"), F.sum("vol").alias("sold"), F.count_distinct("seller").alias("offers"),
+    )
+    parts = _t(spark, d, "part").select(F.col("p_partkey").alias("item"), "p_brand", "p_type")
+    x = materialize(spark, parts.join(sold, "item", "left"), "valued")
+    x = S.with_pct_rank(S.with_pct_rank(x, "sold", "p_brand", "demand"), "offers", "p_type", "rank").where("n IS NOT NULL")
+    x = x.join(active_median_discounted(spark, d).select("item", "c"), "item", "left")
+    p = F.round(F.coalesce(F.when(F.col("spread"), S.clip(F.col("slope") * C.horizon_months / F.col("mean"), -C.trend_clip, C.trend_clip)), F.lit(0.0)), 4)
+    s, dm = F.round(1 - F.col("rank"), 4), F.round("demand", 4)
+    price = F.coalesce("h", "c") * (1 + C.alpha * p) * (1 + C.beta * (s - 0.5)) * (1 + C.demand_weight * (dm - 0.5))
     tier = F.when(F.col("n") >= 3, "HIGH").when(F.col("n") >= 1, "MEDIUM").otherwise("LOW")
     band = F.when(F.col("n") >= 3, C.bands[0]).when(F.col("n") >= 1, C.bands[1]).otherwise(C.bands[2])
     return x.select("item", F.round(price, 3).alias("price"), tier.alias("tier"), F.round(price * (1 - band), 3).alias("low"), F.round(price * (1 + band), 3).alias("high"))

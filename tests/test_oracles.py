@@ -9,8 +9,8 @@ from partlens.plans import registry
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-#: Queries that SQL can't express; each has a test of its own.
-WITHOUT = {"html_cards_parse", "monte_carlo_units", "segment_intervals"}
+#: Queries that SQL can't express; it has a test of its own.
+WITHOUT = {"segment_intervals"}
 
 
 def _norm(v):
