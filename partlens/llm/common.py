@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from partlens.storage import fresh_path, materialize, shared_dir  # noqa: F401  the operators take them from here
 
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -23,8 +24,18 @@ def small_enough(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+BATCH_BYTES = 8 << 20
+_BYTES, _UNBOUNDED = "spark.sql.execution.arrow.maxBytesPerBatch", str((1 << 31) - 2)
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run`` for mapInArrow, after which the worker, which Spark keeps for later tasks, gives unused memory back."""
+    """``run`` for mapInArrow, after which the worker, which Spark keeps for later tasks, gives unused memory back.
+
+    Texts may be long, so batches are bounded by bytes too, unless the session has a bound of its own.
+    """
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.conf.get(_BYTES, _UNBOUNDED) == _UNBOUNDED:
+        spark.conf.set(_BYTES, str(BATCH_BYTES))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
