@@ -37,3 +37,9 @@ def materialize(spark: SparkSession, df: DataFrame, tag: str, codec: str = "zstd
     path = fresh_path(spark, tag)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that were written between stages, of this and of earlier sessions; results that are still to be read are lost."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/partlens")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
