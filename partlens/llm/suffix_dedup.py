@@ -13,7 +13,8 @@ by comparing bytes (``Level.scan``).
 
 Anchors move as hashes; equal contexts are aggregated to one with their number before any bytes move: they repeat as
 a whole, and a group of any number of copies is one suffix. Contexts are equal if gram and context have equal 64-bit
-hashes. A gram with a single context needs no comparison. A gram's contexts meet in one task.
+hashes. A gram with a single context needs no comparison. Contexts of a frequent gram are dealt twice, by the half before the
+anchor and by the half after its gram, of which any common string holds one; contexts alone in their half leave.
 
 Defined cases: null or empty text: nothing removed, the digest of no bytes; texts under LENGTH bytes keep all;
 copies under different ids are rows like any other; rows that repeat a doc_id, and those without one, are rows of their own, so
@@ -38,6 +39,8 @@ from partlens.llm.common import byte_view, materialize, mix, powers, prefix_hash
 LENGTH, GRAM = 400, 32
 #: Starts of strings that hold an anchor: this many bytes before it at most.
 REACH = LENGTH - GRAM
+#: A string that holds an anchor holds this many bytes before it or after its gram; grams of more than HOT contexts are dealt by them.
+HALF, HOT = REACH // 2, 32
 BATCH = 2048
 
 
@@ -100,18 +103,20 @@ def _gram_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-_OCCURRENCE = "row_id long, row_hash long, pos long, key long, ctx_id long, after int"
+_OCCURRENCE = "row_id long, row_hash long, pos long, key long, ctx_id long, after int, left_half long, right_half long"
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row_id, row_hash, text) -> each anchor with a hash of its context and the number of bytes from it to the context's end."""
-    held: list[tuple[tuple[int, int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+    """(row_id, row_hash, text) -> each anchor with a hash of its context, the number of bytes from it to the context's end, and
+    hashes of HALF bytes before it and after its gram, null where there are fewer."""
+    held: list[tuple] = []
 
     def out():
         rows = np.repeat(np.array([x[0] for x in held], np.int64), [len(x[1]) for x in held], axis=0)
-        cols = [np.concatenate([x[i] for x in held]) for i in range(1, 5)]
+        cols = [np.concatenate([x[i] for x in held]) for i in range(1, 9)]
         held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(cols[0]), pa.array(cols[1].view(np.int64)), pa.array(cols[2].view(np.int64)), pa.array(cols[3].astype(np.int32))], [x.split()[0] for x in _OCCURRENCE.split(", ")])
+        halves = [pa.array(cols[i].view(np.int64), mask=~cols[i + 2]) for i in (4, 5)]
+        return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(cols[0]), pa.array(cols[1].view(np.int64)), pa.array(cols[2].view(np.int64)), pa.array(cols[3].astype(np.int32)), *halves], [x.split()[0] for x in _OCCURRENCE.split(", ")])
 
     total = 0
     for batch, i, data in _texts(batches, 2):
@@ -123,7 +128,10 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lo, hi = np.maximum(0, at - REACH), np.minimum(len(data), at + LENGTH)
         whole = (p[hi] - p[lo]) * powers(len(p))[1][lo]
         ctx = mix(mix(whole) + ((at - lo) * 1024 + (hi - at)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        held.append(((batch.column(0)[i].as_py(), batch.column(1)[i].as_py()), at, h[at], ctx, hi - at))
+        inv, has_left, has_right = powers(len(p))[1], at >= HALF, at + GRAM + HALF <= len(data)
+        left, right = np.maximum(at - HALF, 0), np.minimum(at + GRAM, len(data) - 1)
+        halves = (p[at] - p[left]) * inv[left], (p[np.minimum(right + HALF, len(data))] - p[right]) * inv[right]
+        held.append(((batch.column(0)[i].as_py(), batch.column(1)[i].as_py()), at, h[at], ctx, hi - at, mix(halves[0]), mix(halves[1]), has_left, has_right))
         total += len(at)
         if total > 200_000:
             yield out()
@@ -133,28 +141,28 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, wanted: pos, key, ctx_id, n) -> (key, left, ctx, ctx_id, n)."""
+    """(text, wanted: pos, key, group, ctx_id, n) -> (key, group, left, ctx, ctx_id, n)."""
     for batch in batches:
         wanted = batch.column("wanted")
-        cols: tuple[list, ...] = ([], [], [], [], [])
+        cols: tuple[list, ...] = ([], [], [], [], [], [])
         size = 0
         for _, i, data in _texts(iter([batch]), 0):
             whole, w = data.tobytes(), wanted[i].values
-            for pos, key, ctx_id, n in zip(*(w.field(f).to_pylist() for f in ("pos", "key", "ctx_id", "n")), strict=True):
+            for pos, key, group, ctx_id, n in zip(*(w.field(f).to_pylist() for f in ("pos", "key", "group", "ctx_id", "n")), strict=True):
                 lo = max(0, pos - REACH)
-                for c, x in zip(cols, (key, pos - lo, whole[lo : pos + LENGTH], ctx_id, n), strict=True):
+                for c, x in zip(cols, (key, group, pos - lo, whole[lo : pos + LENGTH], ctx_id, n), strict=True):
                     c.append(x)
                 size += 900
             if size > 8 << 20:
                 yield _context_batch(cols)
-                cols, size = ([], [], [], [], []), 0
+                cols, size = ([], [], [], [], [], []), 0
         if cols[0]:
             yield _context_batch(cols)
 
 
 def _context_batch(cols: tuple[list, ...]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["key", "left", "ctx", "ctx_id", "n"])
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["key", "group", "left", "ctx", "ctx_id", "n"])
 
 
 def _common(x: np.ndarray, y: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -175,10 +183,10 @@ class Contexts:
         self.size = 0
         self.after, self.before = np.zeros((0, LENGTH), np.uint8), np.zeros((0, REACH), np.uint8)
         self.n_after, self.n_before = np.zeros(0, np.int32), np.zeros(0, np.int32)
-        self.key, self.ctx_id = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.gram, self.key, self.ctx_id = (np.zeros(0, np.int64) for _ in range(3))
         self.seen = np.zeros((0, (REACH + 8) // 8), np.uint8)
 
-    def add(self, key: np.ndarray, left: np.ndarray, ctx: pa.Array, ctx_id: np.ndarray, n: np.ndarray) -> np.ndarray:
+    def add(self, gram: np.ndarray, key: np.ndarray, left: np.ndarray, ctx: pa.Array, ctx_id: np.ndarray, n: np.ndarray) -> np.ndarray:
         """The places of new contexts."""
         data, offs = byte_view(ctx)
         data = np.concatenate([np.zeros(REACH, np.uint8), data, np.zeros(LENGTH, np.uint8)])
@@ -186,7 +194,7 @@ class Contexts:
         lo, hi = self.size, self.size + len(key)
         if hi > len(self.key):
             room = max(2 * len(self.key), hi)
-            for name in ("after", "before", "n_after", "n_before", "key", "ctx_id", "seen"):
+            for name in ("after", "before", "n_after", "n_before", "gram", "key", "ctx_id", "seen"):
                 old = getattr(self, name)
                 new = np.zeros((room, *old.shape[1:]), old.dtype)
                 new[:lo] = old[:lo]
@@ -196,7 +204,8 @@ class Contexts:
         self.after[place][np.arange(LENGTH) >= right[:, None]] = 0
         self.before[place] = sliding_window_view(data, REACH)[at - REACH][:, ::-1]
         self.before[place][np.arange(REACH) >= left[:, None]] = 0
-        self.n_after[place], self.n_before[place], self.key[place], self.ctx_id[place] = np.minimum(right, LENGTH), np.minimum(left, REACH), key, ctx_id
+        self.n_after[place], self.n_before[place] = np.minimum(right, LENGTH), np.minimum(left, REACH)
+        self.gram[place], self.key[place], self.ctx_id[place] = gram, key, ctx_id
         # a context that occurs more than once repeats as a whole
         whole = self._range(self.n_after[place], self.n_before[place]) & (n > 1)[:, None]
         self.seen[place] = np.packbits(whole, axis=1)
@@ -211,7 +220,8 @@ class Contexts:
 
     def by_after(self, ids: np.ndarray) -> np.ndarray:
         ids = ids[np.argsort(self.n_after[ids], kind="stable")]
-        return ids[np.argsort(self.after[ids].view(f"S{LENGTH}").ravel(), kind="stable")]
+        ids = ids[np.argsort(self.after[ids].view(f"S{LENGTH}").ravel(), kind="stable")]
+        return ids[np.argsort(self.key[ids], kind="stable")]
 
     def by_before(self, ids: np.ndarray) -> np.ndarray:
         ids = ids[np.argsort(self.n_before[ids], kind="stable")]
@@ -220,7 +230,7 @@ class Contexts:
 
 
 class Level:
-    """A suffix array of contexts and its mirror: by what follows the anchors, and within a gram by what lies before."""
+    """A suffix array of contexts and its mirror: within a group by what follows the anchors, and by what lies before."""
 
     def __init__(self, all_: Contexts, after: np.ndarray, before: np.ndarray):
         self.all, self.after, self.before = all_, after, before
@@ -280,8 +290,8 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, left, ctx, ctx_id, n), all of a key in one task and in order: (key, ctx_id, lo, hi), the ranges of bytes before
-    the anchor at which repeated strings begin. Grams come in order, so a finished gram's suffixes leave the index."""
+    """(key, group, left, ctx, ctx_id, n), all of a group in one task and in order: (key, ctx_id, lo, hi), the ranges of bytes
+    before the anchor at which repeated strings begin. Groups come in order, so a finished one's suffixes leave the index."""
     all_, levels = Contexts(), []
 
     def absorb(ids: np.ndarray) -> None:
@@ -305,24 +315,24 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edge = np.diff(np.pad(flags, ((0, 0), (1, 1))).astype(np.int8), axis=1)
         who, lo = np.nonzero(edge == 1)
         hi = np.nonzero(edge == -1)[1] - 1
-        out = pa.RecordBatch.from_arrays([pa.array(all_.key[who]), pa.array(all_.ctx_id[who]), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], ["key", "ctx_id", "lo", "hi"])
+        out = pa.RecordBatch.from_arrays([pa.array(all_.gram[who]), pa.array(all_.ctx_id[who]), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], ["key", "ctx_id", "lo", "hi"])
         all_ = Contexts()
         return out
 
     last = None
     for batch in batches:
-        cols = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "left", "ctx_id", "n")}
-        keys = cols["key"]
+        cols = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "group", "left", "ctx_id", "n")}
+        keys = cols["group"]
         ends = np.append(np.flatnonzero(np.diff(keys)) + 1, len(keys)) if len(keys) else []
         lo = 0
         while lo < len(keys):
             if last is not None and keys[lo] != last and all_.size >= BATCH:
                 yield flush()
-            # whole grams, about a batch of them; of a gram of more than that a part
+            # whole groups, about a batch of them; of a group of more than that a part
             hi = int(ends[max(np.searchsorted(ends, lo + BATCH, side="right") - 1, 0)])
             hi = hi if hi > lo else min(lo + BATCH, len(keys))
             part = slice(lo, hi)
-            absorb(all_.add(keys[part], cols["left"][part], batch.column("ctx").slice(lo, hi - lo), cols["ctx_id"][part], cols["n"][part]))
+            absorb(all_.add(cols["key"][part], keys[part], cols["left"][part], batch.column("ctx").slice(lo, hi - lo), cols["ctx_id"][part], cols["n"][part]))
             last, lo = keys[hi - 1], hi
     if all_.size:
         yield flush()
@@ -373,16 +383,24 @@ def _spans(spark: SparkSession, rows: DataFrame) -> DataFrame:
     found = rows.select("row_id", "row_hash", "text").mapInArrow(tidy(_occurrences), _OCCURRENCE).join(keys, "key", "left_semi")
     found = materialize(spark, found, "suffix-anchors")
     # equal contexts are one; a gram with one context only repeats with it as a whole, and nothing is to be compared
-    one = found.groupBy("key", "ctx_id").agg(F.count("*").alias("n"), F.min(F.struct("row_id", "row_hash", "pos")).alias("at"), F.first("after").alias("after"))
+    halves = [F.first(c).alias(c) for c in ("left_half", "right_half")]
+    one = found.groupBy("key", "ctx_id").agg(F.count("*").alias("n"), F.min(F.struct("row_id", "row_hash", "pos")).alias("at"), F.first("after").alias("after"), *halves)
     one = materialize(spark, one, "suffix-contexts")
     several = materialize(spark, one.groupBy("key").agg(F.count("*").alias("d")), "suffix-grams")  # likewise
     told = one.join(several, "key")
     left = F.least("at.pos", F.lit(REACH)).cast("int")
-    alone = told.where("d = 1").select("key", "ctx_id", F.greatest(F.lit(0), LENGTH - F.col("after")).alias("lo"), left.alias("hi")).where("lo <= hi")
-    asked = told.where("d > 1").groupBy("at.row_id", "at.row_hash").agg(F.collect_list(F.struct(F.col("at.pos").alias("pos"), "key", "ctx_id", "n")).alias("wanted"))
+    alone = told.where("n > 1").select("key", "ctx_id", F.greatest(F.lit(0), LENGTH - F.col("after")).alias("lo"), left.alias("hi")).where("lo <= hi")
+    # of a frequent gram those contexts meet that share the half which a common string must hold: a line that is frequent but short
+    # brings no contexts together
+    cold = told.where(f"d BETWEEN 2 AND {HOT}").withColumn("group", F.col("key"))
+    sides = F.array(F.struct(F.lit(0).alias("side"), F.col("left_half").alias("h")), F.struct(F.lit(1).alias("side"), F.col("right_half").alias("h")))
+    split = materialize(spark, told.where(f"d > {HOT}").withColumn("x", F.explode(sides)).where("x.h IS NOT NULL").withColumn("group", F.xxhash64("key", "x.side", "x.h")).drop("x"), "suffix-halves")
+    shared = materialize(spark, split.groupBy("group").agg(F.count("*").alias("c")).where("c > 1").select("group"), "suffix-groups")
+    met = cold.unionByName(split.join(shared, "group", "left_semi"))
+    asked = met.groupBy("at.row_id", "at.row_hash").agg(F.collect_list(F.struct(F.col("at.pos").alias("pos"), "key", "group", "ctx_id", "n")).alias("wanted"))
     # rows that repeat id and text are one here: ``n`` counts their contexts
-    contexts = rows.join(asked, ["row_id", "row_hash"]).select("text", "wanted").mapInArrow(tidy(_contexts), "key long, left int, ctx binary, ctx_id long, n long")
-    hits = contexts.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(_index), "key long, ctx_id long, lo int, hi int")
+    contexts = rows.join(asked, ["row_id", "row_hash"]).select("text", "wanted").mapInArrow(tidy(_contexts), "key long, group long, left int, ctx binary, ctx_id long, n long")
+    hits = contexts.repartition("group").sortWithinPartitions("group").mapInArrow(tidy(_index), "key long, ctx_id long, lo int, hi int")
     hits = materialize(spark, hits.unionByName(alone), "suffix-hits")
     spans = found.select("row_id", "row_hash", "pos", "key", "ctx_id").join(hits, ["key", "ctx_id"]).selectExpr("row_id", "row_hash", f"struct(pos - hi AS a, pos - lo + {LENGTH} AS b) AS span")
     return spans.groupBy("row_id", "row_hash").agg(F.collect_set("span").alias("spans"))

@@ -75,6 +75,23 @@ def test_suffix_dedup_equals_brute_force(spark, docs, nothing):
     assert suffix_dedup.remove_repeats(spark, nothing).count() == 0
 
 
+def test_suffix_dedup_of_frequent_grams(spark, monkeypatch):
+    rng = np.random.default_rng(41)
+    line, passage = _text(51, 25), _text(52, 160)
+    texts = [*TEXTS]
+    for i in range(40):
+        words = list(rng.choice(WORDS, 60))
+        middle = line if i % 2 else passage[int(rng.integers(0, 90)) : len(passage) - int(rng.integers(0, 90))]
+        if i % 5 == 0:
+            middle = middle[:200] + "#" + middle[201:]
+        texts.append(" ".join(words[:30]) + middle + " ".join(words[30:]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = dict(enumerate(_cut_by_hand(texts)))
+    for hot in (1, 8):
+        monkeypatch.setattr(suffix_dedup, "HOT", hot)
+        assert {r.doc_id: tuple(r)[1:] for r in suffix_dedup.remove_repeats(spark, docs).collect()} == want
+
+
 def test_suffix_dedup_of_repeated_and_missing_ids(spark):
     one, two = _text(21, 300), _text(22, 300)
     passage = _text(23, 130)
@@ -316,3 +333,29 @@ def test_decontamination_equals_brute_force(spark):
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.contaminated(spark, docs, bench).collect()}
     assert got == want and len(want) > 20
+
+
+def test_repeated_rows_missing_ids_and_long_texts_are_packed_and_filed(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer_path())
+    rows = [(1, "one two"), (1, "one two"), (1, "three"), (None, "four"), (2, None), (3, _text(40, 5000))]
+    docs = spark.createDataFrame([(*r, "x", 9, b"z") for r in rows], "doc_id long, text string, part string, key int, ids binary")
+    want = Counter((i, len(library.encode(t or "", add_special_tokens=False).ids) + 1) for i, t in rows)
+    pieces = packing.pack(spark, docs).collect()
+    assert Counter((r.doc_id, r.doc_tokens) for r in pieces if r.start == 0) == want
+    assert sum(r.length for r in pieces) == sum(n * k for (_, n), k in want.items())
+    filed = token_file.round_trip(spark, docs).collect()
+    assert Counter((r.doc_id, r.n_tokens) for r in filed) == want
+    order = sorted(filed, key=lambda r: r.start)
+    assert [r.doc_id for r in order] == [None, 1, 1, 1, 2, 3]
+    assert [r.start for r in order] == np.cumsum([0, *(r.n_tokens for r in order[:-1])]).tolist()
+
+
+def test_decontamination_of_long_texts_and_clashing_names(spark):
+    item = _text(71, 40)
+    rows = [(1, _text(72, 12000) + " " + item + " " + _text(73, 3000)), (2, _text(74, 12000)), (3, item), (3, "other text"), (None, item)]
+    docs = spark.createDataFrame([(*r, 1, "h", 2) for r in rows], "doc_id long, text string, n int, sh string, item_id int")
+    got = decontaminate.clean(spark, docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert got.columns == docs.columns
+    assert [r.doc_id for r in got.collect() if r.doc_id is not None] == [2]
