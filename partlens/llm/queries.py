@@ -78,4 +78,23 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN first < page_id THEN first END AS refers_to
         FROM p LEFT JOIN f USING (payload_digest)""",
+    "op4_ngram_jaccard_join": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        g AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                     ELSE list_sort(list_distinct(list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' ')))) END AS s FROM w),
+        n AS (SELECT doc_id, len(s) AS n, md5(array_to_string(s, chr(10))) AS k FROM g),
+        c AS (SELECT k, min(doc_id) AS rep FROM n WHERE n > 0 GROUP BY 1),
+        u AS (SELECT g.doc_id, n.n, unnest(s) AS h FROM g JOIN n USING (doc_id) JOIN c ON c.rep = g.doc_id),
+        l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM u a JOIN u b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY 1, 2, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+        r(node, reach) AS (SELECT rep, rep FROM c UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.reach),
+        m AS (SELECT node, min(reach) AS component FROM r GROUP BY 1)
+        SELECT doc_id, n AS n_shingles, coalesce(component, doc_id) AS component_id, coalesce(rep, doc_id) AS set_id FROM n LEFT JOIN c ON c.k = n.k AND n.n > 0 LEFT JOIN m ON m.node = rep""",
+    "op10_embedding_near_dedup": """
+        WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+        ok AS (SELECT * FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+        l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON len(a.e) = len(b.e) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+        r(node, reach) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.reach),
+        m AS (SELECT node, min(reach) AS component_id FROM r GROUP BY 1),
+        n AS (SELECT a, count(*) AS n FROM l GROUP BY 1)
+        SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN m ON node = vec_id LEFT JOIN n ON a = vec_id""",
 }
