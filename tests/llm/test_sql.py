@@ -12,7 +12,7 @@ DATA = "/root/testdata/sf0.01"
 def test_operator_equals_sql(spark, name):
     df = queries.QUERIES[name](spark, DATA)
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "benchmark"):
         con.execute(f"create view {t} as select * from read_parquet('{DATA}/{t}.parquet')")
     r = con.execute(queries.ORACLE_SQL[name])
     names = [d[0] for d in r.description]
