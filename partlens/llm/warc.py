@@ -31,6 +31,8 @@ from partlens.llm.common import fresh_path, materialize, tidy
 
 DEDUP_BYTES = 100
 ARCHIVE_BYTES, RANGE_ENTRIES = 64 << 20, 200_000
+#: So many payloads at most are known to all tasks.
+HOT_DIGESTS = 10_000
 END = b"\r\n\r\n"
 _ENTRY = "url_key string, ts string, page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload_offset long, archive string"
 
@@ -46,14 +48,19 @@ def write_archives(spark: SparkSession, pages: DataFrame, path: str) -> None:
     """WARC 1.1 files of all rows (page_id, url, html) under ``path``."""
     src = pages.select("page_id", F.regexp_replace(F.coalesce("url", F.lit("")), r"\s", "%20").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     src = src.withColumn("bytes", F.octet_length("html").cast("long")).withColumn("digest", F.sha2("html", 256))
-    # archives of about ARCHIVE_BYTES before compression, dealt by the digest that the join needs anyway
     total = src.agg(F.sum("bytes")).first()[0] or 0
+    # archives of about ARCHIVE_BYTES before compression
     n = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")), total // ARCHIVE_BYTES)
-    src = src.repartition(n, "digest")
-    long = src.where(F.col("bytes") >= DEDUP_BYTES)
-    # digests of one row need no entry; the least id and its hot digest are aggregated before they move
-    firsts = long.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    both = src.join(firsts, "digest", "left")
+    # digests of one row need no entry; the rest are aggregated before they move
+    copies = src.where(F.col("bytes") >= DEDUP_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"), F.max("bytes").alias("size")).where("n > 1")
+    # payloads whose copies would overfill an archive, HOT_DIGESTS at most since their bytes are a part of the total
+    heavy = F.col("n") * F.col("size") > max(ARCHIVE_BYTES // 4, total // HOT_DIGESTS)
+    hot = F.broadcast(copies.where(heavy).select("digest", F.col("first").alias("hot_first"), F.lit(True).alias("hot")))
+    firsts = copies.where(~heavy).select(F.col("digest").alias("dealt"), "first")
+    # copies of these, and payloads that have no first, are dealt by page; all other rows by the digest that the join needs anyway
+    src = src.join(hot, "digest", "left")
+    src = src.withColumn("dealt", F.when(F.col("hot") | (F.col("bytes") < DEDUP_BYTES), F.concat_ws(" ", "digest", F.xxhash64("page_id", "url"))).otherwise(F.col("digest"))).repartition(n, "dealt")
+    both = src.join(firsts, "dealt", "left").withColumn("first", F.coalesce("hot_first", "first"))
     # a page without an id comes after those with one
     again = F.coalesce((F.col("bytes") >= DEDUP_BYTES) & F.col("first").isNotNull() & (F.col("page_id").isNull() | (F.col("first") < F.col("page_id"))), F.lit(False))
     body = F.when(again, F.lit("")).otherwise(F.col("html"))

@@ -359,3 +359,18 @@ def test_decontamination_of_long_texts_and_clashing_names(spark):
     got = decontaminate.clean(spark, docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
     assert got.columns == docs.columns
     assert [r.doc_id for r in got.collect() if r.doc_id is not None] == [2]
+
+
+def test_warc_frequent_payloads(spark, monkeypatch):
+    """Copies of a payload that fill more than an archive are dealt by page, and still revisit the first."""
+    from partlens.llm import warc
+
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 20_000)
+    body = "<p>" + "same page " * 20 + "</p>"
+    rows = [(i, f"http://a.example/{i}", body) for i in range(9, 400)] + [(i, f"http://b.example/{i}", None if i % 2 else "short") for i in range(400, 500)] + [(i, f"http://c.example/{i}", f"<p>{'pair ' * 30}{i // 2}</p>") for i in range(500, 540)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.capture_history(spark, pages).collect()}
+    assert len(got) == len(rows)
+    for i, _, html in rows:
+        first = 9 if html == body else i // 2 * 2 if i >= 500 else i
+        assert got[i] == (("response", None) if first == i else ("revisit", first))
