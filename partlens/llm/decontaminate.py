@@ -13,7 +13,7 @@ exact similarity that decide most.
 
 Broadcast is the benchmark's shingle table, and only if it has at most BROADCAST_ROWS rows; else it is shuffled.
 
-Defined cases: null or empty texts on either side match nothing; of several windows of a document and item the most
+Defined cases: null or empty texts on either side match nothing; documents without an id can't be named and are left alone; of several windows of a document and item the most
 similar counts, ties to the first; repeated items report each item_id; repeated rows of a doc_id count as one
 document whose windows are all judged; texts of any length are read whole, a window's work grows with its own length; empty
 tables give an empty result; extra columns are ignored.
