@@ -212,7 +212,7 @@ def _text(lines: list[str], neighbours: list[list[str] | None]) -> str:
 
 
 def _cut(cuts: list[tuple[str, str, bool, int]]):
-    """(page_id, url, host, path, html) -> the page's lines, a hash that orders pages of one id, and its range: the cuts before it."""
+    """(page_id, url, host, path, html) -> the page's lines, deflated as they move next, a hash that orders pages of one id, and its range: the cuts before it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,12 +221,12 @@ def _cut(cuts: list[tuple[str, str, bool, int]]):
             names = ["page_id", "url", "host", "path", "lines", "tie", "part"]
 
             def out(lo: int, hi: int) -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in names[:4]), pa.array(cols[0], _LINES), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32())], names)
+                return pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in names[:4]), pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32())], names)
 
             for i, page in enumerate(batch.column("html")):
                 page = page.as_py() or ""
                 key = (hosts[i], paths[i], ids[i] is not None, ids[i] or 0)
-                for c, x in zip(cols, ([t for t, _ in blocks(page)], zlib.crc32(page.encode()), bisect_right(cuts, key)), strict=True):
+                for c, x in zip(cols, (zlib.compress("\n".join(t for t, _ in blocks(page)).encode(), 1), zlib.crc32(page.encode()), bisect_right(cuts, key)), strict=True):
                     c.append(x)
                 size += len(page)
                 if size > 4 << 20:
@@ -270,7 +270,9 @@ def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     first_host = None
     for batch in batches:
         for i in range(batch.num_rows):
-            page_id, url, its_host, lines = (batch.column(c)[i].as_py() for c in ("page_id", "url", "host", "lines"))
+            page_id, url, its_host, packed = (batch.column(c)[i].as_py() for c in ("page_id", "url", "host", "lines"))
+            text = zlib.decompress(packed).decode()
+            lines = text.split("\n") if text else []
             size += sum(map(len, lines))
             same = bool(run) and host == its_host
             if same and copies(run[-1][2], lines):
@@ -337,7 +339,7 @@ def main_text(spark: SparkSession, pages: DataFrame) -> DataFrame:
     few = src.select("host", "path", "page_id").orderBy(F.xxhash64("page_id", "url"), "page_id").limit(SAMPLE * n).collect() if n > 1 else []
     keys = sorted((r["host"], r["path"], r["page_id"] is not None, r["page_id"] or 0) for r in few)
     cuts = [keys[len(keys) * i // n] for i in range(1, n)] if keys else []
-    parsed = src.mapInArrow(tidy(_cut(cuts)), "page_id long, url string, host string, path string, lines array<string>, tie long, part int")
+    parsed = src.mapInArrow(tidy(_cut(cuts)), "page_id long, url string, host string, path string, lines binary, tie long, part int")
     # pages of one id and path are ordered by a hash of their html, so that the order is one whatever the ranges
     dealt = parsed.repartitionById(n, "part").sortWithinPartitions("host", "path", "page_id", "tie")
     placed = materialize(spark, dealt.select("page_id", "url", "host", "lines").mapInArrow(tidy(_place), _PLACED), "html-pages")
