@@ -42,7 +42,8 @@ SELF_ENDING = {"p", "li", "dt", "dd", "tr", "td", "th", "option"}
 BAD = set("ad ads advert advertisement advertising adbox adsense banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar footer header masthead topbar toolbar cookie cookies consent notice notification gdpr popup modal overlay newsletter subscribe signup login share sharing social related recommended comment comments disqus reply replies widget pagination pager search form skip copyright legal disclaimer".split())
 BAD_ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
 KEEP_HEADER_IN_ARTICLE = {"header"}
-RANGE_ROWS, SAMPLE = 200, 40
+#: Pages that a range holds at least, and about at most until there are MAX_RANGES; keys sampled for each range.
+RANGE_ROWS, FULL_RANGE, MAX_RANGES, SAMPLE = 200, 100_000, 10_000, 40
 SPACE = re.compile(r"\s+")
 WORD = re.compile(r"[a-z]+")
 
@@ -334,7 +335,9 @@ def main_text(spark: SparkSession, pages: DataFrame) -> DataFrame:
     host = F.regexp_extract(F.lower(F.coalesce("url", F.lit(""))), r"^[a-z][a-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)", 1)
     path = F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
     src = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), path.alias("path"), F.col("html").cast("string").alias("html"))
-    n = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), pages.count() // RANGE_ROWS))
+    rows = pages.count()
+    # a range streams through its task, so that more pages than FULL_RANGE take longer but no more memory
+    n = max(1, min(rows // RANGE_ROWS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // FULL_RANGE), MAX_RANGES))
     # cuts between ranges, from a sample of SAMPLE pages for each; pages are parsed once, before they move
     few = src.select("host", "path", "page_id").orderBy(F.xxhash64("page_id", "url"), "page_id").limit(SAMPLE * n).collect() if n > 1 else []
     keys = sorted((r["host"], r["path"], r["page_id"] is not None, r["page_id"] or 0) for r in few)

@@ -67,6 +67,9 @@ def test_texts_depend_on_the_order_alone(spark, monkeypatch):
     spark.conf.set("spark.sql.shuffle.partitions", "37")
     try:
         assert _texts(spark, rows) == want
+        monkeypatch.setattr(html_extract, "FULL_RANGE", 2)
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+        assert _texts(spark, rows) == want
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
