@@ -37,7 +37,7 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from partlens.llm.suffix_dedup import remove_repeats
 
-    return remove_repeats(spark, table(spark, sf_dir, "documents"))
+    return remove_repeats(spark, table(spark, sf_dir, "documents")).drop("kept")
 
 
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +79,17 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN first < page_id THEN first END AS refers_to
         FROM p LEFT JOIN f USING (payload_digest)""",
+    "op2_suffix_array_dedup": """
+        WITH d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n, hex(encode(coalesce(text, ''))) AS x FROM documents),
+        h AS (SELECT doc_id, s, md5(substr(x, 2 * s - 1, 800)) AS k FROM (SELECT doc_id, x, unnest(generate_series(1, n - 399)) AS s FROM d)),
+        r AS (SELECT doc_id, s FROM h QUALIFY count(*) OVER (PARTITION BY k) > 1),
+        i AS (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 400 THEN 0 ELSE 1 END AS b FROM r),
+        j AS (SELECT doc_id, s, sum(b) OVER (PARTITION BY doc_id ORDER BY s) AS no FROM i),
+        c AS (SELECT doc_id, min(s) AS a, max(s) + 400 AS z FROM j GROUP BY doc_id, no),
+        e AS (SELECT doc_id, a, z, lag(z, 1, 1) OVER (PARTITION BY doc_id ORDER BY a) AS y FROM c),
+        t AS (SELECT doc_id, sum(z - a) AS n_removed, count(*) AS n_spans, max(z) AS z, string_agg(substr(x, 2 * y - 1, 2 * (a - y)), '' ORDER BY a) AS kept FROM e JOIN d USING (doc_id) GROUP BY doc_id)
+        SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+               sha256(unhex(coalesce(kept, '') || substr(x, 2 * coalesce(z, 1) - 1))) AS kept_sha256 FROM d LEFT JOIN t USING (doc_id)""",
     "op4_ngram_jaccard_join": r"""
         WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
         g AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
