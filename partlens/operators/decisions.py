@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from partlens.functions import vocabulary as V
 from partlens.functions.text import alnum_count, escape, has_token
-from partlens.operators.matching import any_of
+from partlens.operators.matching import any_of, words_of
 
 TIERS = {
     "PART_NUMBER_EXACT": "A", "BRAND_PART_NUMBER": "A", "CALIBER_PART_NUMBER": "A",
@@ -189,19 +189,28 @@ def authorized(conflicts: DataFrame, verified: DataFrame, allowed: DataFrame) ->
 def corroborated(conflicts: DataFrame, titles: DataFrame) -> DataFrame:
     """Keys of conflicts (key, title_id, part, caliber, label) for which another title holds part, caliber and label.
 
-    The part number counts anywhere in a title, also inside words, so titles are looked up by its first characters: all runs of
-    one to three characters of a title are its index, and only titles with two numbers are indexed.
+    Titles are looked up by the words that calibre and label begin with, both at once, and equal titles are one with its least and
+    largest id. The part number counts anywhere in a title, also inside words, so the titles that are left are then looked up by its
+    first characters too: all runs of one to three characters are their index.
     """
-    some = titles.where(F.size(F.array_distinct(F.regexp_extract_all("title", F.lit(r"(\d{2,4})"), 1))) >= 2)
+    asked = conflicts.where("part IS NOT NULL AND trim(part) <> ''").withColumn("part", F.lower("part"))
+    # an identifier without a word is looked up by the empty word, which every title has
+    first = lambda c: F.coalesce(F.try_element_at(words_of(F.col(c)), F.lit(1)), F.lit(""))
+    wanted = asked.select("caliber", "label").distinct().withColumn("one", first("caliber")).withColumn("two", first("label"))
+    words = wanted.select(F.explode(F.array("one", "two")).alias("word")).distinct()
+    index = titles.select("title_id", "title", F.explode(F.array_distinct(F.concat(words_of(F.col("title")), F.array(F.lit(""))))).alias("word"))
+    some = index.join(words, "word").groupBy("title_id", "title").agg(F.collect_set("word").alias("words"))
+    both = some.select("title_id", "title", "words", F.explode("words").alias("one")).select("title_id", "title", "one", F.explode("words").alias("two")).join(wanted, ["one", "two"])
+    both = both.where(has_token(F.col("title"), F.col("caliber")) & has_token(F.col("title"), F.col("label")))
+    texts = both.groupBy("caliber", "label", "title").agg(F.min("title_id").alias("least"), F.max("title_id").alias("most"))
 
     def runs_of(n: int) -> Column:
         return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("title") - (n - 1))), lambda i: F.substring(F.col("title"), i, F.lit(n)))
 
-    runs = F.flatten(F.array(*[runs_of(n) for n in (1, 2, 3)]))
-    index = some.select(F.col("title_id").alias("other"), "title", F.explode(F.array_distinct(runs)).alias("run"))
-    asked = conflicts.where("part IS NOT NULL AND trim(part) <> ''").withColumn("part", F.lower("part")).withColumn("run", F.substring("part", 1, 3))
-    met = asked.join(index, "run").where("other <> title_id AND contains(title, part)")
-    return met.where(has_token(F.col("title"), F.col("caliber")) & has_token(F.col("title"), F.col("label"))).select("key").distinct()
+    runs = texts.withColumn("run", F.explode(F.array_distinct(F.flatten(F.array(*[runs_of(n) for n in (1, 2, 3)])))))
+    parts = asked.select("part", "caliber", "label").distinct().withColumn("run", F.substring("part", 1, 3))
+    met = parts.join(runs, ["caliber", "label", "run"]).where("contains(title, part)").groupBy("part", "caliber", "label").agg(F.min("least").alias("least"), F.max("most").alias("most"))
+    return asked.join(met, ["part", "caliber", "label"]).where("least <> title_id OR most <> title_id").select("key").distinct()
 
 
 def item_status(decided: DataFrame) -> DataFrame:

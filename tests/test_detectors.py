@@ -65,3 +65,9 @@ def test_policy_falls_back_to_any_relationship(spark, brand):
     pairs = spark.createDataFrame([("R", "s", "SELF"), ("Q", "s", "SELF"), ("Q", "s", "CROSS"), ("Z", "s", "SELF")], "rule string, source string, relationship string")
     got = {(r.rule, r.relationship): r.policy for r in D.with_policy(pairs, policy).collect()}
     assert got == {("R", "SELF"): "APPROVED", ("Q", "SELF"): "APPROVED", ("Q", "CROSS"): "VALIDATION_PENDING", ("Z", "SELF"): "VALIDATION_PENDING"}
+
+
+def test_titles_with_one_number_of_several_digits_corroborate(spark):
+    titles = spark.createDataFrame([(1, "rolex cal 3035 x99y"), (2, "rolex 8 3035 ax99yz"), (3, "rolex 8 2130")], "title_id long, title string")
+    conflicts = spark.createDataFrame([("a", 1, "X99Y", "8", "3035"), ("b", 2, "x99y", "8", "3035"), ("c", 1, "x99y", "8", "2130")], "key string, title_id long, part string, caliber string, label string")
+    assert [r.key for r in D.corroborated(conflicts, titles).collect()] == ["a"]
