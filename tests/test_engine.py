@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,3 +74,19 @@ def test_numbers_are_consecutive_in_order(spark):
     df = spark.range(1000).withColumn("k", (F.col("id") * 7919 % 1000))
     got = sorted((r.k, r.no) for r in numbered(spark, df, [F.col("k")], "no", 11).collect())
     assert got == [(i, i + 11) for i in range(1000)]
+
+
+def test_candidates_meet_in_tiles_without_loss(spark, monkeypatch):
+    monkeypatch.setattr(M, "TILE", (2, 3))
+    items = [(i, b, c, p) for i, (b, c, p) in enumerate([("Rolex", "1535", "24680"), ("Tudor", "1535", "42"), (None, "1535", "1535-7"), ("Rolex", "8", "600"), ("Rolex", None, "24680"), ("Rolex", " ", None), ("Rolex", "1535", "24680")])]
+    titles = [(i, t) for i, t in enumerate(["rolex 1535 wheel 24680", "tudor 1535-7 dial", "ROLEX 8 42 600", "1535", "rolex 15350 wheel", "1535 tudor 24680 1535", "8-600 crown"])]
+    hold = lambda t, x: x and x.strip() and re.search(rf"(?i)\b{re.escape(x)}\b", t)
+    want = set()
+    for i, b, c, p in items:
+        for k, t in titles:
+            cal, prt, brd, cmp = hold(t, c), hold(t, p), hold(t, b), re.search("wheel|dial|crown", t)
+            n = len(re.sub("[^a-zA-Z0-9]", "", p or ""))
+            on = {"PART_NUMBER_EXACT": prt and n >= 5, "CALIBER_EXACT": cal, "BRAND_CALIBER": cal and brd, "BRAND_PART_NUMBER": prt and brd and n >= 5, "CALIBER_PART_NUMBER": prt and cal and n >= 3, "CALIBER_COMPONENT": cal and cmp, "BRAND_CALIBER_COMPONENT": cal and brd and cmp}
+            want |= {(i, k, r) for r, x in on.items() if x}
+    got = [tuple(r) for r in M.candidates(spark.createDataFrame(items, "item long, brand string, caliber string, part string"), spark.createDataFrame(titles, "title_id long, title string")).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
