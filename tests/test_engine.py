@@ -90,3 +90,11 @@ def test_candidates_meet_in_tiles_without_loss(spark, monkeypatch):
             want |= {(i, k, r) for r, x in on.items() if x}
     got = [tuple(r) for r in M.candidates(spark.createDataFrame(items, "item long, brand string, caliber string, part string"), spark.createDataFrame(titles, "title_id long, title string")).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+@pytest.mark.parametrize("name", ["evidence_category", "evidence_fan_out"])
+def test_evidence_of_items_is_told_without_their_pairs(spark, monkeypatch, name):
+    from partlens.plans import registry
+
+    monkeypatch.setattr(M, "candidates", None)
+    assert registry.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
