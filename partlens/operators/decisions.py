@@ -82,14 +82,15 @@ def _measurement(t: Column, x: Column) -> Column:
     tok = escape(x["t"])
     whole = F.regexp_count(t, F.concat(F.lit(r"\b"), tok, F.lit(r"\b")))
     decimal = F.regexp_count(t, F.concat(F.lit(r"(?:\d[.,]"), tok, F.lit(r"\b|\b"), tok, F.lit(r"[.,]\d)")))
-    return (whole > 0) & (decimal > 0) & (decimal >= whole)
+    return (F.contains(t, F.lit(".")) | F.contains(t, F.lit(","))) & (whole > 0) & (decimal > 0) & (decimal >= whole)
 
 
 def _longer(t: Column, x: Column) -> Column:
     inside = F.concat(F.lit("(?:^|-)"), escape(x["t"]), F.lit("(?:-|$)"))
     own = F.array(F.concat_ws("-", x["t"], x["p"]), F.concat_ws("-", x["p"], x["t"]))
     codes = F.regexp_extract_all(t, F.lit(r"([\p{L}\p{N}-]+)"), 1)
-    return F.exists(codes, lambda c: F.rlike(c, inside) & (c != x["t"]) & (x["p"].isNull() | ~F.array_contains(own, c)))
+    # such a code has a hyphen beside the token
+    return F.contains(t, F.lit("-")) & F.exists(codes, lambda c: F.rlike(c, inside) & (c != x["t"]) & (x["p"].isNull() | ~F.array_contains(own, c)))
 
 
 def _model(t: Column, x: Column) -> Column:
@@ -116,7 +117,8 @@ def contradictions(title: Column, brand: Column, conflict: Column) -> Column:
 
 def risks(title: Column, rule: Column, caliber: Column, part: Column, collides: Column, unverified: Column, cross: Column) -> Column:
     """Names of risks in their order."""
-    toks = tokens(rule, caliber, part)
+    # each of these risks needs the token in the title; patterns are made for each row, so only for tokens that are found there
+    toks = F.filter(tokens(rule, caliber, part), lambda x: F.contains(title, x["t"]))
     any_token = lambda f: F.exists(toks, lambda x: F.coalesce(f(title, x), F.lit(False)))
     anchor = F.when(tier_of(rule) == "A", part).otherwise(caliber)
     named = {

@@ -71,3 +71,29 @@ def test_titles_with_one_number_of_several_digits_corroborate(spark):
     titles = spark.createDataFrame([(1, "rolex cal 3035 x99y"), (2, "rolex 8 3035 ax99yz"), (3, "rolex 8 2130")], "title_id long, title string")
     conflicts = spark.createDataFrame([("a", 1, "X99Y", "8", "3035"), ("b", 2, "x99y", "8", "3035"), ("c", 1, "x99y", "8", "2130")], "key string, title_id long, part string, caliber string, label string")
     assert [r.key for r in D.corroborated(conflicts, titles).collect()] == ["a"]
+
+
+
+def test_what_a_title_scores_is_told_once_for_each_title(spark, tmp_path):
+    """Not for each pair and rule: patterns that depend on the title alone stand below the rules in the plan."""
+    from partlens.plans import decisions as P
+
+    spark.range(1, 60).selectExpr("id AS p_partkey", "cast(id % 50 + 1 AS int) AS p_size").write.parquet(f"{tmp_path}/part.parquet")
+    for query in (P.decide_cascade, P.match_score_tiers, P.inventory_match_summary):
+        # plans are printed from the result down to the tables
+        lines = query(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        rules = [i for i, x in enumerate(lines) if "Generate explode" in x and "BRAND_CALIBER_COMPONENT" in x]
+        scores = [i for i, x in enumerate(lines) if "homage" in x]
+        assert len(rules) == 1 and scores and min(scores) > rules[0], query.__name__
+
+
+def test_tokens_are_found_in_any_case(spark):
+    from partlens.functions.text import has_token
+
+    cases = [("ROLEX 1575 dial", "rolex", True), ("rolex 1575", "ROLEX", True), ("rolex 15750", "1575", False), ("a+b 5", "A+B", True), ("", "x", False), (None, "x", None), ("x", None, None)]
+    greek = [("wheel ΑΣ 5", "ΑΣ", None), ("wheel 5Σ-x", "5Σ", None), ("ΣΑΣ", "Σ", None)]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases + greek)], "i int, t string, k string, w boolean")
+    plain = F.rlike("t", F.concat(F.lit(r"(?i)\b"), F.regexp_replace("k", r"([^A-Za-z0-9_])", r"\\$1"), F.lit(r"\b")))
+    got = df.select(has_token(F.col("t"), F.col("k")).alias("x"), plain.alias("plain"), "w").orderBy("i").collect()
+    assert [r.x for r in got] == [r.plain for r in got]
+    assert [r.x for r in got[: len(cases)]] == [c[2] for c in cases]
