@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partlens.llm.common import IS_SPACE, LOWER, byte_view, filled, prefix_hash, row_slices, span_hashes, tidy, word_spans
+from partlens.llm.common import IS_SPACE, LOWER, byte_view, filled, materialize, prefix_hash, row_slices, span_hashes, tidy, word_spans
 
 BITS, STEMS, LEAST_DF, LEAST_Z = 22, (4, 5, 6), 4, 5.0
 SAMPLE = 12_000
@@ -55,35 +55,54 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -35, 35)))
 
 
-def telling(rows: list[np.ndarray], grade: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Features of which the toxic samples' share differs from all samples', and of these the ones that mark toxic rows."""
-    flat = np.concatenate(rows) if len(rows) else np.zeros(0, np.int32)
-    doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    df = np.bincount(flat, minlength=1 << BITS)
-    hit = np.bincount(flat, weights=(grade > 0)[doc].astype(float), minlength=1 << BITS)
-    q = float(np.clip((grade > 0).mean(), 1e-4, 1 - 1e-4)) if len(grade) else 0.5
-    slots = np.flatnonzero((df >= LEAST_DF) & (np.abs(hit - q * df) >= LEAST_Z * np.sqrt(df * q * (1 - q))))
-    return slots, slots[hit[slots] > q * df[slots]]
+def _tells(df: np.ndarray, hit: np.ndarray, q: float) -> np.ndarray:
+    """Which features of df samples, hit of them toxic, have another share of toxic samples than q, that of all."""
+    return (df >= LEAST_DF) & (np.abs(hit - q * df) >= LEAST_Z * np.sqrt(df * q * (1 - q)))
 
 
-def graded(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(grade, slots) of samples -> (slot, samples, toxic samples), summed by batch."""
+    for batch in batches:
+        rows = [np.frombuffer(x, np.int32) for x in batch.column("slots").to_pylist()]
+        if not rows:
+            continue
+        slots, at = np.unique(np.concatenate(rows), return_inverse=True)
+        toxic = np.repeat(batch.column("grade").to_numpy() > 0, [len(r) for r in rows])
+        df, hit = np.bincount(at, minlength=len(slots)), np.bincount(at[toxic], minlength=len(slots))
+        yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(df), pa.array(hit)], ["slot", "df", "hit"])
+
+
+def telling(samples: DataFrame, q: float) -> tuple[np.ndarray, np.ndarray]:
+    """Features of (grade, slots) that tell toxic samples, of whom all hold a share of q, from clean ones, and which of them mark toxic ones.
+
+    Counted by the tasks: only the telling ones, of 1 << BITS at most, reach the driver.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slot, df, hit = (batch.column(i).to_numpy() for i in range(3))
+            on = np.flatnonzero(_tells(df, hit, q))
+            yield pa.RecordBatch.from_arrays([pa.array(slot[on]), pa.array(hit[on] > q * df[on])], ["slot", "marks"])
+
+    counts = samples.select("grade", "slots").mapInArrow(tidy(_counted), "slot int, df long, hit long").groupBy("slot").agg(F.sum("df").alias("df"), F.sum("hit").alias("hit"))
+    got = counts.mapInArrow(tidy(run), "slot int, marks boolean").toArrow()
+    slots, marks = got.column("slot").to_numpy(), got.column("marks").to_numpy()
+    order = np.argsort(slots)
+    return slots[order], marks[order]
+
+
+def graded(rows: list[np.ndarray], toxic: np.ndarray, marks: np.ndarray) -> np.ndarray:
     """Grades of samples that are only known to be toxic or not: by how many marks of toxic rows they hold."""
-    _, marks = telling(rows, toxic)
-    n = np.array([np.isin(r, marks).sum() for r in rows])
+    n = np.array([marks[r].sum() for r in rows])
     return np.where(toxic > 0, 1 + (n > np.median(n[toxic > 0])), 0) if (toxic > 0).any() else toxic
 
 
-def fit(rows: list[np.ndarray], grade: np.ndarray, grades: int, l2: float = 3e-4, steps: int = 200, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and thresholds by full-gradient Adam on the ordinal log-likelihood; rows: slots of each sample."""
+def fit(rows: list[np.ndarray], grade: np.ndarray, grades: int, features: int, l2: float = 3e-4, steps: int = 200, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and thresholds by full-gradient Adam on the ordinal log-likelihood; rows: numbers below features of each sample."""
     n = len(rows)
-    lens = np.array([len(r) for r in rows])
     flat = np.concatenate(rows) if n else np.zeros(0, np.int32)
-    doc = np.repeat(np.arange(n), lens)
-    slots, _ = telling(rows, grade)
-    place = np.full(1 << BITS, -1, np.int32)
-    place[slots] = np.arange(len(slots))
-    flat, doc = place[flat][(keep := place[flat] >= 0)], doc[keep]
-    size = max(1, len(slots))
+    doc = np.repeat(np.arange(n), [len(r) for r in rows])
+    size = max(1, features)
     w = np.zeros(size)
     share = np.array([(grade >= k).mean() for k in range(1, grades)]).clip(1e-4, 1 - 1e-4)
     b = np.log((1 - share) / share)
@@ -104,13 +123,11 @@ def fit(rows: list[np.ndarray], grade: np.ndarray, grades: int, l2: float = 3e-4
             v += 0.001 * (g * g - v)
             x -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         b[:] = np.maximum.accumulate(b)
-    full = np.zeros(1 << BITS, np.float32)
-    full[slots] = w[: len(slots)]
-    return full, b
+    return w[:features].astype(np.float32), b
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and thresholds from at most ``sample`` labelled documents."""
+def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Telling features, their weights, and thresholds, from at most ``sample`` labelled documents."""
     told = "severity" if "severity" in labels.columns else "toxic"
     some = labels.where(F.col("doc_id").isNotNull() & F.col(told).isNotNull()).groupBy("doc_id").agg(F.max(told).cast("int").alias("grade"))
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -123,23 +140,37 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
                 rows = [r.tobytes() for r in features(*byte_view(texts.slice(lo, hi - lo)))]
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in range(2)), pa.array(rows, pa.binary())], ["doc_id", "grade", "slots"])
 
-    # rows that repeat an id make one sample: the driver gets ``sample`` rows at most
+    # rows that repeat an id make one sample: ``sample`` of them at most
     own = src.join(F.broadcast(some), "doc_id").groupBy("doc_id", "grade").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    got = own.mapInArrow(tidy(run), "doc_id long, grade int, slots binary").orderBy("doc_id").toArrow()
+    own = materialize(spark, own.mapInArrow(tidy(run), "doc_id long, grade int, slots binary"), "toxicity-samples")
+    n, toxic = own.agg(F.count("*"), F.count_if(F.col("grade") > 0)).first()
+    if not n:
+        return np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros(0)
+    slots, marks = telling(own, float(np.clip(toxic / n, 1e-4, 1 - 1e-4)))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each sample only the telling features, by their numbers."""
+        place = np.full(1 << BITS, -1, np.int32)
+        place[slots] = np.arange(len(slots))
+        for batch in batches:
+            at = (place[np.frombuffer(x, np.int32)] for x in batch.column("slots").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("grade"), pa.array([r[r >= 0].tobytes() for r in at], pa.binary())], ["doc_id", "grade", "at"])
+
+    got = own.mapInArrow(tidy(pick), "doc_id long, grade int, at binary").toArrow().sort_by("doc_id")
     grade = np.maximum(np.array(got.column("grade").to_pylist(), int), 0)
-    if not len(grade):
-        return np.zeros(1 << BITS, np.float32), np.zeros(0)
-    rows = [np.frombuffer(x, np.int32) for x in got.column("slots").to_pylist()]
+    rows = [np.frombuffer(x, np.int32) for x in got.column("at").to_pylist()]
     if told == "toxic":
-        grade = graded(rows, grade)
-    return fit(rows, grade, max(2, int(grade.max()) + 1))
+        grade = graded(rows, grade, marks)
+    return slots, *fit(rows, grade, max(2, int(grade.max()) + 1), len(slots))
 
 
 def severity(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, severity, p_toxic, toxic_pred, grade_pred) for every row of docs."""
-    w, b = train(docs, labels, sample)
+    slots, weights, b = train(spark, docs, labels, sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = np.zeros(1 << BITS, np.float32)
+        w[slots] = weights
         for batch in batches:
             texts = filled(batch.column(1))
             z = []

@@ -2,6 +2,7 @@
 brute-force versions where SQL can't express an operator."""
 
 import hashlib
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -374,3 +375,18 @@ def test_warc_frequent_payloads(spark, monkeypatch):
     for i, _, html in rows:
         first = 9 if html == body else i // 2 * 2 if i >= 500 else i
         assert got[i] == (("response", None) if first == i else ("revisit", first))
+
+
+def test_toxicity_keeps_features_out_of_the_driver(spark):
+    """Features are counted by the tasks: tables over all slots and samples' whole features took hundreds of MB of the driver."""
+    rows = [(i, _text(i, 40) + (" idiot" if i % 4 == 0 else "")) for i in range(200)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, toxic int")
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    tracemalloc.start()
+    try:
+        scored = toxicity.severity(spark, d, labels)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 16 << 20
+    assert all(r.toxic_pred == (r.doc_id % 4 == 0) for r in scored.collect())
