@@ -63,21 +63,31 @@ def tokens(rule: Column, caliber: Column, part: Column) -> Column:
     return F.filter(found, lambda x: ~_blank(x["t"]))
 
 
+def _labelled(title: Column) -> Column:
+    """What every label of a calibre holds; a title without it needs no pattern."""
+    return F.contains(title, F.lit("cal")) | F.contains(title, F.lit("kal"))
+
+
 def conflicting_labels(title: Column, caliber: Column) -> Column:
     """Labelled calibres other than the item's own, if that stands nowhere in the title."""
     labels = F.array_distinct(F.regexp_extract_all(title, F.lit(V.CALIBRE_LABEL), 1))
-    return F.when(_blank(caliber) | F.coalesce(has_token(title, caliber), F.lit(False)), F.array().cast("array<string>")).otherwise(F.filter(labels, lambda x: x != caliber))
+    return F.when(~_labelled(title) | _blank(caliber) | F.coalesce(has_token(title, caliber), F.lit(False)), F.array().cast("array<string>")).otherwise(F.filter(labels, lambda x: x != caliber))
 
 
 def calibre_list(title: Column) -> Column:
     runs = F.regexp_extract_all(title, F.lit(V.CALIBRE_LIST), 1)
-    return F.exists(runs, lambda x: F.size(F.array_distinct(F.regexp_extract_all(x, F.lit(r"(\d{2,4})"), 1))) >= 2)
+    return _labelled(title) & F.exists(runs, lambda x: F.size(F.array_distinct(F.regexp_extract_all(x, F.lit(r"(\d{2,4})"), 1))) >= 2)
 
 
 def compatible(title: Column) -> Column:
     return title.rlike(V.COMPATIBLE)
 
 
+def told_by_title(title: Column) -> dict[str, Column]:
+    """What a title tells whatever the item is, and whatever its numbers are."""
+    return {"lot": title.rlike(V.LOT), "compatible": compatible(title), "whole_watch": title.rlike(V.WHOLE_WATCH)}
+
+
 def _measurement(t: Column, x: Column) -> Column:
     tok = escape(x["t"])
     whole = F.regexp_count(t, F.concat(F.lit(r"\b"), tok, F.lit(r"\b")))
@@ -104,19 +114,21 @@ def _event(t: Column, x: Column) -> Column:
 
 def _in_list(t: Column, x: Column) -> Column:
     runs = F.regexp_extract_all(t, F.lit(f"({V.REFERENCE_LIST})"), 1)
-    return x["t"].rlike(r"^\d{4,6}$") & F.exists(runs, lambda r: F.array_contains(F.regexp_extract_all(r, F.lit(r"(\d{4,6})"), 1), x["t"]))
+    return (F.contains(t, F.lit("/")) | F.contains(t, F.lit(","))) & x["t"].rlike(r"^\d{4,6}$") & F.exists(runs, lambda r: F.array_contains(F.regexp_extract_all(r, F.lit(r"(\d{4,6})"), 1), x["t"]))
 
 
-def contradictions(title: Column, brand: Column, conflict: Column) -> Column:
-    """Names of contradictions in their order; conflict: of calibres, resolved."""
-    own = has_token(title, F.lower(brand))
-    other = has_token(title, F.when(brand == "Rolex", F.lit("tudor")).otherwise(F.lit("rolex")))
-    named = {"brand_conflict": other & ~own, "calibre_conflict": conflict, "product_type_conflict": title.rlike(V.WHOLE_WATCH)}
+def contradictions(title: Column, brand: Column, conflict: Column, told: dict[str, Column] | None = None) -> Column:
+    """Names of contradictions in their order; conflict: of calibres, resolved; told: whole_watch and words where they are told already."""
+    told = told or {"whole_watch": told_by_title(title)["whole_watch"], "words": None}
+    own = has_token(title, F.lower(brand), told["words"])
+    other = has_token(title, F.when(brand == "Rolex", F.lit("tudor")).otherwise(F.lit("rolex")), told["words"])
+    named = {"brand_conflict": other & ~own, "calibre_conflict": conflict, "product_type_conflict": told["whole_watch"]}
     return _active(named)
 
 
-def risks(title: Column, rule: Column, caliber: Column, part: Column, collides: Column, unverified: Column, cross: Column) -> Column:
-    """Names of risks in their order."""
+def risks(title: Column, rule: Column, caliber: Column, part: Column, collides: Column, unverified: Column, cross: Column, told: dict[str, Column] | None = None) -> Column:
+    """Names of risks in their order; told: lot, compatible and listed where they are told already."""
+    told = told or {**told_by_title(title), "listed": calibre_list(title)}
     # each of these risks needs the token in the title; patterns are made for each row, so only for tokens that are found there
     toks = F.filter(tokens(rule, caliber, part), lambda x: F.contains(title, x["t"]))
     any_token = lambda f: F.exists(toks, lambda x: F.coalesce(f(title, x), F.lit(False)))
@@ -126,12 +138,12 @@ def risks(title: Column, rule: Column, caliber: Column, part: Column, collides:
         "longer_identifier_collision": any_token(_longer),
         "model_name_number_collision": any_token(_model),
         "proper_noun_or_event_collision": any_token(_event),
-        "bundle_or_lot_risk": title.rlike(V.LOT),
+        "bundle_or_lot_risk": told["lot"],
         "multiple_inventory_collision": collides,
         "short_identifier_risk": alnum_count(anchor) < 3,
-        "compatibility_language_risk": compatible(title),
+        "compatibility_language_risk": told["compatible"],
         "multiple_reference_list_risk": any_token(_in_list),
-        "multiple_calibre_list_risk": calibre_list(title),
+        "multiple_calibre_list_risk": told["listed"],
         "unverified_calibre_compatibility": unverified,
         "cross_evidence_calibre_corroboration": cross,
         "ambiguous_component_type": tier_of(rule) == "C",
@@ -140,8 +152,15 @@ def risks(title: Column, rule: Column, caliber: Column, part: Column, collides:
     return _active(named)
 
 
+def deciding_risks(title: Column, rule: Column, caliber: Column, part: Column, collides: Column, unverified: Column, cross: Column, against: Column, told: dict[str, Column] | None = None) -> Column:
+    """Of ``risks`` those that ``decide`` asks for: all of pairs of tier A without a contradiction, of others the short identifier."""
+    short = _active({"short_identifier_risk": alnum_count(F.when(tier_of(rule) == "A", part).otherwise(caliber)) < 3})
+    return F.when((tier_of(rule) == "A") & (F.size(against) == 0), risks(title, rule, caliber, part, collides, unverified, cross, told)).otherwise(short)
+
+
 def _active(named: dict[str, Column]) -> Column:
-    return F.array_compact(F.array(*[F.when(F.coalesce(on, F.lit(False)), F.lit(name)) for name, on in named.items()]))
+    # names differ, and without a lambda the whole is compiled
+    return F.array_except(F.array(*[F.when(F.coalesce(on, F.lit(False)), F.lit(name)) for name, on in named.items()]), F.array(F.lit(None).cast("string")))
 
 
 def first_code(flags: Column, codes: dict[str, str]) -> Column:
@@ -221,7 +240,7 @@ def item_status(decided: DataFrame) -> DataFrame:
     counts = decided.groupBy("item").agg(
         F.count("*").alias("total"), n("MATCH_CONFIRMED").alias("confirmed"), n("REVIEW_REQUIRED").alias("review"),
         n("LOW_CONFIDENCE_CANDIDATE").alias("low"), n("INSUFFICIENT_EVIDENCE").alias("insufficient"), n("NO_MATCH").alias("rejected"),
-        F.count_distinct("source").alias("sources"),
+        F.size(F.collect_set("source")).cast("long").alias("sources"),
         F.bool_or((F.col("source") == "active") & (F.col("relationship") == "SELF_SOURCED")).alias("has_self"),
         F.bool_or((F.col("source") == "active") & (F.col("relationship") == "CROSS_REFERENCED")).alias("has_cross"),
     )

@@ -97,3 +97,46 @@ def test_tokens_are_found_in_any_case(spark):
     got = df.select(has_token(F.col("t"), F.col("k")).alias("x"), plain.alias("plain"), "w").orderBy("i").collect()
     assert [r.x for r in got] == [r.plain for r in got]
     assert [r.x for r in got[: len(cases)]] == [c[2] for c in cases]
+
+
+def test_pairs_are_dealt_once_and_by_title(spark, tmp_path):
+    """Rows by rule don't move to be told apart: equal ones are left out of items and titles, and of the rules of a pair."""
+    from partlens.plans import decisions as P
+
+    rows = spark.range(0, 120).selectExpr("id AS p_partkey", "cast(id % 50 + 1 AS int) AS p_size")
+    rows.unionByName(rows.where("p_partkey < 30")).write.parquet(f"{tmp_path}/part.parquet")
+    plan = P.match_score_tiers(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("Generate explode")]
+    for query in (P.match_score_tiers, P.decide_cascade, P.detector_flags):
+        got = query(spark, str(tmp_path)).collect()
+        assert len(got) == len(set(got)) and len({r.item for r in got}) == 120, query.__name__
+
+
+def test_shapes_tell_what_titles_tell():
+    """Patterns that are tried on a title with its numbers as 0 hold no number, nor count its digits."""
+    import re
+
+    from partlens.functions import vocabulary as V
+
+    lists = (V.COMPETITORS, V.BRANDS, V.DOCUMENTATION, V.LINK_OR_CLASP, V.ACCESSORY, V.SPARE_PART, V.COMPLETE_WATCH, V.STRONG_COMPONENT, V.WATCH_PART, V.NEGATIVE)
+    patterns = [p for words in lists for p in words] + [V.COMPATIBLE, V.WHOLE_WATCH, V.LOT.replace(r"\d+", "")]
+    for p in patterns:
+        assert not re.search(r"[0-9.{}\[\]]|\\[dwDWS]", p), p
+
+
+def test_words_need_no_pattern_and_tell_the_same(spark):
+    from partlens.functions.text import has_token, spaced
+
+    titles = ["ROLEX 1575 dial", "rolex 15750", "rolex_1575", "a-1575/2", "1575", "", None, "uhr ä1575", "ä 1575 x", "x1575 1575.", "5 Σ"]
+    tokens = ["1575", "rolex", "ROLEX", "_", "a-1575", "5", "", None, "x", "Σ"]
+    df = spark.createDataFrame([(t,) for t in titles], "t string").crossJoin(spark.createDataFrame([(k,) for k in tokens], "k string"))
+    got = df.select("t", "k", has_token(F.col("t"), F.col("k")).alias("plain"), has_token(F.col("t"), F.col("k"), spaced(F.col("t"))).alias("x")).collect()
+    assert [r for r in got if r.plain != r.x] == []
+
+
+def test_deciding_risks_decide_alike(spark):
+    df = spark.createDataFrame([(t, r, c, p, a) for t in ("rolex 9-12345-1 stem", "cal. 1520, 1530 lot of 5", "rolex 12345", "rolex 12345 2135") for r in D.TIERS for c in ("2135", "8", None) for p in ("12345", "7", None) for a in ([], ["brand_conflict"])], "t string, r string, c string, p string, a array<string>")
+    asked = (F.col("t"), F.col("r"), F.col("c"), F.col("p"), F.lit(False), F.lit(False), F.lit(False))
+    decide = lambda risk: D.decide(F.col("r"), F.col("a"), risk, F.lit("APPROVED"), F.lit(1.0))
+    got = df.select(decide(D.risks(*asked)).alias("all"), decide(D.deciding_risks(*asked, F.col("a"))).alias("some")).collect()
+    assert len({r.all.status for r in got}) == 5 and all(r.all == r.some for r in got)
