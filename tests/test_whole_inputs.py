@@ -17,3 +17,9 @@ def test_set_coverage_by_hand(spark, tmp_path):
     spark.createDataFrame(rows, "user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
     got = {r.event_type: tuple(r)[1:] for r in registry.queries()["set_coverage_compare"](spark, str(tmp_path)).collect()}
     assert got == {"a": (2, 2, 3, 1), "b": (0, 0, 0, 0)}
+
+
+def test_every_part_has_a_match_summary(spark):
+    parts = spark.read.parquet(f"{DATA}/part.parquet").select("p_partkey").collect()
+    got = registry.queries()["inventory_match_summary"](spark, DATA).select("item").collect()
+    assert sorted(r.item for r in got) == sorted(r.p_partkey for r in parts)
