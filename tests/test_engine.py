@@ -100,7 +100,7 @@ def test_evidence_of_items_is_told_without_their_pairs(spark, monkeypatch, name)
     assert registry.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
 
 
-@pytest.mark.parametrize("name", ["evidence_category"])
+@pytest.mark.parametrize("name", ["evidence_category", "token_candidates_7rules"])
 def test_what_few_bytes_explode_to_is_not_sent_to_the_driver(spark, name):
     """Words, tokens and runs look small by the part table's bytes, but must not become broadcasts for it."""
     from partlens.plans import registry
